@@ -61,8 +61,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         step = scratch.save(step, f"{name}-step")
-        jump = step.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        new = scratch.save(step.join(jump, step.component == jump.to).select("id", "old", F.col("further").alias("component")), name)
+        jump = step.select(F.col("id").alias("node"), F.col("component").alias("further"))
+        new = scratch.save(step.join(jump, step.component == jump.node).select("id", "old", F.col("further").alias("component")), name)
         changed = new.where("old <> component").limit(1).count()
         labels = new.select("id", "component")
         scratch.drop(f"{name}-step")

@@ -286,10 +286,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return kept
     # an id that stays and stands in several rows: rows of equal words are copies of each other
     again = kept.join(twice, id_col, "left_semi")
-    words = F.array_join(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
-    one = again.withColumn("_words", words).groupBy(id_col, "_words").agg(F.first(F.struct(*docs.columns)).alias("_row"), F.collect_list(F.when(F.col("_words") == "", F.struct(*docs.columns))).alias("_all"))
-    one = one.select(F.explode(F.when(F.coalesce("_words", F.lit("")) == "", F.col("_all")).otherwise(F.array("_row"))).alias("_row")).select("_row.*")
-    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionAll(one)
+    words = F.coalesce(F.array_join(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(""))
+    again = again.withColumn("_words", words)
+    one = again.where("_words <> ''").dropDuplicates([id_col, "_words"]).unionAll(again.where("_words = ''"))
+    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
