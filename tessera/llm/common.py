@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ids that may be broadcast to keep whole texts out of a shuffle; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 1_500_000
 
 
 class Scratch:
@@ -32,6 +33,10 @@ class Scratch:
         self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, schema: T.StructType) -> DataFrame:
+        """All tables saved under the name, together."""
+        return self.spark.read.schema(schema).parquet(*self._paths[name])
+
     def drop(self, *names: str) -> None:
         """Delete the tables of these names; nothing may read them any more."""
         jvm = self.spark._jvm
@@ -72,8 +77,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
             return labels
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose `column` is among the distinct ids (a saved table with the same column name): by broadcast
-    if they are few enough, which spares shuffling wide rows, and by a shuffled semi join otherwise."""
+def only_ids(rows: DataFrame, ids: DataFrame, *columns: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose `columns` are (left_anti: are not) among the distinct ids, a saved table of the same columns:
+    by broadcast if they are few enough, which spares shuffling wide rows, else by a shuffled join."""
     few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, list(columns), how)
