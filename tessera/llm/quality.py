@@ -1,20 +1,20 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives are the training documents labelled of good quality; all other training documents of
-the sample are unlabelled web text. With class prior p, the risk of a scorer on positives P and unlabelled U is
+Trusted positives are training documents labelled of good quality; a sample of all training documents,
+their labels unseen, is the unlabelled web text. With class prior p, the risk of a scorer on positives P and unlabelled U is
 p * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - p * E_P[loss(g, -)]): the second part, the negatives' risk,
 can't be negative, so it is held at 0 (the non-negative unbiased risk). Mini-batches step down that risk;
 when the bracket falls below 0 the step goes up on it instead, which stops the model from overfitting
-the positives. Loss is the sigmoid loss; the scorer is linear over the features below.
+the positives. Loss is the logistic loss; the scorer is linear over the features below.
 
 The prior is estimated from the training fold: labels mark a part of the documents, so the share of good
 ones among those labelled, smoothed by one of each, is the share among all.
 
-Features of a whole text: hashed runs of characters by kind and of words, as frequencies, plus a few
-ratios (punctuation, upper case, digits, repeated lines and words, word length). Labels, lang, source and
-doc_id are never features.
+Features of a whole text: how often each kind of character occurs and doubles, and ratios (words to bytes,
+marks, upper case, repeated lines, doubled words, the most frequent word, repeated word pairs, words
+to distinct words). Labels, lang, source and doc_id are never features.
 
-The fit uses a bounded sample: the SAMPLE_POSITIVE labelled good and SAMPLE_UNLABELLED other documents of
+The fit uses a bounded sample: the SAMPLE_POSITIVE labelled good and SAMPLE_UNLABELLED documents of
 the smallest hashed doc_id. Rows of crc32(doc_id as text) mod 3 = 1 are held out and never looked at.
 
 Defined results: null and empty texts get the score of a text without features; if the fold has no
@@ -24,8 +24,6 @@ doc_id count as good if any is; a row comes out for each document row.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.kernel import Tokens, chunked, mix64, small_batches
+from tessera.llm.kernel import Tokens, chunked, small_batches
 from tessera.llm.langid import held_out
 
+_U = np.uint64
 SAMPLE_POSITIVE = 3000
-SAMPLE_UNLABELLED = 5000
+SAMPLE_UNLABELLED = 6000
 #: Sampled texts are whole texts of at most this many characters.
 SAMPLE_CHARS = 20_000
-BUCKETS = 1 << 12
-EPOCHS, BATCH, RATE, DECAY = 60, 256, 0.1, 1e-4
-_U = np.uint64
+EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.02, 3e-3
 
 
 def _kinds() -> np.ndarray:
@@ -72,64 +69,58 @@ def _kinds() -> np.ndarray:
 
 _KIND = _kinds()
 _N_KINDS = int(_KIND.max()) + 1
-_RATIOS = 8
-N_FEATURES = BUCKETS + _N_KINDS + _N_KINDS**2 + _RATIOS
+#: Kinds whose plain frequency tells languages rather than quality: beyond ASCII counts as lower case.
+_FOLD = np.where(np.arange(_N_KINDS) == 5, 0, np.arange(_N_KINDS))
 
 
-def _dense(text: str, data: np.ndarray, words: np.ndarray) -> np.ndarray:
-    kinds = _KIND[data]
+def _features(text: str, data: np.ndarray, words: np.ndarray) -> np.ndarray:
+    kinds = _FOLD[_KIND[data]]
     n = max(len(kinds), 1)
     one = np.bincount(kinds, minlength=_N_KINDS) / n
-    two = np.bincount(kinds[:-1] * _N_KINDS + kinds[1:], minlength=_N_KINDS**2) / n if len(kinds) > 1 else np.zeros(_N_KINDS**2)
+    same = np.zeros(_N_KINDS)
+    if len(data) > 1:
+        same = np.bincount(kinds[1:][data[1:] == data[:-1]], minlength=_N_KINDS) / n
     lines = [x for x in text.split("\n") if x]
-    letters = one[0] + one[1] + one[5]
-    ratios = np.array(
-        [
-            len(words) / n,
-            1 - letters - one[2] - one[3] - one[4],
-            one[1] / max(letters, 1e-9),
-            len(set(lines)) / max(len(lines), 1),
-            len(np.unique(words)) / max(len(words), 1),
-            np.log1p(len(words)) / 10,
-            np.log1p(len(lines)) / 10,
-            1.0,
-        ]
-    )
-    return np.concatenate([np.sqrt(one), np.sqrt(two), ratios])
-
-
-class Features:
-    """Sparse word buckets and dense parts of a chunk of texts."""
-
-    def __init__(self, texts: list[str]):
-        tokens = Tokens(texts)
-        self.dense = np.zeros((len(texts), N_FEATURES - BUCKETS))
-        rows, cols, values = [], [], []
-        for i, t in enumerate(texts):
-            words = tokens.of(i)
-            self.dense[i] = _dense(t, np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8), words)
-            bucket, count = np.unique((mix64(words) >> _U(52)).astype(np.int64), return_counts=True)
-            value = np.sqrt(count)
-            rows.append(np.full(len(bucket), i)), cols.append(bucket), values.append(value / max(np.sqrt((value**2).sum()), 1e-9))
-        self.rows, self.cols, self.values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.dense), N_FEATURES), dtype=np.float32)
-        out[self.rows, self.cols] = self.values
-        out[:, BUCKETS:] = self.dense
-        return out
+    letters = one[0] + one[1]
+    _, times = np.unique(words, return_counts=True)
+    m = max(len(words), 1)
+    pairs = np.unique(words[:-1] * _U(31) + words[1:]) if len(words) > 1 else words
+    ratios = [
+        m / n * 5,
+        1 - letters - one[2] - one[3] - one[4],
+        one[1] / max(letters, 1e-9),
+        1 - len(set(lines)) / max(len(lines), 1),
+        (words[1:] == words[:-1]).mean() if len(words) > 1 else 0.0,
+        times.max() / m if len(words) > 5 else 0.0,
+        1 - len(pairs) / max(len(words) - 1, 1) if len(words) > 1 else 0.0,
+        np.log(max(m, 1)) - np.log(max(len(times), 1)),
+        float(len(words) < 5),
+    ]
+    return np.concatenate([np.sqrt(one), np.sqrt(same), np.array(ratios), np.sqrt(np.maximum(ratios, 0))])
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """A row of features for each whole text."""
+    tokens = Tokens(texts)
+    return np.stack([_features(t, np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8), tokens.of(i)) for i, t in enumerate(texts)])
+
+
+N_FEATURES = 2 * _N_KINDS + 18
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray, prior: float):
-        self.weights, self.centre, self.scale, self.prior = weights, centre, scale, prior
-        self._w = weights / scale
-        self._b = -float((centre / scale) @ weights)
+    def __init__(self, weights: np.ndarray, bias: float, centre: np.ndarray, scale: np.ndarray, prior: float):
+        self.weights, self.bias, self.centre, self.scale, self.prior = weights, bias, centre, scale, prior
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.scale, -CLIP, CLIP) @ self.weights + self.bias
 
     def score(self, texts: list[str]) -> np.ndarray:
-        f = Features(texts)
-        raw = f.dense @ self._w[BUCKETS:] + self._b + np.bincount(f.rows, weights=f.values * self._w[f.cols], minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        return _sigmoid(self.raw(features(texts)))
+
+
+CLIP = 6.0
+
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,40 +128,43 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk; the sign of the score is the class."""
+    """Minimise the non-negative unbiased risk; the sign of the score is the class.
+
+    Features are centred and scaled by the positives, so what good texts never show stands out.
+    """
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    centre, scale = both.mean(axis=0), both.std(axis=0) + 1e-2
-    xp, xu = (positive - centre) / scale, (unlabelled - centre) / scale
-    w = np.zeros(both.shape[1])
-    first, second, step = np.zeros_like(w), np.zeros_like(w), 0
+    centre, scale = positive.mean(axis=0), positive.std(axis=0) + 0.03
+    norm = lambda x: np.concatenate([np.clip((x - centre) / scale, -CLIP, CLIP), np.ones((len(x), 1))], axis=1)
+    xp, xu = norm(positive), norm(unlabelled)
+    w = np.zeros(xp.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    keep = np.append(np.ones(len(w) - 1), 0)  # the bias does not decay
+    first, second, step, tail = np.zeros_like(w), np.zeros_like(w), 0, []
     batches = max(1, -(-len(xu) // BATCH))
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         order_u, order_p = rng.permutation(len(xu)), rng.permutation(len(xp))
         for b in range(batches):
             u = xu[order_u[b::batches]]
-            p = xp[order_p[b::batches]] if len(xp) >= batches else xp
+            p = xp[order_p[b::batches]] if len(xp) >= 8 * batches else xp
             gp, gu = p @ w, u @ w
             sp, su = _sigmoid(gp), _sigmoid(gu)
-            # sigmoid loss: loss(g, +) = s(-g), loss(g, -) = s(g)
-            negative_risk = su.mean() - prior * sp.mean()
-            dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-            if negative_risk >= 0:
-                grad = -prior * (dp @ p) + du @ u - prior * (dp @ p)
-            else:
-                grad = -(du @ u - prior * (dp @ p))
-            grad = grad + DECAY * w
+            # logistic loss: loss(g, -) = log(1 + e**g), loss(g, +) = log(1 + e**-g)
+            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            to_negative = su @ u / len(u) - prior * (sp @ p) / len(p)
+            grad = to_negative - prior * ((1 - sp) @ p) / len(p) if negative >= 0 else -to_negative
+            grad = grad + DECAY * keep * w
             step += 1
             first = 0.9 * first + 0.1 * grad
             second = 0.999 * second + 0.001 * grad**2
-            w = w - RATE * 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(w, centre, scale, prior)
+            w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        if epoch >= EPOCHS // 2:
+            tail.append(w)
+    w = np.mean(tail, axis=0)
+    return Model(w[:-1], float(w[-1]), centre, scale, prior)
 
 
 def constant(prior: float) -> Model:
-    w = np.zeros(N_FEATURES)
-    w[-1] = np.log(prior / (1 - prior))
-    return Model(w, np.zeros(N_FEATURES), np.ones(N_FEATURES), prior)
+    return Model(np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))), np.zeros(N_FEATURES), np.ones(N_FEATURES), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -189,14 +183,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # positives are a bounded number of ids
     rows = texts.join(F.broadcast(positives), "doc_id", "left").where((F.col("good") == 1) | (key <= limit))
     rows = rows.select("doc_id", "text", F.coalesce("good", F.lit(0)).alias("good"))
-    found = rows.where("good = 1").orderBy(key, "text").limit(SAMPLE_POSITIVE).unionAll(rows.where(key <= limit).orderBy(key, "text").limit(SAMPLE_UNLABELLED))
-    p: list[str] = []
-    u: list[str] = []
-    for k, r in enumerate(found.toLocalIterator()):
-        (p if r.good and len(p) < SAMPLE_POSITIVE and k < SAMPLE_POSITIVE else u).append(r.text or "")
+    trusted = rows.where("good = 1").orderBy(key, "text").limit(SAMPLE_POSITIVE).select("text").collect()
+    others = rows.where(key <= limit).orderBy(key, "text").limit(SAMPLE_UNLABELLED).select("text").collect()
+    p, u = [r.text for r in trusted], [r.text for r in others]
     if not p or not u:
         return constant(prior)
-    matrix = lambda texts: np.concatenate([Features(part).matrix() for _, part in chunked(texts)])
+    matrix = lambda texts: np.concatenate([features(part) for _, part in chunked(texts)])
     return fit(matrix(p), matrix(u), prior)
 
 

@@ -13,13 +13,13 @@ placeholders, dates, repeated characters (label 0) - each with neighbouring word
 from that bounded set (FINDINGS), once a process, and turned into CASE expressions: scoring is JVM code only.
 
 Defined results: null and empty texts have no findings and no row; repeated rows are reported once for each;
-equal candidates at other places are findings of their own; offsets are code points, ends exclusive; a
-candidate is at most MAX_LENGTH characters, longer runs are reported by their whole length as one finding.
-Other columns are not read.
+equal candidates at other places are findings of their own; offsets are code points, ends exclusive; a run
+of any length is one finding. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -243,6 +243,13 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
     return node
 
 
+def findings_table(spark: SparkSession, rows: list[tuple[str, str, str, str, int]]) -> DataFrame:
+    """The labelled findings as a table of literals: k, whole, value, left, right, label."""
+    names = ("k", "whole", "value", "left", "right", "label")
+    text = json.dumps([dict(zip(names, (k, *r), strict=True)) for k, r in enumerate(rows)])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<k:int,whole:string,value:string,left:string,right:string,label:int>>")))
+
+
 _forests: dict[tuple, list[Tree]] = {}
 
 
@@ -250,7 +257,7 @@ def forest(spark: SparkSession, findings: int = FINDINGS, trees: int = TREES) ->
     """Trees grown from the labelled findings, whose features the same SQL computes."""
     if (findings, trees) not in _forests:
         rows = labelled_findings(findings)
-        table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, whole string, value string, left string, right string, label int")
+        table = findings_table(spark, rows)
         cols = features(F.col("whole"), F.col("value"), F.col("left"), F.col("right"))
         got = table.select("k", "label", *[c.alias(n) for c, n in zip(cols, FEATURES, strict=True)]).orderBy("k").collect()
         x = np.array([[r[n] for n in FEATURES] for r in got])

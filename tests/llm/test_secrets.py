@@ -47,7 +47,7 @@ def test_candidates_match_brute_force(spark):
 
 def test_expressions_equal_trees_and_hold_out(spark, trees):
     rows = sc.labelled_findings(1000, seed=99)
-    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, whole string, value string, left string, right string, label int")
+    table = sc.findings_table(spark, rows)
     cols = sc.features(*[sc.F.col(c) for c in ("whole", "value", "left", "right")])
     table = table.select("k", "label", *[c.alias(n) for c, n in zip(cols, sc.FEATURES, strict=True)])
     scores = [sc.F.expr(t.expression(list(sc.FEATURES))).alias(f"t{i}") for i, t in enumerate(trees)]
@@ -62,7 +62,7 @@ def test_expressions_equal_trees_and_hold_out(spark, trees):
 
 
 def test_plan_is_native(spark, trees, capsys):
-    sc.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string")).explain("formatted")
+    sc.scan(spark.sql("SELECT id AS doc_id, string(id) AS text FROM range(9)")).explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
 
 
