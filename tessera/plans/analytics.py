@@ -101,3 +101,55 @@ def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).orderBy("id").limit(1000)  # 25 rows at any scale
     return read_pages(spark, [(r.id, r["name"]) for r in rows.collect()], 10)
+
+
+@query(
+    "fl18_case_numbers", "FL18 FN13",
+    """SELECT o_orderkey, (1990 + o_orderkey % 30)::VARCHAR || CASE o_orderkey % 3 WHEN 0 THEN '다' WHEN 1 THEN '헌바' ELSE '구합' END || (o_orderkey % 9999 + 1)::VARCHAR AS numbers FROM orders""",
+)
+def case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case numbers in sentences made from orders: found, squeezed, each once, without the excluded one."""
+    from tessera.functions.text import case_numbers as found
+
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "다").when(k % 3 == 1, "헌바").otherwise("구합")
+    number = F.concat((1990 + k % 30).cast("string"), F.lit(" "), kind, (k % 9999 + 1).cast("string"))
+    said = F.concat(F.lit("대법원 "), number, F.lit(" 판결 및 2001다1 판결, "), number, F.lit(" 참조"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found(said, F.array(F.lit("2001다1"))), ",").alias("numbers"))
+
+
+@query(
+    "sc1_json_round_trip", "SC1 SC3 SK1 SK2",
+    "SELECT conv_id, turn, role, length(text) AS n FROM conversations",
+)
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON lines in the shared folder and read back with their schema."""
+    path = files.scratch_path(spark, "conversations-json")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    files.write_json(rows, path)
+    return files.json_lines(spark, path, rows.schema).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+
+
+@query("sc4_csv_gold", "SC4 SK14", "SELECT item_id::VARCHAR AS query, trim(text) AS text FROM benchmark")
+def csv_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gold set written as CSV in the shared folder and read back trimmed."""
+    path = files.scratch_path(spark, "gold-csv")
+    files.write_csv(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query"), "text"), path)
+    return files.gold_set(spark, path, ["query", "text"])
+
+
+@query("sk13_embed", "SK13 SK17 VS16", "SELECT vec_id, len(embedding) AS dims, label FROM embeddings")
+def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from an embedder behind an interface: here the given table looks them up, as models are inputs."""
+    from tessera.functions.models import TableEmbedder
+
+    texts = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    out = TableEmbedder(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").embed(texts)
+    return out.select("vec_id", F.size("vector").cast("long").alias("dims"), "label")
+
+
+@query("wf6_stages", "WF6 WF8 GR1", "SELECT 'chunks' AS stage, count(*) AS n FROM documents WHERE length(trim(text)) >= 20 UNION ALL SELECT 'relations', count(*) FROM labels JOIN documents USING (doc_id)")
+def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    chunks = d.where(F.length(F.trim("text")) >= 20).agg(F.lit("chunks").alias("stage"), F.count("*").alias("n"))
+    return chunks.unionAll(table(spark, sf_dir, "labels").join(d.select("doc_id"), "doc_id").agg(F.lit("relations"), F.count("*")))

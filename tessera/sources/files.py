@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which all executors share; a local folder where the setting is unset, as in tests."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(top or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of a JSON-lines file or folder; blank lines are skipped, a missing path is empty, a line that is no object fails."""
     if not exists(spark, path):
