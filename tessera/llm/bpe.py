@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-A text is split into pre-tokens by the tokenizer's pattern. Frequent pre-tokens, counted over all
-documents, are compiled with their ids into one minimal acyclic automaton: words share prefixes and,
+A text is split into pre-tokens by the tokenizer's pattern. The pre-tokens of frequent words, counted over
+all documents, are compiled with their ids into one minimal acyclic automaton: words share prefixes and,
 by merging equal states, suffixes. Each transition carries the number of words that sort before the
 ones behind it, so the sum along a path is the word's number and leads to its ids (the transducer's
 output). The automaton is four flat arrays in one file that every worker of a machine memory-maps.
@@ -22,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import Scratch
 from tessera.llm.kernel import chunked, small_batches
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pattern for the standard library's faster engine; equal where no character is in ODD: numbers that are no decimal
+#: digits, separators of information, and all beyond Latin.
+PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+ODD = "[^\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
 LEXICON_WORDS = 65_536
-#: A pre-token of more bytes is not kept in the lexicon or in a worker's cache.
+#: A longer word is not kept in the lexicon.
 LONG_WORD = 64
-CACHE_WORDS = 100_000
+#: Characters of texts that are encoded together.
+ENCODE_CHUNK = 4 << 20
+#: Distinct words a task counts before it hands the counts on.
+COUNT_WORDS = 200_000
 #: A pre-token of more symbols is merged with a heap, in n log n.
-HEAP_FROM = 24
+HEAP_FROM = 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,13 +83,15 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.byte_id = [model["vocab"][c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}  # by both ids in one number
+        self.product: list[int] = []  # by rank
         vocab = model["vocab"]
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a] << 32 | vocab[b]] = rank
+            self.product.append(vocab[a + b])
         self.prefix_space = bool(spec["pre_tokenizer"].get("add_prefix_space"))
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.plain, self.odd = regex.compile(PATTERN), re.compile(PLAIN_PATTERN), re.compile(ODD)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -96,23 +108,24 @@ class Vocabulary:
         """The pre-tokens of ordinary text."""
         if self.prefix_space and text and not text[0].isspace():
             text = " " + text
-        return self.pattern.findall(text)
+        return self.pattern.findall(text) if self.odd.search(text) else self.plain.findall(text)
 
     def merged(self, word: bytes) -> list[int]:
         """Exact ids of one pre-token."""
         ids = [self.byte_id[b] for b in word]
         if len(ids) >= HEAP_FROM:
             return self._merged_long(ids)
-        get = self.merge.get
-        while len(ids) > 1:
-            best = None
-            for k in range(len(ids) - 1):
-                m = get((ids[k], ids[k + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        get, none = self.rank.get, len(self.product)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            new = self.product[best]
+            ids[at : at + 2] = [new]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(new << 32 | ids[at + 1], none)
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 32 | new, none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -125,8 +138,8 @@ class Vocabulary:
 
         def push(a: int) -> None:
             b = right[a]
-            if b < n and (m := self.merge.get((ids[a], ids[b]))) is not None:
-                heapq.heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+            if b < n and (rank := self.rank.get(ids[a] << 32 | ids[b])) is not None:
+                heapq.heappush(heap, (rank, a, ids[a], ids[b], self.product[rank]))
 
         for a in range(n - 1):
             push(a)
@@ -259,57 +272,69 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts; pre-tokens of a chunk are looked up together, and the last ones found are kept."""
+    """Encodes texts; the distinct pre-tokens of a chunk are looked up together. Lexicon words stay known; others only
+    for the chunk, since rare words seldom come again."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, tuple[list[int], str]] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > CACHE_WORDS:
-            self._known.clear()
-            new = list(words)
-        data = [w.encode("utf-8", "replace") for w in new]
-        for w, b, number in zip(new, data, self.lexicon.find(data).tolist(), strict=True):
-            self._known[w] = tuple(self.lexicon.ids_of(number)) if number >= 0 else tuple(self.vocabulary.merged(b))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """The ids of each text, and their decimal form joined by commas."""
         v = self.vocabulary
         split = [[(p, None) if special else (None, v.words(p)) for p, special in v.pieces(t)] for t in texts]
-        self._learn({w for parts in split for _, words in parts if words for w in words})
-        known, out = self._known, []
+        new = list({w for parts in split for _, words in parts if words for w in words}.difference(self._known))
+        data = [w.encode("utf-8", "replace") for w in new]
+        rare: dict[str, tuple[list[int], str]] = {}
+        for w, b, number in zip(new, data, self.lexicon.find(data).tolist(), strict=True):
+            ids = self.lexicon.ids_of(number) if number >= 0 else v.merged(b)
+            (self._known if number >= 0 else rare)[w] = (ids, ",".join(map(str, ids)))
+        known = self._known | rare if rare else self._known
+        out = []
         for parts in split:
-            ids: list[int] = []
+            found = []
             for special, words in parts:
                 if special is not None:
-                    ids.append(v.special[special])
+                    found.append(([v.special[special]], str(v.special[special])))
                 else:
-                    for w in words:
-                        ids += known[w]
-            out.append(ids)
+                    found += map(known.__getitem__, words)
+            out.append((list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])))
         return out
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", n: int = LEXICON_WORDS) -> list[str]:
-    """The n most frequent pre-tokens of all documents. Each task hands on a count for each of its distinct words."""
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = LEXICON_WORDS) -> list[str]:
+    """The pre-tokens of the about n most frequent words of all documents, words standing between white space.
+
+    Each task hands on a count for each of its distinct words; the least count that leaves at most n words is read off a
+    histogram, so no more than n words reach the driver, whatever the number of tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = Vocabulary(tokenizer), Counter()
+        counts: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
         for batch in small_batches(batches):
             for t in batch.column(0).to_pylist():
-                for piece, special in vocabulary.pieces(t or ""):
-                    if not special:
-                        counts.update(vocabulary.words(piece))
-            if len(counts) > CACHE_WORDS:
+                counts.update((t or "").split())
+            if len(counts) > COUNT_WORDS:
                 yield out()
                 counts.clear()
         yield out()
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long")
-    top = counted.where(F.octet_length("word") <= LONG_WORD).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [r.word for r in top.collect()]
+    scratch = Scratch(docs.sparkSession)
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").where(F.octet_length("word") <= LONG_WORD)
+    words = scratch.save(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    # counts on a scale of ten steps an octave
+    step = F.floor(F.log2("n") * 10).cast("int")
+    histogram = sorted(((r.step, r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
+    total, least = 0, None
+    for s, count in histogram:
+        if total + count > n:
+            break
+        total, least = total + count, s
+    found = [] if least is None else [r.word for r in words.where(step >= least).select("word").collect()]
+    scratch.drop("words")
+    pieces = {p for w in found for p in (*vocabulary.words(" " + w), *vocabulary.words(w))}
+    return sorted(pieces)
 
 
 def compile_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: list[str]) -> str:
@@ -344,7 +369,8 @@ ENCODED = T.StructType(
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the text decoded from them, and the ids."""
     spark = docs.sparkSession
-    name = compile_lexicon(spark, Vocabulary(tokenizer), frequent_words(docs, tokenizer, text_col, lexicon_words))
+    vocabulary = Vocabulary(tokenizer)
+    name = compile_lexicon(spark, vocabulary, frequent_words(docs, vocabulary, text_col, lexicon_words))
     schema = ENCODED if with_ids else T.StructType(ENCODED.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,10 +378,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder = Encoder(vocabulary, Lexicon.open(SparkFiles.get(name)))
         for batch in small_batches(batches):
             n, digest, decoded, every = [], [], [], []
-            for _, texts in chunked(batch.column(1).to_pylist()):
-                for ids in encoder.encode(texts):
+            for _, texts in chunked(batch.column(1).to_pylist(), ENCODE_CHUNK):
+                for ids, joined in encoder.encode(texts):
                     n.append(len(ids))
-                    digest.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    digest.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
                     if with_ids:
                         every.append(pa.array(ids, pa.int32()))

@@ -34,12 +34,23 @@ def test_ids_match_the_library(library, vocabulary, lexicon, tmp_path):
     bpe.Lexicon.build({w.encode(): vocabulary.merged(w.encode()) for w in lexicon}).save(str(tmp_path / "l"))
     encoder = bpe.Encoder(vocabulary, bpe.Lexicon.open(str(tmp_path / "l")))
     sample = texts()
-    for text, ids in zip(sample, encoder.encode(sample), strict=True):
+    for text, (ids, joined) in zip(sample, encoder.encode(sample), strict=True):
+        assert joined == ",".join(map(str, ids))
         want = library.encode(text, add_special_tokens=False).ids
         assert ids == want, text
         assert vocabulary.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_plain_pattern_is_equal_where_it_is_used(vocabulary):
+    rng = random.Random(1)
+    every = [chr(c) for c in range(0x250)]
+    for _ in range(20_000):
+        text = "".join(rng.choice(every) for _ in range(8))
+        if not vocabulary.odd.search(text):
+            assert vocabulary.plain.findall(text) == vocabulary.pattern.findall(text)
+    assert all(not vocabulary.odd.search(c) for c in "aé ß_ñ1.")
+
+
 def test_lexicon_is_minimal_and_complete(tmp_path):
     words = {w.encode(): [k, k + 1][: k % 3] for k, w in enumerate(["stop", "stops", "top", "tops", "step", "steps", "a", "ab", "abc", "été", "s"])}
     lexicon = bpe.Lexicon.build(words)
@@ -61,11 +72,11 @@ def test_long_merges_agree(vocabulary):
         word = bytes(rng.choice(b" thesaunr") for _ in range(rng.randint(1, 60)))
         slow = [vocabulary.byte_id[b] for b in word]
         while True:
-            ranked = [(vocabulary.merge[p][0], k) for k, p in enumerate(zip(slow, slow[1:], strict=False)) if p in vocabulary.merge]
+            ranked = [(vocabulary.rank[a << 32 | b], k) for k, (a, b) in enumerate(zip(slow, slow[1:], strict=False)) if a << 32 | b in vocabulary.rank]
             if not ranked:
                 break
             _, k = min(ranked)
-            slow[k : k + 2] = [vocabulary.merge[slow[k], slow[k + 1]][1]]
+            slow[k : k + 2] = [vocabulary.product[vocabulary.rank[slow[k] << 32 | slow[k + 1]]]]
         assert vocabulary.merged(word) == slow == vocabulary._merged_long([vocabulary.byte_id[b] for b in word])
 
 
