@@ -14,10 +14,11 @@ key agrees is (1 - 0.8**4)**32 < 1e-7. Candidates are then compared exactly, on
 Whole classes without all pairs:
 1. texts with the same words form one copy class; its least doc_id stands for it from here on;
 2. every band bucket compares its least member with each other member (a star, not all pairs);
-3. a bucket whose members are now in one component needs nothing more; in every other bucket the
-   members outside the least member's component are compared with all members of other components.
-So every two texts that share a bucket end in one component, or have been compared, at a cost that
-does not square with the size of a group of near copies. A comparison first looks at 2 bits of each
+3. a bucket whose members are now in one component needs nothing more; in other buckets, members whose
+   sketch is like that of a member of another component (a semi join, so a row each at most) are searched
+   for links across components by an exact prefix filter over their rarest runs of words.
+So every two texts that share a bucket end in one component, or have been compared or ruled out exactly,
+at a cost that does not square with the size of a group of near copies or of a shared template. A comparison first looks at 2 bits of each
 of the 128 coordinates, and is given up only if the estimate lies five standard deviations or more
 below the threshold; otherwise the exact weighted Jaccard similarity of both texts decides.
 
@@ -214,6 +215,51 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, s
     return out
 
 
+def elements(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """A text's weighted set as a plain set: the n-th occurrence of a run of words is an element of its own, so that set
+    similarity is weighted similarity."""
+    runs, counts = weighted(words, width)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    runs = np.repeat(runs, counts)
+    return np.where(nth == 0, runs, mix64(runs + nth.astype(_U) * _U(0xC2B2AE3D27D4EB4F)))
+
+
+def _prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of open documents of different components that can reach the threshold, exactly.
+
+    Elements are put in one order, rare ones first. Two sets that reach the threshold share an element among the first
+    n - ceil(t n) + 1 of each, and behind the first shared element both still hold enough. Pairs meet by such elements, so
+    documents of one template whose own changes are too many never meet, however many there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, rows=256):
+            ids, sizes, every = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            for _, part in chunked(batch.column(1).to_pylist()):
+                tokens = Tokens(part)
+                for i in range(len(part)):
+                    e = elements(tokens.of(i), width)
+                    sizes.append(len(e)), every.append(e)
+            n = np.array(sizes, dtype=np.int64)
+            if len(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(every).view(np.int64))], ["doc_id", "n", "element"])
+
+    ids = scratch.save(open_docs.select(F.col("copy_id").alias("doc_id")), "open-ids")
+    found = scratch.save(only_ids(texts, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, element long"), "elements")
+    times = found.groupBy("element").agg(F.count("*").alias("times")).where("times > 1")
+    # an element of one document only can't be shared, but it takes a place before all others
+    alone = found.join(times, "element").groupBy("doc_id", "n").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "element"))).alias("order"))
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    first = F.col("n") - F.col("shared")
+    prefix = alone.where(first < keep).select("doc_id", "n", first.alias("first"), F.posexplode(F.slice("order", F.lit(1), (keep - first).cast("int"))).alias("place", "o"))
+    prefix = prefix.select("doc_id", F.col("o.element").alias("element"), "n", (F.col("n") - F.col("first") - F.col("place")).alias("left"))
+    rows = scratch.save(prefix.join(open_docs.withColumnRenamed("copy_id", "doc_id"), "doc_id"), "prefix")
+    x, y = rows.where("minor").alias("x"), rows.alias("y")
+    need = threshold / (1 + threshold)
+    pairs = x.join(y, F.expr(f"x.element = y.element AND x.component <> y.component AND (NOT y.minor OR x.doc_id < y.doc_id) AND least(x.left, y.left) + 1e-6 >= {need!r}D * (x.n + y.n)"))
+    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 class NearDuplicates:
     """The result of find_near_duplicates: classes (a row a document row) and links between class members."""
 
@@ -253,15 +299,19 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = _compare(stars, texts, threshold, width, scratch)
     components = connected_components(links, scratch, "components")
 
-    # buckets that still hold several components
+    # buckets that still hold several components: their members are compared across components
     member = buckets.join(components, buckets.copy_id == components.id, "left").select("band", "leader", "copy_id", F.coalesce("component", "copy_id").alias("component"))
     member = scratch.save(member, "member")
     mixed = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("copy_id") == F.col("leader"), F.col("component"))).alias("major")).where("low <> high").select("band", "major")
-    open_rows = member.join(mixed, "band").where("copy_id <> leader").select("band", "copy_id", "component", (F.col("component") != F.col("major")).alias("minor"))
-    open_rows = scratch.save(open_rows, "open")
+    # of their members only those matter that look alike a member of another component of the same bucket
+    open_rows = member.join(mixed, "band").join(sketches, member.copy_id == sketches.id).select("band", "copy_id", "component", (F.col("component") != F.col("major")).alias("minor"), "sketch")
+    open_rows = scratch.save(open_rows, "open-rows")
     x, y = open_rows.where("minor").alias("x"), open_rows.alias("y")
-    rest = x.join(y, F.expr("x.band = y.band AND x.component <> y.component AND (NOT y.minor OR x.copy_id < y.copy_id)"))
-    rest = rest.select(F.least("x.copy_id", "y.copy_id").alias("a"), F.greatest("x.copy_id", "y.copy_id").alias("b")).distinct()
+    alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (agreement("x.sketch", "y.sketch") >= least_agreement(threshold))
+    found = x.join(y, alike, "left_semi").select("copy_id", "component", F.lit(True).alias("minor")).unionAll(y.join(x, alike, "left_semi").select("copy_id", "component", F.lit(False).alias("minor")))
+    open_docs = scratch.save(found.groupBy("copy_id").agg(F.max("component").alias("component"), F.max("minor").alias("minor")), "open")
+    scratch.drop("buckets", "member", "open-rows")
+    rest = scratch.save(_prefix_pairs(open_docs, texts, threshold, width, scratch), "rest-pairs")
     rest = scratch.save(likely(rest).join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = scratch.save(links.unionAll(_compare(rest, texts, threshold, width, scratch)), "all-links")

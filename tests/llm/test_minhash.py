@@ -79,6 +79,32 @@ def test_classes_match_brute_force(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in got.values()})
 
 
+def test_links_outside_the_star_are_found(spark):
+    """A template whose copies are too far from the least one and from each other, but for planted pairs."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(240)]
+    docs, n = [], 0
+
+    def changed(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = f"c{rng.randrange(10**9)}"
+        return out
+
+    for g in range(70):
+        own = changed(base, 9)
+        docs.append((n, " ".join(own)))
+        n += 1
+        if g % 7 == 0:
+            docs.append((n, " ".join(changed(own, 2))))
+            n += 1
+    rng.shuffle(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in mh.find_near_duplicates(table).classes.collect()}
+    assert got == brute_classes(docs)
+    assert len(set(got.values())) < len(got)
+
+
 def test_repeated_rows_and_nulls(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (1, text), (2, text.upper()), (None, text), (None, text), (3, None), (3, None), (4, "solo text")]
