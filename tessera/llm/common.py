@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ids that may be broadcast to keep whole texts out of a shuffle; beyond it the join shuffles.
-BROADCAST_IDS = 1_500_000
+#: Values of ids (rows times columns) that may be broadcast to keep wide rows out of a shuffle; beyond it the join shuffles.
+BROADCAST_IDS = 2_000_000
 
 
 class Scratch:
@@ -80,5 +80,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
 def only_ids(rows: DataFrame, ids: DataFrame, *columns: str, how: str = "left_semi") -> DataFrame:
     """Rows whose `columns` are (left_anti: are not) among the distinct ids, a saved table of the same columns:
     by broadcast if they are few enough, which spares shuffling wide rows, else by a shuffled join."""
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() * len(columns) <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, list(columns), how)

@@ -12,8 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text a chunk holds before it is handed on (one longer text is a chunk of its own).
-CHUNK_BYTES = 1 << 20
+#: Characters of text a chunk holds before it is handed on (one longer text is a chunk of its own); its arrays fit a core's cache.
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64

@@ -35,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, only_ids
-from tessera.llm.kernel import U128, prefix_hash, range_hash, small_batches
+from tessera.llm.kernel import U128, chunked, prefix_hash, range_hash, small_batches
 
 LENGTH = 200
 GRAM = 50
@@ -60,22 +61,34 @@ def _block_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, gram hash, first window, last window) of every anchor of one text; windows tile 0..len - length."""
-    windows = len(data) - length + 1
-    if windows <= 0:
+_BITS = _U(32)
+_ROOM = _U((1 << 32) - 1)
+
+
+def anchors(parts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, position, gram hash, first window, last window) of every anchor of a chunk of texts; a text's windows tile
+    0..len - length. All texts are searched in one buffer; windows across two texts don't count."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    begins = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    if len(data) < length:
         e = np.empty(0, np.int64)
-        return e, np.empty(0, _U), e, e
+        return e, e, np.empty(0, _U), e, e
     starts = np.arange(len(data) - gram + 1)
     hashes = range_hash(prefix_hash(data), starts, starts + gram)
-    # the least hash first, of equal ones the last position
-    bits = _U(max(1, int(len(starts)).bit_length()))
-    room = (_U(1) << bits) - _U(1)
-    key = ((hashes >> bits) << bits) | (room - starts.astype(_U))
-    least = (room - (_block_minima(key, length - gram + 1) & room)).astype(np.int64)
-    change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    at = least[change]
-    return at, hashes[at], change, np.concatenate((change[1:], [windows])) - 1
+    # the least hash first, of equal ones the last position; 32 bits of hash decide, 32 hold the position
+    key = ((hashes >> _BITS) << _BITS) | (_ROOM - starts.astype(_U))
+    least = _block_minima(key, length - gram + 1)
+    count = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(parts)), count)
+    local = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    window = begins[owner] + local
+    at = (_ROOM - (least[window] & _ROOM)).astype(np.int64)
+    new = np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))) if len(at) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(at)])) - 1 if len(first) else first
+    text = owner[first]
+    return text, at[first] - begins[text], hashes[at[first]], local[first], local[last]
 
 
 def rounds(length: int = LENGTH, gram: int = GRAM) -> list[int]:
@@ -88,6 +101,7 @@ def _name(data: bytes, seed: int) -> tuple[int, int]:
     return U128.signed(data, seed)
 
 
+digest = xxhash.xxh3_128_digest
 _SAMPLE = "gram long, u1 long, u2 long, d long, k long, pos int, lo int, n int"
 _NODE = "r1 long, r2 long, u1 long, u2 long, d long, k long, pos int, lo int, n int, settled boolean"
 
@@ -106,9 +120,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8), length, gram)[1] for t in batch.column(0).to_pylist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+            for _, part in chunked(batch.column(0).to_pylist()):
+                found = anchors([t.encode("utf-8", "surrogatepass") for t in part], length, gram)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["gram"])
 
     return texts.where(F.octet_length("text") >= length).select("text").mapInArrow(run, "gram long")
 
@@ -118,17 +132,16 @@ def _samples(texts: DataFrame, length: int, gram: int) -> DataFrame:
     schema = _arrow(_SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, rows=256):
-            parts: list[list] = [[] for _ in schema]
-            for d, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = t.encode("utf-8", "surrogatepass")
-                at, h, first, last = anchors(np.frombuffer(data, dtype=np.uint8), length, gram)
+        for batch in small_batches(batches):
+            d, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for begin, part in chunked(batch.column(2).to_pylist()):
+                data = [t.encode("utf-8", "surrogatepass") for t in part]
+                text, at, h, first, last = anchors(data, length, gram)
                 lo, n = at - first, last - first
-                names = [_name(data[p : q + length], a << 20 | b) for p, q, a, b in zip(first.tolist(), last.tolist(), lo.tolist(), n.tolist(), strict=True)]
-                for column, values in zip(parts, (h.view(np.int64), [x[0] for x in names], [x[1] for x in names], np.full(len(at), d), np.full(len(at), k), at, lo, n), strict=True):
-                    column.append(np.asarray(values, dtype=np.int64))
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(parts, schema, strict=True)], schema=schema)
+                seeds = (lo << 20 | n).tolist()
+                names = np.frombuffer(b"".join([digest(data[i][p : q + length], s) for i, p, q, s in zip(text.tolist(), first.tolist(), last.tolist(), seeds, strict=True)]), dtype=">i8").astype(np.int64)
+                columns = (h.view(np.int64), names[0::2], names[1::2], d[begin + text], k[begin + text], at, lo, n)
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return texts.where(F.octet_length("text") >= length).select("d", "k", "text").mapInArrow(run, _SAMPLE)
 
@@ -175,8 +188,9 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     shared = only_ids(_samples(texts, length, gram), grams, "gram")
     rep = F.min(F.struct("d", "k", "pos", "lo", "n")).alias("rep")
     classes = scratch.save(shared.groupBy("gram", "u1", "u2").agg((F.count("*") > 1).alias("settled"), rep), "classes")
-    settled = scratch.save(classes.where("settled").select("gram", "u1", "u2"), "settled")
-    spans = scratch.save(only_ids(shared, settled, "gram", "u1", "u2").groupBy("d", "k").agg(F.collect_set(span()).alias("spans")), "spans")
+    # a hull's name also tells its gram
+    settled = scratch.save(classes.where("settled").select("u1", "u2"), "settled")
+    spans = scratch.save(only_ids(shared, settled, "u1", "u2").groupBy("d", "k").agg(F.collect_set(span()).alias("spans")), "spans")
     nodes = scratch.save(_rank(classes, "gram"), "open")
     for width in rounds(length, gram):
         if not nodes.limit(1).count():

@@ -58,12 +58,21 @@ def test_anchors_tile_all_windows():
     rng = np.random.default_rng(0)
     for n in (0, 199, 200, 201, 350, 351, 5000):
         data = rng.integers(97, 99, n).astype(np.uint8)
-        at, _, first, last = sx.anchors(data)
+        _, at, _, first, last = sx.anchors([data.tobytes()])
         covered = [p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)]
         assert covered == list(range(max(0, n - 199)))
         assert all(a <= x <= a + 150 and b <= x <= b + 150 for x, a, b in zip(at, first, last, strict=True))
 
 
+def test_anchors_do_not_depend_on_the_chunk():
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"abc ") for _ in range(rng.choice([0, 10, 199, 200, 900]))) for _ in range(30)]
+    text, *rest = sx.anchors(parts)
+    for i, part in enumerate(parts):
+        for together, alone in zip(rest, sx.anchors([part])[1:], strict=True):
+            assert np.array_equal(together[text == i], alone)
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark):
     text = "".join(random.Random(9).choice("abcdef ") for _ in range(500))
     rows = [(1, text), (1, text), (2, "x" + text), (None, text[:300]), (None, None), (3, None), (4, "é" * 100), (4, "y" * 120)]
