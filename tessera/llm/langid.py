@@ -101,9 +101,9 @@ class Filters:
             self.table[plane, s] |= _U(1 << bit)
 
     def finish(self) -> Filters:
-        bits = np.arange(64, dtype=_U)
-        density = [((self.table[p][:, None] >> bits) & _U(1)).mean(axis=0) for p in range(self.planes)]
-        self.false_rate = np.concatenate(density)[: len(self.langs)] ** self.hashes
+        # one language at a time: all bits of a plane at once would be half a gigabyte on the driver
+        density = [((self.table[i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(self.langs))]
+        self.false_rate = np.array(density, dtype=float) ** self.hashes
         return self
 
     def counts(self, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
