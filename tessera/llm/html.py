@@ -6,9 +6,10 @@ path gets three ratios: text per node, punctuation per node, and the share of te
 first two are smoothed over the page's order with a Gaussian of neighbouring blocks, the ratios are
 fused by multiplication, and paths at or above a threshold of the page's own (a share of the text-weighted
 mean) are content. Paths below an element that never holds main text (navigation, header, footer,
-aside, forms, notices, adverts, comments, by element, role, class or id) are left out first. If the page
-marks its article, or its main element, only paths below that count, and every block there stays: short
-paragraphs and headings of an article are content too.
+aside, forms, notices, adverts, comments, by element, role, class or id) are left out first. An article or
+main element is a weight: paths below it count WEIGHT times, and their text and punctuation score at least as
+the element's own mean, as short paragraphs, cells and headings of an article are content too. Where little
+of the page's text is marked, paths outside can still score as content; lists of links score nothing anywhere.
 
 Blocks are the text between block-level tags; a line break ends none. Character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line feed in page order.
@@ -34,6 +35,8 @@ from tessera.llm.kernel import small_batches
 
 #: A path is content from this share of the page's text-weighted mean score.
 THRESHOLD = 0.25
+#: How much more a path counts below an article or main element.
+WEIGHT = 16.0
 #: Blocks to each side that smoothing looks at, and the width of its Gaussian.
 WINDOW, SIGMA = 2, 1.0
 
@@ -58,6 +61,8 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
+_INLINE = frozenset("b i em strong a span".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？¿¡]")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -173,31 +178,57 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _element(label: str) -> str:
+    return label.split(".")[0].split("#")[0]
+
+
+def _paths(path: tuple) -> tuple[tuple, tuple, bool]:
+    """A node's path without inline elements, that of its innermost article or main, and if it is in a heading."""
+    key = tuple(p for p in path if _element(p) not in _INLINE)
+    names = [_element(p) for p in key]
+    last = max((k for k, name in enumerate(names) if name in ("article", "main")), default=-1)
+    return key, key[: last + 1], not _HEADING.isdisjoint(names)
+
+
 def content_blocks(found: list[Node]) -> set[int]:
     """The blocks whose tag paths score as content."""
     live = [x for x in found if not x.off and not x.text.isspace()]
-    scope = max((x.scope for x in live), default=0)
-    if scope:
-        return {x.block for x in live if x.scope == scope}
     if not live:
         return set()
+    known: dict[tuple, tuple[tuple, tuple, bool]] = {}
     sums: dict[tuple, list[float]] = {}
+    marked: dict[tuple, tuple] = {}  # path to its article or main element
     for x in live:
-        s = sums.setdefault(tuple(p for p in x.path if p.split(".")[0].split("#")[0] not in ("b", "i", "em", "strong", "a", "span")), [0.0, 0.0, 0.0, 0.0])
+        if x.path not in known:
+            known[x.path] = _paths(x.path)
+        key, inside, heading = known[x.path]
+        if x.scope:
+            marked[key] = inside
+        s = sums.setdefault(key, [0.0, 0.0, 0.0, 0.0])
         n = len(x.text.strip())
         s[0] += n
         s[1] += len(_PUNCTUATION.findall(x.text))
         s[2] += 1
-        s[3] += n * x.linked
+        s[3] += n * (x.linked and not (x.scope and heading))  # an article's heading may link to the article
     # paths in the order they first occur; both ratios are smoothed along it
     keys = list(sums)
     text = _smooth([sums[k][0] / sums[k][2] for k in keys])
     marks = _smooth([sums[k][1] / sums[k][2] for k in keys])
-    score = {k: t * (1 + p) * (1 - sums[k][3] / max(sums[k][0], 1)) for k, t, p in zip(keys, text, marks, strict=True)}
+    score = {k: t * (1 + p) for k, t, p in zip(keys, text, marks, strict=True)}
+    whole: dict[tuple, list[float]] = {}
+    for k, inside in marked.items():
+        w = whole.setdefault(inside, [0.0, 0.0])
+        w[0] += score[k] * sums[k][0]
+        w[1] += sums[k][0]
+    for k in keys:
+        if k in marked:
+            w = whole[marked[k]]
+            score[k] = WEIGHT * max(score[k], w[0] / max(w[1], 1))
+        score[k] *= 1 - sums[k][3] / max(sums[k][0], 1)
     total = sum(s[0] for s in sums.values())
     mean = sum(score[k] * sums[k][0] for k in keys) / max(total, 1)
     keep = {k for k in keys if score[k] >= THRESHOLD * mean and score[k] > 0}
-    return {x.block for x in live if tuple(p for p in x.path if p.split(".")[0].split("#")[0] not in ("b", "i", "em", "strong", "a", "span")) in keep}
+    return {x.block for x in live if known[x.path][0] in keep}
 
 
 def main_text(page: str | None) -> str:

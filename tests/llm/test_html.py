@@ -32,6 +32,20 @@ def test_page_without_article_by_tag_paths():
     assert text.split("\n") == [(PROSE * 2 + str(k)).strip() for k in range(6)]
 
 
+def test_marked_elements_weigh_in_the_ratios():
+    story = [PROSE * 2 + str(k) for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    teaser = "<article class=teaser><p>More of it</p></article>"
+    # an article inside of main takes nothing from main's own text, and a teaser nothing from a long story that no element marks
+    assert set(story) <= set(main_text(f"<body><main><div>{body}</div>{teaser}</main></body>").split("\n"))
+    assert set(story) <= set(main_text(f"<body><div id=story>{body}</div>{teaser}</body>").split("\n"))
+    # links score nothing in main; an article's linked heading and its short cells stay, text beside the article does not
+    links = "<div class=more>" + "".join(f"<p><a href=/{k}>Link number {k}</a></p>" for k in range(20)) + "</div>"
+    assert main_text(f"<main>{body}{links}</main>").split("\n") == story
+    table = "<ul><li>x</li></ul><dl><dt>w</dt></dl><table><tr><td>1</td></tr></table>"
+    assert main_text(f"<div>{PROSE}</div><article><h1><a href=/>Title</a></h1>{body}{table}</article>").split("\n") == ["Title", *story, "x", "w", "1"]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
