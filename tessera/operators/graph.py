@@ -26,6 +26,14 @@ def named_neighbours(rows: DataFrame, key: str, name: str, alias: str, most: int
     return rows.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), ",").alias(alias))
 
 
+def shared_neighbours(links: DataFrame, node: str, middle: str) -> DataFrame:
+    """source, target, shared: every pair of nodes (source < target) that link to a common middle node, with the number of those."""
+    once = links.select(F.col(node).alias("_n"), F.col(middle).alias("_m")).distinct()
+    a, b = once.alias("a"), once.alias("b")
+    pairs = a.join(b, F.expr("a._m = b._m AND a._n < b._n"))
+    return pairs.groupBy(F.col("a._n").alias("source"), F.col("b._n").alias("target")).agg(F.count("*").alias("shared"))
+
+
 def parents(children: DataFrame, middle: DataFrame, roots: DataFrame, key: str, branch: list[str], family: str) -> DataFrame:
     """Each child's parent: the one middle node of its branch if there is exactly one, else its family's root."""
     one = middle.groupBy(*branch).agg(F.count("*").alias("_n"), F.min(key).alias("_one")).where("_n = 1").drop("_n")

@@ -81,9 +81,19 @@ def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def three_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_custkey % 20 = 1").select("o_custkey", "o_orderkey")
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 200).alias("p"))
-    links = o.join(li, "o_orderkey").select("o_custkey", "p").distinct()
-    a, b = links.alias("a"), links.alias("b")
-    return a.join(b, F.expr("a.p = b.p AND a.o_custkey < b.o_custkey")).groupBy(F.col("a.o_custkey").alias("source"), F.col("b.o_custkey").alias("target")).agg(F.count("*").alias("shared")).where("shared >= 3")
+    return gr.shared_neighbours(o.join(li, "o_orderkey"), "o_custkey", "p").where("shared >= 3")
+
+
+@query(
+    "jn12_three_hop_all", "JN12",
+    """WITH l AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT a.o_custkey AS source, b.o_custkey AS target, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.o_custkey < b.o_custkey GROUP BY ALL""",
+)
+def three_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers over real part keys, every pair that shares a part; jn12_three_hop is its sample."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return gr.shared_neighbours(o.join(li, "o_orderkey"), "o_custkey", "l_partkey")
 
 
 @query(
