@@ -43,15 +43,28 @@ def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def delta_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three feeds as one, grouped by what they change, with the root that each change falls under."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    return _queue(table(spark, sf_dir, "events").where("event_id % 3 = 0"), table(spark, sf_dir, "customer"))
+
+
+def _queue(e: DataFrame, customers: DataFrame) -> DataFrame:
     feed = lambda rows, kind: rows.select(F.col("user_id").alias("law"), "event_id", F.lit(kind).alias("kind"))
     t = F.col("event_type")
     feeds = feed(e.where(t == "error"), "deleted").unionByName(feed(e.where(t == "purchase"), "law_changed")).unionByName(feed(e.where(~t.isin("error", "purchase")), "article_changed"))
     queue = mg.latest(feeds, ["event_id"], "law").groupBy("law").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("law"), F.col("c_nationkey").alias("root"))
+    roots = customers.select(F.col("c_custkey").alias("law"), F.col("c_nationkey").alias("root"))
     return queue.join(roots, "law", "left").select("law", "n", "kinds", F.coalesce("root", F.lit(-1)).alias("root"))
 
 
+@query(
+    "sc7_delta_queue_all", "SC7 JN15 SM3",
+    """WITH e AS (SELECT user_id AS law, event_id, CASE event_type WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'law_changed' ELSE 'article_changed' END AS kind FROM events)
+    SELECT law, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, coalesce(min(c_nationkey), -1) AS root FROM e LEFT JOIN customer ON c_custkey = law GROUP BY law""",
+)
+def delta_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue of all events; sc7_delta_queue is its sample."""
+    return _queue(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
+
+
 @query(
     "sm3_apply_patch", "SM3 SM5 ST1 SK4",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 10 <> 4""",

@@ -94,11 +94,26 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT b.bucket, lv.level, (SELECT count(*) FROM e WHERE e.bucket = b.bucket AND e.level = lv.level) AS n, (SELECT arg_max(e.level, l2.no) FROM e JOIN lv l2 ON l2.level = e.level WHERE e.bucket = b.bucket) AS worst FROM b, lv""",
 )
 def ordinal_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(table(spark, sf_dir, "events").where("event_id % 11 = 0"))
+
+
+def _levels(events: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for p in (("view", "none"), ("click", "low"), ("signup", "mid"), ("purchase", "high")) for x in p])
-    e = table(spark, sf_dir, "events").where("event_id % 11 = 0").select((F.col("user_id") % 10).alias("bucket"), F.coalesce(F.try_element_at(names, "event_type"), F.lit("crit")).alias("level"))
+    e = events.select((F.col("user_id") % 10).alias("bucket"), F.coalesce(F.try_element_at(names, "event_type"), F.lit("crit")).alias("level"))
     return mg.level_counts(e, "bucket", "level", ("none", "low", "mid", "high", "crit"))
 
 
+@query(
+    "ag13_ordinal_max_all", "AG13",
+    """WITH lv(level, no) AS (VALUES ('none', 0), ('low', 1), ('mid', 2), ('high', 3), ('crit', 4)), e AS (SELECT user_id % 10 AS bucket, CASE event_type WHEN 'view' THEN 'none' WHEN 'click' THEN 'low' WHEN 'signup' THEN 'mid' WHEN 'purchase' THEN 'high' ELSE 'crit' END AS level FROM events),
+    c AS (SELECT bucket, level, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT bucket, arg_max(level, no) AS worst FROM c JOIN lv USING (level) GROUP BY bucket)
+    SELECT w.bucket, lv.level, coalesce(c.n, 0) AS n, w.worst FROM w CROSS JOIN lv LEFT JOIN c ON c.bucket = w.bucket AND c.level = lv.level""",
+)
+def ordinal_max_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events; ag13_ordinal_max is its sample."""
+    return _levels(table(spark, sf_dir, "events"))
+
+
 @query(
     "ag14_mode_tiebreak", "AG14 AG15",
     """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, struct_pack(a := n, b := CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END)) AS rule, max(n) AS n FROM c GROUP BY user_id""",

@@ -18,3 +18,19 @@ def test_three_hop_covers_all_customers_and_parts(spark, tmp_path):
     got = run(spark, "jn12_three_hop_all", tmp_path, orders=(orders, "o_custkey long, o_orderkey long"), lineitem=(lines, "l_orderkey long, l_partkey long"))
     want = {(a, b, len(bought[a] & bought[b])) for a, b in combinations(sorted(bought), 2) if bought[a] & bought[b]}
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+EVENTS = [(1, 10, "view"), (2, 10, "error"), (4, 23, "purchase"), (5, 23, "click"), (7, 23, "click"), (11, 5, "signup"), (3, 10, "view")]
+EVENT = "event_id long, user_id long, event_type string"
+
+
+def test_levels_count_all_events(spark, tmp_path):
+    got = {(r.bucket, r.level): (r.n, r.worst) for r in run(spark, "ag13_ordinal_max_all", tmp_path, events=(EVENTS, EVENT))}
+    held = {(0, "none"): 2, (0, "crit"): 1, (3, "high"): 1, (3, "low"): 2, (5, "mid"): 1}
+    worst = {0: "crit", 3: "high", 5: "mid"}
+    assert got == {(b, level): (held.get((b, level), 0), w) for b, w in worst.items() for level in ("none", "low", "mid", "high", "crit")}
+
+
+def test_queue_holds_all_events(spark, tmp_path):
+    got = run(spark, "sc7_delta_queue_all", tmp_path, events=(EVENTS, EVENT), customer=([(23, 4)], "c_custkey long, c_nationkey int"))
+    assert sorted((r.law, r.n, r.kinds, r.root) for r in got) == [(5, 1, "article_changed", -1), (10, 3, "article_changed,deleted", -1), (23, 3, "article_changed,law_changed", 4)]
