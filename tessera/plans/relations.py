@@ -178,12 +178,28 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def appendix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A containment join within one key, nested into a list, with a sentinel where nothing matches."""
     part = table(spark, sf_dir, "part")
-    p = part.where("p_partkey % 7 = 0").select("p_partkey", "p_brand", "p_type")
-    k = part.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("b"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("marker")).distinct()
+    return _marker_links(part.where("p_partkey % 7 = 0"), part.where("p_partkey % 5 = 0"))
+
+
+def _marker_links(parts: DataFrame, marking: DataFrame) -> DataFrame:
+    p = parts.select("p_partkey", "p_brand", "p_type")
+    k = marking.select(F.col("p_brand").alias("b"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("marker")).distinct()
     links = p.join(k, (F.col("p_brand") == F.col("b")) & F.contains("p_type", "marker")).select("p_partkey", "marker")
     return mg.nest(p, links, "p_partkey", "marker", "markers", "none")
 
 
+@query(
+    "jn5_appendix_links_all", "JN5 JN6 JN7 FN50",
+    """WITH k AS (SELECT DISTINCT p_brand AS b, split_part(p_type, ' ', 1) AS marker FROM part),
+    l AS (SELECT p_partkey, marker FROM part p JOIN k ON p.p_brand = k.b AND contains(p.p_type, k.marker))
+    SELECT p.p_partkey, count(l.marker) AS n, coalesce(string_agg(l.marker, ',' ORDER BY l.marker), 'none') AS markers FROM part p LEFT JOIN l USING (p_partkey) GROUP BY p.p_partkey""",
+)
+def appendix_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts against all distinct (brand, marker) pairs; jn5_appendix_links is its sample."""
+    part = table(spark, sf_dir, "part")
+    return _marker_links(part, part)
+
+
 @query(
     "jn8_cascade", "JN8 JN15 WN15",
     """SELECT c.c_custkey, coalesce(a.s_suppkey, b.s_suppkey, d.s_suppkey) AS found, CASE WHEN a.s_suppkey IS NOT NULL THEN 1 WHEN b.s_suppkey IS NOT NULL THEN 2 WHEN d.s_suppkey IS NOT NULL THEN 3 END AS tier FROM customer c

@@ -34,3 +34,10 @@ def test_levels_count_all_events(spark, tmp_path):
 def test_queue_holds_all_events(spark, tmp_path):
     got = run(spark, "sc7_delta_queue_all", tmp_path, events=(EVENTS, EVENT), customer=([(23, 4)], "c_custkey long, c_nationkey int"))
     assert sorted((r.law, r.n, r.kinds, r.root) for r in got) == [(5, 1, "article_changed", -1), (10, 3, "article_changed,deleted", -1), (23, 3, "article_changed,law_changed", 4)]
+
+
+def test_links_cover_all_parts_and_markers(spark, tmp_path):
+    parts = [(1, "A", "TIN BOX"), (2, "A", "BOX TIN"), (3, "A", "BIG TIN BOX"), (4, "B", "BOX"), (8, "B", "OLD"), (9, "C", None)]
+    got = run(spark, "jn5_appendix_links_all", tmp_path, part=(parts, "p_partkey long, p_brand string, p_type string"))
+    want = [(1, 2, "BOX,TIN"), (2, 2, "BOX,TIN"), (3, 3, "BIG,BOX,TIN"), (4, 1, "BOX"), (8, 1, "OLD"), (9, 0, "none")]
+    assert sorted((r.p_partkey, r.n, r.markers) for r in got) == want
