@@ -18,6 +18,19 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def places(rows: DataFrame, group: str, kind: str, key: str, width: int = 4096) -> DataFrame:
+    """Rows with their place in the group by (kind, key). key: whole numbers, distinct in a group; no task holds a whole group: rows are numbered
+    in ranges of `width` keys, and the ranges' counts are summed up."""
+    cut = rows.withColumn("_b", F.floor(F.col(key) / width))
+    parts = [F.col(c) for c in (group, kind, "_b")]
+    counts = cut.groupBy(F.col(group).alias("_g"), F.col(kind).alias("_k"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_k", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_g", "_k", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = cut.withColumn("_r", F.row_number().over(Window.partitionBy(*parts).orderBy(key)))
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col(kind).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))
+    return numbered.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_r")).cast("long").alias("place"))
+
+
 def raw_text_key(source_id: str = "source_id", text: str = "text") -> Column:
     """The id, or a digest of the first 800 characters as they are (fusion's notion of one document)."""
     return F.coalesce(F.when(F.col(source_id) != "", F.col(source_id)), F.concat(F.lit("text::"), F.sha1(F.substring(F.coalesce(text, F.lit("")), 1, 800))))

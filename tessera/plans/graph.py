@@ -73,6 +73,12 @@ def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.neighbours(edges(spark, sf_dir).where(F.col("src").isin("r1", "n3")), nodes(spark, sf_dir)).select("src", "id", "name")
 
 
+@query("gr8_one_hop_all", "GR8 GR9 GR10 GR11 SC16", f"WITH {_NODES}, {_EDGES} SELECT e.src, n.id, n.name FROM edges e JOIN nodes n ON n.id = e.dst")
+def one_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges; gr8_one_hop expands two nodes."""
+    return gr.neighbours(edges(spark, sf_dir), nodes(spark, sf_dir)).select("src", "id", "name")
+
+
 @query(
     "jn12_three_hop", "JN12",
     """WITH l AS (SELECT DISTINCT o_custkey, l_partkey % 200 AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 1)

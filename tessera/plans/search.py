@@ -6,7 +6,7 @@ law's name. The query vectors are those of three fixed vec_ids, the query terms
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequential import pack_context
@@ -243,11 +243,24 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 9 END, doc_id) AS place FROM documents WHERE source = 'src4'""",
 )
 def type_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit(0), F.lit("fr"), F.lit(1)), "lang"), F.lit(9))
-    rows = table(spark, sf_dir, "documents").where("source = 'src4'").select("doc_id", "source", kind.alias("kind"))
+    rows = table(spark, sf_dir, "documents").where("source = 'src4'").select("doc_id", "source", _type_kind().alias("kind"))
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("kind", "doc_id")).cast("long").alias("place"))
 
 
+def _type_kind() -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit(0), F.lit("fr"), F.lit(1)), "lang"), F.lit(9))
+
+
+@query(
+    "so3_type_order_all", "SO3",
+    """SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 9 END, doc_id) AS place FROM documents""",
+)
+def type_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, ordered within each source; so3_type_order orders one source."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", _type_kind().alias("kind"))
+    return rk.places(rows, "source", "kind", "doc_id").select("doc_id", "place")
+
+
 @query("vs11_context_pack", "VS11 VS12 FN5 FN42")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy packing of each language's top 50 under a budget: a row that does not fit is skipped, later ones may fit."""
@@ -263,11 +276,27 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries; a hit is an English document that holds the item's first 40 characters within the first three."""
-    items = rt.small(table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("head")), 100_000)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").alias("text"))
+    return _hit_rates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.substring("text", 1, 40))
+
+
+def _hit_rates(benchmark: DataFrame, documents: DataFrame, wanted: Column) -> DataFrame:
+    items = rt.small(benchmark.select("item_id", F.lower(wanted).alias("head")), 100_000)
+    docs = documents.select("doc_id", "lang", F.lower("text").alias("text"))
     pairs = docs.join(items, F.contains("text", "head")).select("item_id", "doc_id", "lang")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 3")
     hits = ranked.groupBy("item_id").agg(F.bool_or(F.col("lang") == "en").alias("hit"))
-    all_items = table(spark, sf_dir, "benchmark").join(hits, "item_id", "left").select(F.when(F.col("item_id") % 2 == 0, "normative").otherwise("case_law").alias("intent"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    all_items = benchmark.join(hits, "item_id", "left").select(F.when(F.col("item_id") % 2 == 0, "normative").otherwise("case_law").alias("intent"), F.coalesce("hit", F.lit(False)).alias("hit"))
     out = all_items.rollup("intent").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"))
     return out.select(F.coalesce("intent", F.lit("all")).alias("intent"), "n", "hits", "rate")
+
+
+@query(
+    "ag12_hit_at_k_all", "AG12 AG19 VS15 SK14",
+    """WITH pairs AS (SELECT item_id, doc_id, lang FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM pairs),
+    hit AS (SELECT b.item_id, CASE b.item_id % 2 WHEN 0 THEN 'normative' ELSE 'case_law' END AS intent, coalesce(bool_or(rank <= 3 AND lang = 'en'), FALSE) AS hit FROM benchmark b LEFT JOIN ranked r USING (item_id) GROUP BY ALL)
+    SELECT coalesce(intent, 'all') AS intent, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 6) AS rate FROM hit GROUP BY ROLLUP (intent)""",
+)
+def hit_at_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hit holds the whole text of the item; ag12_hit_at_k looks at its first 40 characters."""
+    return _hit_rates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.col("text"))

@@ -41,3 +41,29 @@ def test_links_cover_all_parts_and_markers(spark, tmp_path):
     got = run(spark, "jn5_appendix_links_all", tmp_path, part=(parts, "p_partkey long, p_brand string, p_type string"))
     want = [(1, 2, "BOX,TIN"), (2, 2, "BOX,TIN"), (3, 3, "BIG,BOX,TIN"), (4, 1, "BOX"), (8, 1, "OLD"), (9, 0, "none")]
     assert sorted((r.p_partkey, r.n, r.markers) for r in got) == want
+
+
+def test_order_covers_all_sources(spark, tmp_path):
+    docs = [(i, f"src{i % 3}" if i % 7 else None, ("de", "en", "fr", None)[i * i % 11 % 4]) for i in range(0, 20_000, 53)]
+    got = {r.doc_id: r.place for r in run(spark, "so3_type_order_all", tmp_path, documents=(docs, "doc_id long, source string, lang string"))}
+    want = {}
+    for source in {d[1] for d in docs}:
+        rows = sorted((d for d in docs if d[1] == source), key=lambda d: ({"en": 0, "fr": 1}.get(d[2], 9), d[0]))
+        want |= {d[0]: k for k, d in enumerate(rows, 1)}
+    assert got == want
+
+
+def test_one_hop_expands_all_edges(spark, tmp_path):
+    got = run(
+        spark, "gr8_one_hop_all", tmp_path,
+        region=([(0, "R0"), (1, "R1")], "r_regionkey int, r_name string"), nation=([(5, 0, "N5"), (6, 1, "N6")], "n_nationkey int, n_regionkey int, n_name string"),
+        customer=([(9, 5, "C9"), (8, 6, "C8")], "c_custkey long, c_nationkey int, c_name string"),
+    )
+    assert sorted(map(tuple, got)) == [("n5", "c9", "C9"), ("n6", "c8", "C8"), ("r0", "n5", "N5"), ("r1", "n6", "N6")]
+
+
+def test_hits_hold_the_whole_item(spark, tmp_path):
+    item = "The same forty characters stand here at first, then it differs"
+    docs = [(1, "x " + item[:45] + " and ends otherwise", "en"), (2, "x " + item.upper(), "de"), (3, "Other words", "en")]
+    got = run(spark, "ag12_hit_at_k_all", tmp_path, benchmark=([(0, item), (1, "other words")], "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string"))
+    assert {r.intent: (r.n, r.hits) for r in got} == {"all": (2, 1), "normative": (1, 0), "case_law": (1, 1)}
