@@ -67,3 +67,7 @@ def test_hits_hold_the_whole_item(spark, tmp_path):
     docs = [(1, "x " + item[:45] + " and ends otherwise", "en"), (2, "x " + item.upper(), "de"), (3, "Other words", "en")]
     got = run(spark, "ag12_hit_at_k_all", tmp_path, benchmark=([(0, item), (1, "other words")], "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string"))
     assert {r.intent: (r.n, r.hits) for r in got} == {"all": (2, 1), "normative": (1, 0), "case_law": (1, 1)}
+
+
+def test_operators_without_a_query_are_not_claimed():
+    assert not {"SC11", "SC17", "SK15", "SM2"} & set(catalog.coverage())
