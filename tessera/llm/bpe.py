@@ -21,12 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +40,15 @@ from tessera.llm.kernel import chunked, small_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same pattern for the standard library's faster engine; equal where no character is in ODD: numbers that are no decimal
 #: digits, separators of information, and all beyond Latin.
-PLAIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+PLAIN_PATTERN = r""" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+"""
 ODD = "[^\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
 LEXICON_WORDS = 65_536
 #: A longer word is not kept in the lexicon.
 LONG_WORD = 64
 #: Characters of texts that are encoded together.
-ENCODE_CHUNK = 4 << 20
+ENCODE_CHUNK = 1 << 19
+#: Pre-tokens an encoder keeps from chunk to chunk.
+KNOWN = 100_000
 #: Distinct words a task counts before it hands the counts on.
 COUNT_WORDS = 200_000
 #: A pre-token of more symbols is merged with a heap, in n log n.
@@ -223,13 +223,14 @@ class Lexicon:
             table[:, 0].astype(np.uint32), table[:, 1].astype(np.uint32), table[:, 2].astype(np.uint32), final_flags, np.concatenate(([0], np.cumsum(lengths))).astype(np.uint32), ids
         )
 
-    def save(self, path: str) -> None:
+    def dump(self) -> bytes:
         parts = [self.key, self.to, self.skip, self.final, self.start, self.ids]
+        head = np.array([len(p) for p in parts], dtype=np.int64).tobytes()
+        return head + b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
+
+    def save(self, path: str) -> None:
         with open(path, "wb") as f:
-            f.write(np.array([len(p) for p in parts], dtype=np.int64).tobytes())
-            for p in parts:
-                f.write(p.tobytes())
-                f.write(b"\0" * (-p.nbytes % 8))
+            f.write(self.dump())
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -271,35 +272,185 @@ class Lexicon:
         return len(self.start) - 1
 
 
+class Merges:
+    """The vocabulary's merges and token bytes as flat arrays, and exact merging of many words at once."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, vocabulary: Vocabulary):
+        keys = np.fromiter(vocabulary.rank.keys(), np.uint64, len(vocabulary.rank))
+        ranks = np.fromiter(vocabulary.rank.values(), np.int32, len(keys))
+        order = np.argsort(keys)
+        self.key, self.rank = np.append(keys[order], _LAST), np.append(ranks[order], self.NONE)
+        self.product = np.array([*vocabulary.product, 0], dtype=np.int32)
+        self.byte_id = np.array(vocabulary.byte_id, dtype=np.int32)
+        first = np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)
+        self.of_bytes = self._ranks(*first)  # by two bytes
+        self.token_start = np.concatenate(([0], np.cumsum([len(b) for b in vocabulary.bytes])))
+        self.token_bytes = np.frombuffer(b"".join(vocabulary.bytes), dtype=np.uint8)
+        self.token_size = np.diff(self.token_start)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        want = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at = np.searchsorted(self.key, want)
+        return np.where(self.key[at] == want, self.rank[at], self.NONE)
+
+    def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids a word) of words that stand one after another in data, none of them empty. In each round
+        every word merges its pair of the lowest rank, of equal ones the leftmost; finished words leave."""
+        symbols = self.byte_id[data]
+        pair = np.full(len(data), self.NONE, dtype=np.int32)
+        pair[:-1] = self.of_bytes[data[:-1].astype(np.int32) << 8 | data[1:]]
+        ends = np.cumsum(lengths)
+        pair[ends - 1] = self.NONE
+        word, start, size = np.arange(len(lengths)), ends - lengths, lengths.astype(np.int64)
+        count = np.zeros(len(lengths), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            # rank and place in one number: the least one is the leftmost pair of the lowest rank
+            least = np.minimum.reduceat(pair.astype(np.int64) << 32 | np.arange(len(pair)), start)
+            rank, at = least >> 32, least & 0xFFFFFFFF
+            more = rank != self.NONE
+            if not more.all():
+                gone = np.repeat(~more, size)
+                count[word[~more]] = size[~more]
+                done.append((np.repeat(word[~more], size[~more]), symbols[gone]))
+                moved = np.cumsum(gone) - gone
+                at = (at - moved[at])[more]
+                symbols, pair, word, size, rank = symbols[~gone], pair[~gone], word[more], size[more], rank[more]
+                start = np.cumsum(size) - size
+                if not len(word):
+                    break
+            symbols[at] = self.product[rank]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[at + 1] = False
+            last = at + 1 == start + size - 1  # the merged pair ends its word
+            symbols, pair = symbols[keep], pair[keep]
+            shift = np.arange(len(word))
+            at, start, size = at - shift, start - shift, size - 1
+            pair[at[last]] = self.NONE
+            right = at[~last]
+            pair[right] = self._ranks(symbols[right], symbols[right + 1])
+            left = at[at > start] - 1
+            pair[left] = self._ranks(symbols[left], symbols[left + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64), np.empty(0, np.int32))
+        return ids[np.argsort(owner, kind="stable")], count
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and how many each has."""
+        size = self.token_size[ids]
+        return self.token_bytes[_slices(self.token_start[ids], size)], size
+
+
+_LAST = np.uint64(2**64 - 1)
+
+
+def _slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all slices, one after another."""
+    out = np.arange(int(size.sum()))
+    out += np.repeat(start - np.cumsum(size) + size, size)
+    return out
+
+
+class Encoded:
+    """A chunk's ids in one array, how many each text has, and their decimal forms joined by commas."""
+
+    __slots__ = ("ids", "count", "joined")
+
+    def __init__(self, ids: np.ndarray, count: np.ndarray, joined: list[str]):
+        self.ids, self.count, self.joined = ids, count, joined
+
+
 class Encoder:
-    """Encodes texts; the distinct pre-tokens of a chunk are looked up together. Lexicon words stay known; others only
-    for the chunk, since rare words seldom come again."""
+    """Encodes chunks of texts. The distinct new pre-tokens of a chunk walk the lexicon together, and those outside it are
+    merged together. What is known is kept for the next chunks, up to KNOWN pre-tokens; then it is forgotten, as it can be
+    found again."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self._known: dict[str, tuple[list[int], str]] = {}
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """The ids of each text, and their decimal form joined by commas."""
+        self.vocabulary, self.lexicon, self.merges = vocabulary, lexicon, Merges(vocabulary)
+        self._decimal = list(map(str, range(len(vocabulary.bytes))))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the special tokens are known; their numbers come first."""
+        special = list(self.vocabulary.special.values())
+        self._special = dict(zip(self.vocabulary.special, range(len(special)), strict=True))
+        self._known: dict[str, int] = {}
+        self._joined = list(map(str, special))
+        self._ids, self._size = [np.array(special, dtype=np.int32)], [np.ones(len(special), dtype=np.int64)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Give each new word a number; its ids and their decimal form stand under it."""
+        v = self.vocabulary
+        data = [w.encode("utf-8", "replace") for w in words]
+        number = self.lexicon.find(data)
+        starts = self.lexicon.start.astype(np.int64)
+        size = np.zeros(len(words), dtype=np.int64)
+        held = np.flatnonzero(number >= 0)
+        size[held] = starts[number[held] + 1] - starts[number[held]]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        short = np.flatnonzero((number < 0) & (lengths < HEAP_FROM))
+        long = np.flatnonzero((number < 0) & (lengths >= HEAP_FROM))
+        merged, size[short] = self.merges.merge(np.frombuffer(b"".join([data[i] for i in short]), dtype=np.uint8), lengths[short])
+        others = [v.merged(data[i]) for i in long]
+        size[long] = [len(x) for x in others]
+        begin = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), dtype=np.int32)
+        ids[_slices(begin[held], size[held])] = self.lexicon.ids[_slices(starts[number[held]], size[held])]
+        ids[_slices(begin[short], size[short])] = merged
+        for i, x in zip(long, others, strict=True):
+            ids[begin[i] : begin[i] + size[i]] = x
+        written = list(map(self._decimal.__getitem__, ids.tolist()))
+        self._known.update(zip(words, range(len(self._joined), len(self._joined) + len(words)), strict=True))
+        self._joined += [",".join(written[a:b]) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+        self._ids.append(ids)
+        self._size.append(size)
+
+    def encode_chunk(self, texts: list[str]) -> Encoded:
         v = self.vocabulary
-        split = [[(p, None) if special else (None, v.words(p)) for p, special in v.pieces(t)] for t in texts]
-        new = list({w for parts in split for _, words in parts if words for w in words}.difference(self._known))
-        data = [w.encode("utf-8", "replace") for w in new]
-        rare: dict[str, tuple[list[int], str]] = {}
-        for w, b, number in zip(new, data, self.lexicon.find(data).tolist(), strict=True):
-            ids = self.lexicon.ids_of(number) if number >= 0 else v.merged(b)
-            (self._known if number >= 0 else rare)[w] = (ids, ",".join(map(str, ids)))
-        known = self._known | rare if rare else self._known
-        out = []
+        if len(self._known) > KNOWN:
+            self._forget()
+        split = [[(self._special[p], None) if special else (None, v.words(p)) for p, special in v.pieces(t)] for t in texts]
+        new: set[str] = set()
+        for parts in split:
+            for _, words in parts:
+                if words:
+                    new.update(words)
+        new.difference_update(self._known)
+        if new:
+            self._learn(list(new))
+        known, codes, joined, n_words = self._known, [], [], []
         for parts in split:
-            found = []
+            own: list[int] = []
             for special, words in parts:
                 if special is not None:
-                    found.append(([v.special[special]], str(v.special[special])))
+                    own.append(special)
                 else:
-                    found += map(known.__getitem__, words)
-            out.append((list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])))
-        return out
+                    own += map(known.__getitem__, words)
+            joined.append(",".join(map(self._joined.__getitem__, own)))
+            codes.append(np.array(own, dtype=np.int64))
+            n_words.append(len(own))
+        if len(self._ids) > 1:
+            self._ids, self._size = [np.concatenate(self._ids)], [np.concatenate(self._size)]
+        size = self._size[0]
+        every = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        counts = size[every]
+        ids = self._ids[0][_slices((np.cumsum(size) - size)[every], counts)]
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *n_words])]
+        return Encoded(ids, np.diff(ends), joined)
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """The ids of each text, and their decimal form joined by commas."""
+        found = self.encode_chunk(texts)
+        ends = np.cumsum(found.count).tolist()
+        return [(found.ids[a:b].tolist(), j) for a, b, j in zip([0, *ends], ends, found.joined, strict=False)]
+
+    def decode_chunk(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """The text of each run of ids."""
+        data, size = self.merges.bytes_of(ids)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *count])].tolist()
+        whole = data.tobytes()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = LEXICON_WORDS) -> list[str]:
@@ -338,23 +489,25 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
 
 
 def compile_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: list[str]) -> str:
-    """Compile words with their ids and hand the file to every machine; returns its name there."""
-    lexicon = Lexicon.build({(b := w.encode()): vocabulary.merged(b) for w in words})
-    with tempfile.TemporaryDirectory() as folder:  # the driver serves its own copy from here on
-        path = os.path.join(folder, "lexicon")
-        lexicon.save(path)
-        name = "lexicon-" + hashlib.sha256(open(path, "rb").read()).hexdigest()[:24]
-        os.rename(path, named := os.path.join(folder, name))
-        if name not in _served.setdefault(spark.sparkContext.applicationId, set()):
-            keep = tempfile.mkdtemp(prefix="lexicon-")
-            os.rename(named, os.path.join(keep, name))
-            spark.sparkContext.addFile(os.path.join(keep, name))
-            _served[spark.sparkContext.applicationId].add(name)
+    """Compile words with their ids, write the file to the shared folder and let every machine fetch it; returns its name there."""
+    data = Lexicon.build({(b := w.encode()): vocabulary.merged(b) for w in words}).dump()
+    name = "lexicon-" + hashlib.sha256(data).hexdigest()[:24]
+    served = _served.setdefault(spark.sparkContext.applicationId, set())
+    if name not in served:
+        spark.sparkContext.addFile(Scratch(spark).write_bytes(data, name))
+        served.add(name)
     return name
 
 
 _served: dict[str, set[str]] = {}
 
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str, lexicon: str) -> Encoder:
+    """A worker's encoder, kept for the tasks to come."""
+    return Encoder(Vocabulary(tokenizer), Lexicon.open(SparkFiles.get(lexicon)))
+
+
 ENCODED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -374,17 +527,16 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = ENCODED if with_ids else T.StructType(ENCODED.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(tokenizer)
-        encoder = Encoder(vocabulary, Lexicon.open(SparkFiles.get(name)))
+        encoder = _encoder(tokenizer, name)
         for batch in small_batches(batches):
             n, digest, decoded, every = [], [], [], []
             for _, texts in chunked(batch.column(1).to_pylist(), ENCODE_CHUNK):
-                for ids, joined in encoder.encode(texts):
-                    n.append(len(ids))
-                    digest.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
-                    if with_ids:
-                        every.append(pa.array(ids, pa.int32()))
+                found = encoder.encode_chunk(texts)
+                n += found.count.tolist()
+                digest += [hashlib.sha256(j.encode()).hexdigest() for j in found.joined]
+                decoded += [hashlib.sha256(t.encode()).hexdigest() for t in encoder.decode_chunk(found.ids, found.count)]
+                if with_ids:
+                    every.append(pa.array(found.ids, pa.int32()))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 flat = pa.concat_arrays(every) if every else pa.array([], pa.int32())

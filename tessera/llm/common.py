@@ -33,6 +33,17 @@ class Scratch:
         self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bytes(self, data: bytes, name: str) -> str:
+        """A plain file in the folder; returns its path."""
+        path = f"{self.top}/{name}"
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        return path
+
     def read(self, name: str, schema: T.StructType) -> DataFrame:
         """All tables saved under the name, together."""
         return self.spark.read.schema(schema).parquet(*self._paths[name])
