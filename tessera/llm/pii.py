@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,14 +62,16 @@ _SPELLED = re.compile(
 _SEPARATORS = re.compile(r"[,.+()\[\]-]+")
 _LATIN_FORMS = frozenset(c for c in map(chr, range(0x80, 0x100)) if _FOREIGN.match(c))
 _SPELLED_PART = re.compile(rf"(plus)|({_NAME})|([0-9]+)|(dot|point|\.)", re.I)
-_AT_MARK = re.compile(r"\s*(?:[\[({<]\s*(?:at|arroba|@)\s*[\])}>]|\s_at_\s)\s*", re.I)
-_DOT_MARK = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*", re.I)
-#: Bare words count as a disguise only together: name at host dot ... dot a well-known ending.
-_BARE = re.compile(
-    r"[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*+( at )[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)*?(?: dot )"
-    r"(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk|test|example|invalid)(?![\w-])",
-    re.I,
+#: Marks are searched from their bracket or underscore; the white space around them is added afterwards, so no blank is scanned twice.
+_AT_MARK = re.compile(r"[\[({<]\s*+(?:at|arroba|@)\s*+[\])}>]|(?<=\s)_at_(?=\s)", re.I)
+_DOT_MARK = re.compile(r"[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]", re.I)
+#: Bare words count as a disguise only together: name at host dot ... dot a well-known ending. The host is searched from " at ",
+#: the name backwards from there.
+_BARE_HOST = re.compile(
+    r" at (?=[A-Za-z0-9-])(?:[A-Za-z0-9-]++(?:\.| dot ))*?[A-Za-z0-9-]++ dot (?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk|test|example|invalid)(?![\w-])", re.I
 )
+_BARE_LOCAL = re.compile(r"(?:[A-Za-z0-9_%+-]++(?: tod |\.))*+[A-Za-z0-9_%+-]++", re.I)  # of the reversed text
+_BARE_DOT = re.compile(" dot ", re.I)
 
 Span = tuple[str, int, int]
 
@@ -98,7 +100,7 @@ def detect(text: str) -> list[Span]:
                 out.append(("email", m.start() - local, m.end()))
                 last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p := part.lstrip("0")) < 3 or len(p) == 3 and p <= "255" for part in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m.group())) <= 19 and _luhn(d):
@@ -199,6 +201,36 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _mark_edits(text: str, mark: re.Pattern, sign: str) -> list[tuple[int, int, str]]:
+    """Every mark, with the white space around it, becomes the sign."""
+    edits, last = [], 0
+    for m in mark.finditer(text):
+        a, b = m.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, sign))
+        last = b
+    return edits
+
+
+def _bare_edits(text: str) -> list[tuple[int, int, str]]:
+    """The words at and dot of each disguised address become signs."""
+    edits, last = [], 0
+    for m in _BARE_HOST.finditer(text):
+        at = m.start()
+        name = _BARE_LOCAL.match(text[last:at][::-1])
+        last = m.end()
+        if name is None:
+            continue
+        begin = at - name.end()
+        edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, begin, at)]
+        edits.append((at, at + 4, "@"))
+        edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, at + 4, m.end())]
+    return edits
+
+
 def normalise(text: str) -> Mapped | None:
     """The text after all transducers, or None if none of them changes it."""
     out = Mapped(text)
@@ -214,16 +246,10 @@ def normalise(text: str) -> Mapped | None:
         # each source range becomes one piece a digit run; spans inside it map to the whole run
         out.edit(edits)
     if any(c in out.text for c in "[({<") or "_at_" in out.text:
-        out.edit([(m.start(), m.end(), "@") for m in _AT_MARK.finditer(out.text)])
-        out.edit([(m.start(), m.end(), ".") for m in _DOT_MARK.finditer(out.text)])
+        out.edit(_mark_edits(out.text, _AT_MARK, "@"))
+        out.edit(_mark_edits(out.text, _DOT_MARK, "."))
     if " at " in (low := out.text.lower()) and " dot " in low:
-        edits = []
-        for m in _BARE.finditer(out.text):
-            at = m.start(1)
-            edits += [(d.start(), d.end(), ".") for d in re.compile(" dot ", re.I).finditer(out.text, m.start(), at)]
-            edits.append((at, m.end(1), "@"))
-            edits += [(d.start(), d.end(), ".") for d in re.compile(" dot ", re.I).finditer(out.text, m.end(1), m.end())]
-        out.edit(edits)
+        out.edit(_bare_edits(out.text))
     return out if out.text != text else None
 
 
@@ -233,12 +259,16 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     mapped = normalise(text) if text else None
     if mapped is None:
         return base, base
-    taken = {k: [s[1:] for s in base if s[0] == k] for k in KINDS}
+    # base spans of a kind are sorted and disjoint, and mapping keeps the order, so neighbours tell overlaps
+    starts = {k: [s[1] for s in base if s[0] == k] for k in KINDS}
+    ends = {k: [s[2] for s in base if s[0] == k] for k in KINDS}
+    last = dict.fromkeys(KINDS, 0)
     added = []
     for kind, a, b in detect(mapped.text):
         start, end = mapped.source(a, b)
-        if all(end <= s or start >= e for s, e in taken[kind]):
-            taken[kind].append((start, end))
+        k = bisect_left(starts[kind], end) - 1
+        if start >= last[kind] and (k < 0 or ends[kind][k] <= start):
+            last[kind] = end
             added.append((kind, start, end))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -265,12 +295,12 @@ def redact(text: str, spans: list[Span], mask: str = "<{}>") -> str:
 SPAN_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType())]
     + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
-    + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
+    + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_spans", T.LongType())]
 )
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: base counts by kind, digest of the base spans, all spans, and how many were added."""
+    """One row a document: base counts by kind, digest of the base spans, all spans, how many were added and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -282,6 +312,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
                 rows["spans"].append(written(spans))
                 rows["n_added"].append(len(spans) - len(base))
+                rows["n_spans"].append(len(spans))
             rows["doc_id"] = batch.column(0)
             yield pa.RecordBatch.from_pydict(rows)
 

@@ -68,6 +68,77 @@ def test_linear_on_long_runs():
         pii.find(unit * (200_000 // len(unit)))
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "1." * 3 + "0" * 100_000 + "255", "9" * 100_000 + ".1.1.1", "1.2.3.256", "1.2.3.0256"])
+def test_long_parts_of_numbers(text):
+    want = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split("."))
+    assert [s[0] for s in pii.detect(text) if s[0] == "ip"] == ["ip"] * want
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["(" + " " * 1000, " " * 1000 + "[", "( at )" + " " * 500, "a.", "a dot ", " at a dot ", "! at y dot com ", "one ", "one" + " " * 900, "plus ", "x at y dot com ", "(dot)", "a b", "<", "\u0430", "one.1 "],
+)
+def test_time_is_linear_in_texts_of_a_megabyte(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    begin = time.process_time()
+    pii.find(text)
+    assert time.process_time() - begin < 25
+
+
+def test_many_added_spans():
+    text = "a [at] b.cd, " * 20_000
+    base, spans = pii.find(text)
+    assert base == [] and len(spans) == 20_000
+    assert all(text[a:b] == "a [at] b.cd" for _, a, b in spans)
+
+
+def disguised(rng):
+    """(text of the identifier, kind) in one of the disguises."""
+    names = "zero one two three four five six seven eight nine".split()
+    user, host = rng.choice(["ann", "j.roe", "bob_7", "Kim+x"]), rng.choice(["mail.example.com", "host-1.test", "a.b.org"])
+    how = rng.randrange(9)
+    if how == 0:
+        return f"{user} {rng.choice(['[at]', '(at)', '{ AT }', '<at>'])} " + host.replace(".", rng.choice([" [dot] ", " (dot) ", "."])), "email"
+    if how == 1:
+        return f"{user} at " + host.replace(".", " dot ").replace("test", "com"), "email"
+    if how == 2:
+        return f"{user}@{host}".replace("a", "\u0430").replace("o", "\u043e"), "email"
+    if how == 3:
+        return "".join(chr(ord(c) + 0xFEE0) if c.isalnum() or c in "@." else c for c in f"{user}@{host}"), "email"
+    digits = "".join(str(rng.randrange(10)) for _ in range(10))
+    if how == 4:
+        return "plus one " + " ".join(names[int(d)] for d in digits), "phone"
+    if how == 5:
+        return "+1 " + "".join(chr(0xFF10 + int(d)) for d in digits), "phone"
+    if how == 6:
+        return "\u200b".join(f"+1 {digits}"), "phone"
+    if how == 7:
+        return " dot ".join(" ".join(names[int(d)] for d in str(rng.randrange(256))) for _ in range(4)), "ip"
+    body = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+    for last in range(10):
+        if pii._luhn(body + str(last)):
+            return " ".join(names[int(d)] for d in body + str(last)), "card"
+    raise AssertionError
+
+
+def test_recall_of_disguises():
+    rng = random.Random(5)
+    words = ["la", "der", "stone", "ando", "with", "é", "tion", "le", "of"]
+    found = exact = 0
+    for _ in range(1000):
+        said, kind = disguised(rng)
+        left, right = (" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(2))
+        text = f"{left}, {said}, {right}."
+        at = len(left) + 2
+        base, spans = pii.find(text)
+        added = [s for s in spans if s not in base]
+        found += any(k == kind and a < at + len(said) and b > at for k, a, b in added)
+        exact += (kind, at, at + len(said)) in added
+    assert found >= 900 and exact >= 900, (found, exact)
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.cd", 9), (1, "a@b.cd", 9), (2, None, 9), (None, "", 9)], "doc_id long, text string, spans int")
     rows = sorted(map(tuple, pii.find_pii(docs).select("doc_id", "n_email", "spans").collect()), key=str)
