@@ -4,24 +4,25 @@ A window is a string of `length` bytes (200) that starts at some byte of a text.
 starts anywhere else, in the same text or another, is repeated, and each byte that a repeated window
 covers is removed.
 
-Sorting rank pairs for every byte of a corpus would shuffle many times the corpus, so doubling starts
-from a synchronising set: of the strings of GRAM bytes that start in a window, the one with the least
-hash (of equal ones the last) is the window's anchor. Equal windows have their anchor at the same
-offset, and about two in `length` - GRAM positions are anchors. All windows of one anchor are one node:
-the anchor's position and the range of offsets its windows lie at. A node's windows share a core and
-lie in a hull; both get a rank, here a 128-bit name, since only equality of ranks matters:
-
-1. positions are ranked by their core; a core of one occurrence has no repeated window and is gone;
-2. where also the hull occurs again, all windows of the node are repeated and the node is settled;
-3. any other node is split into ranges of offsets, the cores grow on both sides, and ranking goes on
-   with (rank so far, longer core), until the cores are whole windows of 200 bytes.
-
-One node of each settled hull goes on as a witness, as its windows may equal some of an open node.
-Cores grow from 50 over 125 and 182 to 200 bytes; the number of open nodes is that of edges of repeated passages.
-
-Scale: ranks are counted with combining before the shuffle, so a line that a third of all texts share
-costs a row a task; members are joined with their rank by a join that can be split; texts are joined
-with their spans once. Nothing is collected; broadcasts are of id lists of a checked size.
+Sorting a rank pair for every byte of a corpus would shuffle some twenty bytes for each byte of input in each round, so
+doubling runs over a synchronising set of positions: of the strings of GRAM bytes that start in a window, the one with the least
+hash (of equal ones the last) is the window's anchor. Equal windows have their anchor at the same offset, and about two in
+`length` - GRAM positions are anchors. All windows of one anchor are one node: the anchor's position and the range of offsets
+its windows lie at. A node's windows share a core and lie in a hull.
+
+1. Positions are ranked by their gram; a gram of one occurrence has no repeated window and its node leaves.
+2. Where also the hull occurs again, all windows of the node are repeated and the node is settled.
+3. Other nodes are split into ranges of offsets, whose cores reach further to the left and to the right of the anchor, from 50
+   over about 125 and 182 to 200 bytes. Each pair (rank so far, bytes at the new offsets) is sorted by Spark and its place in that order is
+   the new rank. Ranking goes on until a rank is unique, or its core is a whole window of 200 bytes.
+
+One node of each settled hull goes on as a witness, as its windows may equal some of an open node. Pairs are compared by
+their bytes; only grams and hulls are told apart by hashes (of 64 bits, followed by bytes, and of 128 bits).
+
+Scale: distinct pairs are counted with combining before the shuffle, so a line that a third of all texts share costs a row a
+task; ranks are sorted once a distinct pair, and joined to one node a class. Nodes that repeat within one text are folded where the text
+is read, so a periodic text of any length is a few rows. Open nodes carry their hull (at most 2 * 200 bytes), so whole texts are
+joined once with open nodes and once with spans. Nothing is collected; broadcasts are of id lists of a checked size.
 
 Defined results: a null text is empty; texts of under 200 bytes keep everything; repeated rows are texts
 of their own, so each of them is removed whole; a null doc_id is a text like any other; an empty table gives an empty table. Columns
@@ -36,16 +37,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, only_ids
-from tessera.llm.kernel import U128, chunked, prefix_hash, range_hash, small_batches
+from tessera.llm.common import BROADCAST_IDS, Scratch, only_ids
+from tessera.llm.kernel import chunked, prefix_hash, range_hash, small_batches
 
 LENGTH = 200
 GRAM = 50
 _U = np.uint64
+digest = xxhash.xxh3_128_digest
 
 
 def _block_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -61,6 +63,8 @@ def _block_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+#: Rows of (child, rank, flag) that may be broadcast.
+REPS_ROWS = BROADCAST_IDS // 3
 _BITS = _U(32)
 _ROOM = _U((1 << 32) - 1)
 
@@ -92,18 +96,13 @@ def anchors(parts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 
 
 def rounds(length: int = LENGTH, gram: int = GRAM) -> list[int]:
-    """Widths of the ranges of offsets a node is split into, round by round; the last cores are whole windows."""
-    width = length - gram + 1
-    return sorted({-(-width // 2), -(-width // 8), 1}, reverse=True)
+    """Widths of the ranges of offsets a node is split into, round by round, each a multiple of the next; the last cores are
+    whole windows."""
+    eighth = -(-(length - gram + 1) // 8)
+    return sorted({4 * eighth, eighth, 1}, reverse=True)
 
 
-def _name(data: bytes, seed: int) -> tuple[int, int]:
-    return U128.signed(data, seed)
-
-
-digest = xxhash.xxh3_128_digest
-_SAMPLE = "gram long, u1 long, u2 long, d long, k long, pos int, lo int, n int"
-_NODE = "r1 long, r2 long, u1 long, u2 long, d long, k long, pos int, lo int, n int, settled boolean"
+_SAMPLE = "gram long, u1 long, u2 long, d long, k long, pos int, far int, n int, times int, span boolean"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -127,8 +126,30 @@ def _grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.where(F.octet_length("text") >= length).select("text").mapInArrow(run, "gram long")
 
 
+def _fold(text: np.ndarray, names: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Nodes whose hull occurs again in the same text: (nodes that stay, times each stands for, spans of all folded ones as
+    (a node, start, end)). A periodic text of any length leaves a few nodes and one span."""
+    order = np.lexsort((names[1::2], names[0::2], text))
+    t, a, b = text[order], names[0::2][order], names[1::2][order]
+    first = np.concatenate(([True], (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(t) else np.empty(0, bool)
+    group = np.cumsum(first) - 1
+    count = np.bincount(group) if len(t) else np.empty(0, np.int64)
+    many = np.empty(len(t), dtype=bool)
+    many[order] = count[group] > 1
+    stay = np.sort(order[first])
+    times = np.where(many[stay], 2, 1)
+    at = np.flatnonzero(many)
+    if not len(at):
+        return stay, times, []
+    new = np.concatenate(([True], (text[at[1:]] != text[at[:-1]]) | (start[at[1:]] > end[at[:-1]])))
+    begin = np.flatnonzero(new)
+    last = np.concatenate((begin[1:], [len(at)])) - 1
+    return stay, times, list(zip(at[begin].tolist(), start[at[begin]].tolist(), end[at[last]].tolist(), strict=True))
+
+
 def _samples(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each anchor: its gram, the name of its hull, its text and place, the offset of its first window, and windows less one."""
+    """A row for each node: its gram, the name of its hull, its text and place, the offset of its first window, and windows less
+    one. Nodes that repeat within a text are one row of times 2; what they cover comes as rows with span set."""
     schema = _arrow(_SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,74 +158,101 @@ def _samples(texts: DataFrame, length: int, gram: int) -> DataFrame:
             for begin, part in chunked(batch.column(2).to_pylist()):
                 data = [t.encode("utf-8", "surrogatepass") for t in part]
                 text, at, h, first, last = anchors(data, length, gram)
-                lo, n = at - first, last - first
-                seeds = (lo << 20 | n).tolist()
+                far, n = at - first, last - first
+                seeds = (far << 20 | n).tolist()
                 names = np.frombuffer(b"".join([digest(data[i][p : q + length], s) for i, p, q, s in zip(text.tolist(), first.tolist(), last.tolist(), seeds, strict=True)]), dtype=">i8").astype(np.int64)
-                columns = (h.view(np.int64), names[0::2], names[1::2], d[begin + text], k[begin + text], at, lo, n)
+                stay, times, spans = _fold(text, names, first, last + length)
+                columns = [x[stay] for x in (h.view(np.int64), names[0::2], names[1::2], d[begin + text], k[begin + text], at, far, n)]
+                columns += [times, np.zeros(len(stay), dtype=bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                if spans:
+                    i, a, b = (np.array(x) for x in zip(*spans, strict=True))
+                    zero = np.zeros(len(i), dtype=np.int64)
+                    columns = [h.view(np.int64)[i], zero, zero, d[begin + text[i]], k[begin + text[i]], a, zero, b - a - length, zero, np.ones(len(i), dtype=bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return texts.where(F.octet_length("text") >= length).select("d", "k", "text").mapInArrow(run, _SAMPLE)
 
 
-def _split(texts: DataFrame, nodes: DataFrame, scratch: Scratch, width: int, length: int) -> DataFrame:
-    """The nodes split into ranges of `width` offsets, each with the names of its core and hull."""
-    schema = _arrow(_NODE)
-    # the nodes of one text are bounded by its length
-    lists = scratch.save(nodes.groupBy("d", "k").agg(F.collect_list(F.struct("pos", "lo", "n", "settled")).alias("nodes")), "lists")
-    keys = scratch.save(lists.select("d", "k"), "keys")
+def _ranked(cores: DataFrame, scratch: Scratch, *key: str) -> DataFrame:
+    """Sort the distinct (rank, string at the next offsets) pairs; a pair's place in that order is its new rank."""
+    return scratch.save(cores.orderBy(*key).select(*key, F.monotonically_increasing_id().alias("new_rank")), "ranked")
+
+
+def _alive(classes: DataFrame, *key: str) -> DataFrame:
+    """The cores that several hulls share of which one is still open; a core of one hull is unique, or settled with it."""
+    return classes.groupBy(*key).agg(F.count("*").alias("hulls"), F.min("settled").alias("all_settled")).where("hulls > 1 AND NOT all_settled").select(*key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, rows=64):
-            rows: list[tuple] = []
-            for d, k, text, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                for node in held:
-                    x, high = node["pos"], node["lo"]
-                    low = high - node["n"]
-                    for i in range(low // width, high // width + 1):
-                        a, b = i * width, i * width + width - 1
-                        b = min(b, length - 1)
-                        hi, lo = min(high, b), max(low, a)
-                        core = _name(data[x - a : x - b + length], i)
-                        hull = _name(data[x - hi : x - lo + length], hi << 20 | hi - lo)
-                        rows.append((*core, *hull, d, k, x, hi, hi - lo, node["settled"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    few = only_ids(texts.select("d", "k", "text"), keys, "d", "k")
-    return scratch.save(few.join(lists, ["d", "k"]).select("d", "k", "text", "nodes").mapInArrow(run, _NODE), "nodes")
+def _children(nodes: DataFrame, width: int, before: int | None, length: int) -> DataFrame:
+    """The nodes split into ranges of `width` offsets. part: what the child's core adds to its parent's on the left and on the
+    right (in the first round, the whole core); h1, h2: a name of the child's hull; cid: a number of the child."""
+    near = F.col("far") - F.col("n")
+    child = nodes.withColumn("i", F.explode(F.sequence((near / width).cast("int"), (F.col("far") / width).cast("int"))))
+    a, b = F.col("i") * width, F.least(F.col("i") * width + width - 1, F.lit(length - 1))
+    far, low = F.least("far", b), F.greatest(near, a)
 
+    def cut(start: Column, size: Column) -> Column:  # of the hull, which begins at the largest offset
+        return F.substring(F.col("hull"), (F.col("far") - start + 1).cast("int"), size.cast("int"))
 
-def _rank(classes: DataFrame, *key: str) -> DataFrame:
-    """Classes (a core and a hull) whose core has several hulls of which one is still open, as the next nodes."""
-    core = classes.groupBy(*key).agg(F.count("*").alias("hulls"), F.min("settled").alias("all_settled")).where("hulls > 1 AND NOT all_settled").select(*key)
-    return classes.join(core, list(key), "left_semi").select("rep.*", "settled")
+    if before is None:
+        part = cut(a, a - b + length)
+    else:
+        up = F.floor(F.col("i") * width / before).cast("int")
+        pa_, pb = up * before, F.least(up * before + before - 1, F.lit(length - 1))
+        right = F.substring(F.col("hull"), (F.col("far") - pb + length + 1).cast("int"), (pb - b).cast("int"))
+        part = F.concat(cut(a, a - pa_), right)
+    child = child.select("id", "rank", "i", "d", "k", "pos", "settled", far.alias("c_far"), (far - low).alias("c_n"), part.alias("part"), cut(far, far - low + length).alias("c_hull"))
+    name = lambda seed: F.xxhash64(F.lit(seed), "c_far", "c_n", "c_hull")
+    return child.select("rank", "i", "part", name(1).alias("h1"), name(2).alias("h2"), (F.col("id") * 256 + F.col("i")).alias("cid"), "d", "k", "pos", F.col("c_far").alias("far"), F.col("c_n").alias("n"), "settled", F.col("c_hull").alias("hull"))
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """d, k, spans: for each text with a repeated window, the byte ranges that repeated windows cover."""
-    span = lambda: (F.struct((F.col("pos") - F.col("lo")).alias("start"), (F.col("pos") - F.col("lo") + F.col("n") + length).alias("end")))
+    span = lambda: F.struct((F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("far") + F.col("n") + length).alias("end"))
+    listed = lambda rows: scratch.save(rows.groupBy("d", "k").agg(F.collect_list(span()).alias("spans")), "spans")
+    # rank 0: the grams at the anchors; unique ones leave with all their windows
     grams = scratch.save(_grams(texts, length, gram).groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    shared = only_ids(_samples(texts, length, gram), grams, "gram")
-    rep = F.min(F.struct("d", "k", "pos", "lo", "n")).alias("rep")
-    classes = scratch.save(shared.groupBy("gram", "u1", "u2").agg((F.count("*") > 1).alias("settled"), rep), "classes")
+    shared = scratch.save(only_ids(_samples(texts, length, gram), grams, "gram"), "shared")
+    scratch.drop("grams")
+    rep = F.min(F.struct("d", "k", "pos", "far", "n")).alias("rep")
+    classes = scratch.save(shared.where("NOT span").groupBy("gram", "u1", "u2").agg((F.sum("times") > 1).alias("settled"), rep), "classes")
     # a hull's name also tells its gram
     settled = scratch.save(classes.where("settled").select("u1", "u2"), "settled")
-    spans = scratch.save(only_ids(shared, settled, "u1", "u2").groupBy("d", "k").agg(F.collect_set(span()).alias("spans")), "spans")
-    nodes = scratch.save(_rank(classes, "gram"), "open")
+    spans = listed(only_ids(shared.where("times = 1"), settled, "u1", "u2").unionByName(shared.where("span")))
+    ranked = _ranked(_alive(classes, "gram"), scratch, "gram")
+    nodes = classes.join(ranked, "gram").select("rep.*", F.col("new_rank").alias("rank"), "settled")
+    nodes = scratch.save(nodes, "reps")
+    scratch.drop("shared", "classes", "settled", "ranked")
+    if nodes.limit(1).count():
+        # the open nodes take their own hulls along, so whole texts are read once here and not in the rounds
+        keys = scratch.save(nodes.select("d", "k").distinct(), "keys")
+        hull = F.substring(F.col("text").cast("binary"), F.col("pos") - F.col("far") + 1, F.col("n") + length)
+        held = only_ids(texts.select("d", "k", "text"), keys, "d", "k").join(nodes, ["d", "k"])
+        nodes = scratch.save(held.select("d", "k", "pos", "far", "n", "rank", "settled", hull.alias("hull"), F.monotonically_increasing_id().alias("id")), "open")
+    before = None
     for width in rounds(length, gram):
         if not nodes.limit(1).count():
             break
-        split = _split(texts, nodes, scratch, width, length)
-        classes = scratch.save(split.groupBy("r1", "r2", "u1", "u2").agg(F.count("*").alias("c"), ((F.count("*") > 1) | F.max("settled")).alias("settled"), rep), "classes")
-        again = scratch.save(classes.where("c > 1").select("r1", "r2", "u1", "u2"), "again")
-        more = only_ids(split.where("NOT settled"), again, "r1", "r2", "u1", "u2").groupBy("d", "k").agg(F.collect_set(span()).alias("spans"))
-        scratch.save(more, "spans")
-        nodes = scratch.save(_rank(classes, "r1", "r2"), "open")
-        scratch.drop("lists", "keys", "nodes", "again")
+        pair = ("rank", "i", "part")
+        children = _children(nodes, width, before, length)
+        classes = children.groupBy(*pair, "h1", "h2").agg(F.count("*").alias("c"), ((F.count("*") > 1) | F.max("settled")).alias("settled"), F.min("cid").alias("cid"))
+        classes = scratch.save(classes, "classes")
+        again = scratch.save(classes.where("c > 1").select("h1", "h2"), "again")
+        listed(only_ids(children.where("NOT settled"), again, "h1", "h2"))
+        if width > 1:
+            ranked = _ranked(_alive(classes, *pair), scratch, *pair)
+            reps = scratch.save(classes.join(ranked, list(pair)).select("cid", "new_rank", F.col("settled").alias("done")), "reps")
+            # a child's number is met once, so this join keeps at most the reps
+            few = reps.count() <= REPS_ROWS
+            kept = children.join(F.broadcast(reps) if few else reps, "cid")
+            nodes = scratch.save(kept.select("d", "k", "pos", "far", "n", F.col("new_rank").alias("rank"), F.col("done").alias("settled"), "hull", F.monotonically_increasing_id().alias("id")), "open")
+            scratch.drop_but_last("open")
+        scratch.drop("classes", "again", "ranked", "reps")
+        before = width
     every = scratch.read("spans", spans.schema)
     out = scratch.save(every.groupBy("d", "k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "all-spans")
-    scratch.drop("grams", "classes", "settled", "open", "spans")
+    scratch.drop("open", "keys", "spans")
     return out
 
 

@@ -54,6 +54,42 @@ def test_matches_brute_force(spark, length, gram, seed):
     assert sum(w[1] for w in want) > 0
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    """Beyond BROADCAST_IDS all joins with ids shuffle."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(sx, "REPS_ROWS", 0)
+    texts = corpus(random.Random(6), 24, 50)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sx.remove_repeats(docs, length=24, gram=6).collect()}
+    assert [got[k] for k in range(len(texts))] == brute([t.encode() for t in texts], 24)
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 60, 150, 151, 260])
+def test_periodic_texts(spark, period):
+    unit = "".join(random.Random(period).choice("abcdefgh ") for _ in range(period))
+    texts = [unit * (3000 // period), "xyz" + (unit * (900 // period + 1))[5:], unit[::-1] + unit + "q", (unit * 3)[:210], (unit * 4)[3:700]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sx.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute([t.encode() for t in texts], 200)
+
+
+def test_very_long_periodic_texts(spark):
+    texts = [" " * 2_000_000, "=-" * 500_000, " " * 300 + "end"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in sx.remove_repeats(docs, with_kept=False).select("doc_id", "n_removed", "n_spans").collect()) == [(0, 2_000_000, 1), (1, 1_000_000, 1), (2, 300, 1)]
+
+
+def test_ranks_are_places_in_sorted_order(spark):
+    from tessera.llm.common import Scratch
+
+    rows = spark.createDataFrame([(r, i, bytearray(p)) for r in range(3) for i in range(2) for p in (b"b", b"a", b"ab")], "rank long, i int, part binary").repartition(5)
+    ranked = sx._ranked(rows, Scratch(spark), "rank", "i", "part").orderBy("new_rank").collect()
+    keys = [(r["rank"], r.i, bytes(r.part)) for r in ranked]
+    assert keys == sorted(keys) and len({r.new_rank for r in ranked}) == len(keys) == 18
+
+
 def test_anchors_tile_all_windows():
     rng = np.random.default_rng(0)
     for n in (0, 199, 200, 201, 350, 351, 5000):
