@@ -88,3 +88,55 @@ def test_empty_tables(spark):
     assert dc.find_contamination(docs, bench).count() == 0
     assert dc.drop_contaminated(docs, bench).count() == 1
     assert dc.find_contamination(docs.limit(0), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).count() == 0
+
+
+def test_some_mask_fits_between_all_substitutions_of_short_items():
+    import itertools
+
+    masks = [dc._offsets(m) for m in dc.MASKS + dc.SHORT_MASKS]
+    for n in range(dc.LEAST, 22):
+        for gone in itertools.combinations(range(n), n // 5):
+            usable = masks if n <= dc.SHORT else masks[: len(dc.MASKS)]
+            assert any(not set(gone) & {at + o for o in m} for m in usable for at in range(n - m[-1])), (n, gone)
+
+
+def test_short_items_match_brute_force():
+    rng = random.Random(8)
+    for n in range(1, 16):
+        item = sentence(rng, n)
+        index = dc.Index([(n, item)])
+        v = item.split()
+        docs = []
+        for k in range(n):  # one substitution at every place
+            w = list(v)
+            w[k] = "other"
+            docs += [" ".join(w), "left " + " ".join(w) + " right"]
+        docs += [item, "left " + item + " right", sentence(rng, 30), "", v[0]]
+        for text in docs:
+            words = dc.Tokens([text]).of(0)
+            got = list(index.overlaps(words, 0.8, 13, index.diagonals(words)))
+            want = text.split() == v if n < 4 else bool(brute_pairs([(0, text)], [(n, item)]))
+            assert bool(got) == want, (n, text)
+
+
+def test_repeated_words_do_not_square():
+    import time
+
+    rng = random.Random(2)
+    item = " ".join(["same"] * 2000)
+    almost = " ".join("same" if k % 11 else "other" for k in range(2000))
+    mixed = " ".join(rng.choice(["same", "other"]) for _ in range(3000))
+    index = dc.Index([(1, item), (2, almost), (3, sentence(rng, 30))])
+    begin = time.process_time()
+    for text, want in ((" ".join(["same"] * 2000), {1, 2}), (" ".join(["same"] * 20_000), {1, 2}), (almost, {1, 2}), (mixed, None), (sentence(rng, 5000), set())):
+        words = dc.Tokens([text]).of(0)
+        found = {index.ids[r[0]] for r in index.overlaps(words, 0.8, 13, index.diagonals(words))}
+        assert want is None or found == want
+    assert time.process_time() - begin < 30
+
+
+def test_differences():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 300, 900):
+        a, b = np.unique(rng.integers(0, 3 * n, n)), np.unique(rng.integers(0, 2 * n, n))
+        assert np.array_equal(dc.differences(a, b), np.unique(a[:, None] - b[None, :]))
