@@ -23,7 +23,7 @@ import json
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
@@ -45,12 +45,14 @@ _KEY = "|".join(w.replace("-", "[-]") for w in KEY_WORDS)
 _PREFIX = "|".join(p.replace(".", "[.]") for p in PREFIXES)
 _VALUE = r"[A-Za-z0-9_+/=.~!@#$%^&*:-]"
 #: One alternation; group 0 is the whole finding, its value is cut out below.
-_ASSIGN = rf"(?i:\b(?:[a-z0-9]{{1,30}}[_-]){{0,4}}(?:{_KEY})[\"']?)\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}"
+#: A name may begin with other words (clientSecret, db_password), which stay to the left of the finding, and go on for SUFFIX characters.
+SUFFIX = 40
+_ASSIGN = rf"(?i:(?:{_KEY})[a-z0-9_-]{{0,{SUFFIX}}}[\"']?)\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}"
 CANDIDATE = (
-    rf"{_ASSIGN}(?:\"[^\"\s]{{6,}}+\"|'[^'\s]{{6,}}+'|{_VALUE}{{6,}}+)"
+    rf"{_ASSIGN}(?:\"[^\"\n]{{4,}}+\"|'[^'\n]{{4,}}+'|{_VALUE}{{4,}}+)"
     rf"|(?<![A-Za-z0-9])(?:{_PREFIX})[A-Za-z0-9_.-]{{8,}}+"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{24,}+"
+    r"|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,}+"
 )
 
 FEATURES = ("length", "kind_changes", "lower", "upper", "digit", "mark", "distinct", "hex", "dictionary", "slashes", "dots", "underscores", "vowels", "key_left", "assigned", "quoted", "prefix", "repeat", "words_left", "code_right")
@@ -126,13 +128,16 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
 
     def assign(value: str) -> str:
         key = rng.choice(KEY_WORDS)
-        key = key.upper() if rng.random() < 0.2 else key
-        key = rng.choice(["", "", "db_", "my-"]) + key
+        key = key.upper() if rng.random() < 0.2 else key.capitalize() if rng.random() < 0.2 else key
+        key += rng.choice(["", "", "", "_prod", "Value", "2", "_old"])
         q = rng.choice(["", "", '"', "'"])
         return key + rng.choice(["=", " = ", ": ", ":", " := "]) + q + value + q
 
     def secret() -> tuple[str, str]:
-        kind = rng.randrange(8)
+        kind = rng.randrange(9)
+        if kind == 8:  # a quoted value with blanks
+            v = " ".join(_draw(rng, _B64 + "!#$%", rng.randint(3, 7)) + rng.choice(_NUM) for _ in range(rng.randint(2, 4)))
+            return rng.choice(KEY_WORDS) + rng.choice([" = ", ": ", "="]) + '"' + v + '"', v
         if kind == 0:
             v = "AKIA" + _draw(rng, _UP + "234567" + _NUM, 16)
             return v, v
@@ -158,7 +163,17 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
         return v, v
 
     def mistake() -> tuple[str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
+        if kind == 9:  # prose after a word that only begins like a key word, or a quoted sentence
+            v = rng.choice([prose(1), prose(1).capitalize(), prose(1) + str(rng.randint(1, 9))])[:20] + rng.choice(["", "ing", "ed"])
+            return rng.choice(["author", "authority", "tokenization", "secretary", "passwords", "Tokens", "auth_method"]) + rng.choice([": ", ":", " = "]) + v, v
+        if kind == 10:
+            v = prose(rng.randint(2, 6))
+            return rng.choice(KEY_WORDS) + ': "' + v + '"', v
+        if kind == 11:  # a long run of letters
+            v = "".join(prose(1) for _ in range(rng.randint(4, 12)))
+            v = rng.choice([v, v.capitalize(), v.upper()]) + "x" * max(0, 24 - len(v))
+            return v, v
         if kind == 0:
             v = ident()
         elif kind == 1:
@@ -274,36 +289,27 @@ def forest(spark: SparkSession, findings: int = FINDINGS, trees: int = TREES) ->
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, finish (code points), whole, value, left, right: a row for each candidate.
 
-    The text is cut at its candidates: piece i stands before candidate i, so places are sums of lengths.
+    The text is cut at its candidates: piece i stands before candidate i, so places are running sums of lengths.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
-    rows = rows.select("doc_id", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("piece"))
-    # running length of piece 0, found 0, piece 1, ...: one pass
-    lengths = F.transform("found", lambda f, i: F.struct(F.length(F.element_at("piece", i + 1)).alias("gap"), F.length(f).alias("size")))
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc.at + x.gap + x.size).alias("at"), F.concat(acc.starts, F.array(acc.at + x.gap)).alias("starts")),
-        lambda acc: acc.starts,
-    )
-    placed = rows.withColumn("starts", starts).select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                "found",
-                lambda f, i: F.struct(
-                    F.element_at("starts", i + 1).alias("start"),
-                    f.alias("whole"),
-                    F.substring(F.element_at("piece", i + 1), -CONTEXT, CONTEXT).alias("left"),
-                    F.substring(F.element_at("piece", i + 2), 1, CONTEXT).alias("right"),
-                ),
-            )
-        ).alias("f"),
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("piece"))
+    around = F.transform(
+        "found",
+        lambda f, i: F.struct(
+            F.length(F.element_at("piece", i + 1)).alias("gap"),
+            f.alias("whole"),
+            F.substring(F.element_at("piece", i + 1), -CONTEXT, CONTEXT).alias("left"),
+            F.substring(F.element_at("piece", i + 2), 1, CONTEXT).alias("right"),
+        ),
     )
+    # only candidates with their surroundings are shuffled; a text's own are one sorted run
+    before = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.select("doc_id", "row", F.posexplode(around).alias("at", "f"))
+    placed = placed.select("doc_id", (F.sum(F.col("f.gap") + F.length("f.whole")).over(before) - F.length("f.whole")).cast("int").alias("start"), "f")
     whole = F.col("f.whole")
     bare = F.regexp_replace(whole, rf"^{_ASSIGN}", "")
     value = F.regexp_extract(bare, r"(?s)^([\"']?)(.*?)\1$", 2)
-    return placed.select("doc_id", "f.start", (F.col("f.start") + F.length(whole)).alias("finish"), whole.alias("whole"), value.alias("value"), F.col("f.left").alias("left"), F.col("f.right").alias("right"))
+    return placed.select("doc_id", "start", (F.col("start") + F.length(whole)).alias("finish"), whole.alias("whole"), value.alias("value"), F.col("f.left").alias("left"), F.col("f.right").alias("right"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
