@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Values of ids (rows times columns) that may be broadcast to keep wide rows out of a shuffle; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Keys that the members of one component are dealt out over.
+SALTS = 16
 
 
 class Scratch:
@@ -77,8 +79,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         step = scratch.save(step, f"{name}-step")
-        jump = step.select(F.col("id").alias("node"), F.col("component").alias("further"))
-        new = scratch.save(step.join(jump, step.component == jump.node).select("id", "old", F.col("further").alias("component")), name)
+        # the labels in use are few against the nodes; a giant component's is dealt out over SALTS keys
+        used = step.select("component").distinct()
+        jump = step.join(used.withColumnRenamed("component", "id"), "id").select(F.col("id").alias("component"), F.col("component").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        new = scratch.save(salted.join(jump, ["component", "salt"]).select("id", "old", F.col("further").alias("component")), name)
         changed = new.where("old <> component").limit(1).count()
         labels = new.select("id", "component")
         scratch.drop(f"{name}-step")

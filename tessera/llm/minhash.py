@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, connected_components, only_ids
+from tessera.llm.common import BROADCAST_IDS, Scratch, connected_components, only_ids
 from tessera.llm.kernel import U128, Tokens, chunked, mix64, shingles, small_batches
 
 WIDTH = 5
@@ -48,6 +48,10 @@ R = 4
 BITS = 2
 #: Standard deviations of the sketch's estimate below the threshold at which a pair is given up.
 SLACK = 5.0
+#: Pairs that one text leads within a task.
+FOLLOWERS = 4096
+#: Members of a bucket up to which each is held against the others' sketches before the exact search.
+BUCKET = 4096
 
 _U = np.uint64
 
@@ -191,10 +195,18 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the threshold, with the similarity. Pairs are sorted by a
-    within a task, so a text that leads many pairs is cut into words once."""
+    within a task, so a text that leads many pairs is cut into words once; one that leads more than FOLLOWERS is dealt out
+    over several keys, with a copy of its text for each."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     needed = scratch.save(only_ids(texts, ids, "doc_id"), "needed")
     left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    # at most one in FOLLOWERS of the pairs
+    hot = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("parts")).where("parts > 1"), "hot-leaders")
+    parts = F.coalesce("parts", F.lit(1))
+    few = hot.count() <= BROADCAST_IDS // 2
+    dealt = lambda rows: rows.join(F.broadcast(hot) if few else hot, "a", "left")
+    left = dealt(left).select("a", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = dealt(pairs).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, set_a = None, None
@@ -209,9 +221,9 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, s
                     found[0].append(a[i]), found[1].append(b[i]), found[2].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["a", "b", "similarity"])
 
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
     out = scratch.save(both.mapInArrow(run, "a long, b long, similarity double"), "links")
-    scratch.drop("ids", "needed")
+    scratch.drop("ids", "needed", "hot-leaders")
     return out
 
 
@@ -269,13 +281,19 @@ class NearDuplicates:
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, width: int = WIDTH) -> NearDuplicates:
     """classes: doc_id, copy_id (least doc_id of the texts with the same words), class_id (least doc_id of
-    the near-duplicate class). links: a < b, the least ids of two copy classes, with their similarity."""
+    the near-duplicate class), the copy key, and lead: the row's text stands for its class. links: a < b, the least ids of two copy classes, with their similarity."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(sign(plain, width=width), "signed")
     real = signed.where("n_words > 0 AND doc_id IS NOT NULL")
     reps = scratch.save(real.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("copy_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), "reps")
+    named = None
+    if reps.groupBy("copy_id").count().where("count > 1").limit(1).count():
+        # one doc_id leads texts of different words: copy classes go by their place in the order of ids instead
+        places = reps.select("copy_id", "copy_a", "copy_b").orderBy("copy_id", "copy_a", "copy_b").withColumn("node", F.monotonically_increasing_id())
+        named = scratch.save(places, "named")
+        reps = scratch.save(reps.drop("copy_id").join(named.select("copy_a", "copy_b", F.col("node").alias("copy_id")), ["copy_a", "copy_b"]), "numbered")
     sketches = reps.select(F.col("copy_id").alias("id"), "sketch")
 
     banded = reps.select(F.explode("bands").alias("band"), "copy_id")
@@ -287,13 +305,13 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         out = out.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
         return out.where(agreement("sketch_a", "sketch_b") >= least_agreement(threshold)).select("a", "b")
 
-    # a text repeated under one doc_id with other words: its texts are told apart by copy key, the pair by id
     first = reps.select("copy_id", "copy_a", "copy_b")
     texts = plain.where("doc_id IS NOT NULL")
-    if first.groupBy("copy_id").count().where("count > 1").limit(1).count():
-        texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    else:
-        texts = texts.dropDuplicates(["doc_id"]) if signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() else texts
+    if named is not None:
+        wanted = scratch.save(named.select(F.col("copy_id").alias("doc_id")).distinct(), "wanted")
+        texts = copy_keys(only_ids(texts, wanted, "doc_id"), "text").join(first, ["copy_a", "copy_b"]).select(F.col("copy_id").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    elif signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id"])
 
     stars = scratch.save(likely(buckets.where("copy_id <> leader").select(F.col("leader").alias("a"), F.col("copy_id").alias("b")).distinct()), "pairs")
     links = _compare(stars, texts, threshold, width, scratch)
@@ -306,41 +324,82 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # of their members only those matter that look alike a member of another component of the same bucket
     open_rows = member.join(mixed, "band").join(sketches, member.copy_id == sketches.id).select("band", "copy_id", "component", (F.col("component") != F.col("major")).alias("minor"), "sketch")
     open_rows = scratch.save(open_rows, "open-rows")
-    x, y = open_rows.where("minor").alias("x"), open_rows.alias("y")
+    # a large bucket is not searched member by member; all its members go on to the exact search, whose cost does not square
+    large = scratch.save(open_rows.groupBy("band").count().where(F.col("count") > BUCKET).select("band"), "large")
+    small_rows = only_ids(open_rows, large, "band", how="left_anti")
+    x, y = small_rows.where("minor").alias("x"), small_rows.alias("y")
     alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (agreement("x.sketch", "y.sketch") >= least_agreement(threshold))
     found = x.join(y, alike, "left_semi").select("copy_id", "component", F.lit(True).alias("minor")).unionAll(y.join(x, alike, "left_semi").select("copy_id", "component", F.lit(False).alias("minor")))
+    found = found.unionAll(only_ids(open_rows, large, "band").select("copy_id", "component", "minor"))
     open_docs = scratch.save(found.groupBy("copy_id").agg(F.max("component").alias("component"), F.max("minor").alias("minor")), "open")
-    scratch.drop("buckets", "member", "open-rows")
+    scratch.drop("buckets", "member", "open-rows", "large")
     rest = scratch.save(_prefix_pairs(open_docs, texts, threshold, width, scratch), "rest-pairs")
     rest = scratch.save(likely(rest).join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = scratch.save(links.unionAll(_compare(rest, texts, threshold, width, scratch)), "all-links")
         components = connected_components(links, scratch, "components-all")
 
-    copies = real.select("doc_id", "copy_a", "copy_b").join(first, ["copy_a", "copy_b"]).select("doc_id", "copy_id")
-    named = components.withColumnRenamed("id", "copy_id")
-    classes = copies.join(named, "copy_id", "left").select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("class_id"))
-    alone = signed.where("n_words = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"))
+    copies = real.select("doc_id", "copy_a", "copy_b").join(first, ["copy_a", "copy_b"])
+    classes = copies.join(components.withColumnRenamed("id", "copy_id"), "copy_id", "left").select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_a", "copy_b")
+    classes = classes.withColumn("lead", F.col("copy_id") == F.col("class_id"))
+    if named is not None:
+        for c in ("copy_id", "class_id"):
+            classes = classes.join(named.select(F.col("node").alias(c), F.col("copy_id").alias("_least")), c).withColumn(c, F.col("_least")).drop("_least")
+        back = lambda c: named.select(F.col("node").alias(c), F.col("copy_id").alias(f"least_{c}"))
+        links = links.join(back("a"), "a").join(back("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"), "similarity")
+    classes = classes.select("doc_id", "copy_id", "class_id", "copy_a", "copy_b", (F.col("lead") & (F.col("doc_id") == F.col("copy_id"))).alias("lead"))
+    alone = signed.where("n_words = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), "copy_a", "copy_b", F.lit(True).alias("lead"))
     return NearDuplicates(classes.unionAll(alone), links)
 
 
+def copy_keys(rows: DataFrame, text_col: str, n_words: str = "n_words", copy_a: str = "copy_a", copy_b: str = "copy_b") -> DataFrame:
+    """The rows with the number of words and the copy key of their texts."""
+    at = rows.columns.index(text_col)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in (n_words, copy_a, copy_b))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            n, keys = [], []
+            for _, texts in chunked(batch.column(at).to_pylist()):
+                tokens = Tokens(texts)
+                n += np.diff(tokens.first)[: len(texts)].tolist()
+                keys += [U128.signed(tokens.of(i).tobytes()) for i in range(len(texts))]
+            more = [pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _free(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, without the near duplicates: of each class the document of the least id
-    stays, once. Rows without an id, or whose text has no words, all stay."""
-    classes = find_near_duplicates(docs, id_col, text_col).classes
-    gone = Scratch(docs.sparkSession).save(classes.where("class_id <> doc_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct(), "gone")
-    few = gone.count() <= 1_000_000
-    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    """The rows, all columns kept, without the near duplicates: of each class the text of the least id stays,
+    once. Rows without an id, or whose text has no words, all stay."""
+    scratch = Scratch(docs.sparkSession)
+    classes = scratch.save(find_near_duplicates(docs, id_col, text_col).classes, "classes")
+    kind = docs.schema[id_col].dataType
+    # ids of several rows are settled by the words of each row
+    twice = scratch.save(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "twice")
+    gone = classes.where("NOT lead AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind).alias(id_col)).distinct()
+    gone = scratch.save(gone.unionAll(twice).distinct(), "gone")
+    kept = only_ids(docs, gone, id_col, how="left_anti").select(*docs.columns)
     if twice.limit(1).count() == 0:
         return kept
-    # an id that stays and stands in several rows: rows of equal words are copies of each other
-    again = kept.join(twice, id_col, "left_semi")
-    words = F.coalesce(F.array_join(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(""))
-    again = again.withColumn("_words", words)
-    one = again.where("_words <> ''").dropDuplicates([id_col, "_words"]).unionAll(again.where("_words = ''"))
-    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionAll(one.select(*docs.columns))
+    n_words, copy_a, copy_b = _free(docs.columns, "n_words", "copy_a", "copy_b")
+    again = copy_keys(only_ids(docs, twice, id_col).select(*docs.columns), text_col, n_words, copy_a, copy_b)
+    leads = classes.where("lead").select(F.col("doc_id").cast(kind).alias(id_col), F.col("copy_a").alias(copy_a), F.col("copy_b").alias(copy_b))
+    one = again.where(F.col(n_words) > 0).join(leads, [id_col, copy_a, copy_b], "left_semi").dropDuplicates([id_col, copy_a, copy_b])
+    return kept.unionAll(one.select(*docs.columns)).unionAll(again.where(F.col(n_words) == 0).select(*docs.columns))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).classes
+    return find_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).classes.select("doc_id", "copy_id", "class_id")

@@ -116,6 +116,42 @@ def test_repeated_rows_and_nulls(spark):
     assert mh.drop_near_duplicates(table.limit(0)).count() == 0
 
 
+def test_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = b.replace("b39", "other")
+    rows = [(1, a), (1, b), (1, b), (2, near), (3, c), (3, c + " more"), (4, a), (4, None), (4, None), (5, "...")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_words", "2 AS copy_a", "'x' AS _words", "3 AS class_id")
+    result = mh.find_near_duplicates(table)
+    assert sorted((r.doc_id, r.class_id) for r in result.classes.collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 1), (4, 4), (4, 4), (5, 5)]
+    assert sorted((r.a, r.b) for r in result.links.collect()) == [(1, 2), (3, 3)]
+    kept = mh.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    # texts of one id and class are told apart by their words: one of each class stays
+    assert [g for g in got if g[0] > 1] in ([(3, c), (4, ""), (4, ""), (5, "...")], [(3, c + " more"), (4, ""), (4, ""), (5, "...")])
+    assert [g for g in got if g[0] == 1] == [(1, a), (1, b)]
+
+
+def test_hot_leaders_and_large_buckets(spark, monkeypatch):
+    """With tiny limits, a hub's pairs are dealt out and all buckets go to the exact search; the classes are the same."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(mh, "FOLLOWERS", 3)
+    monkeypatch.setattr(mh, "BUCKET", 2)
+    monkeypatch.setattr(mh, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    rng = random.Random(12)
+    base = [f"t{i}" for i in range(200)]
+    docs = []
+    for n in range(60):
+        words = list(base)
+        for i in rng.sample(range(200), rng.choice([0, 1, 2, 9])):
+            words[i] = f"c{rng.randrange(10**9)}"
+        docs.append((n, " ".join(words)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in mh.find_near_duplicates(table).classes.collect()} == brute_classes(docs)
+
+
 def test_components(spark):
     from tessera.llm.common import Scratch, connected_components
 
