@@ -9,12 +9,12 @@ with density f reports an absent n-gram with probability f**k, so each count is
 N-grams are runs of `width` bytes of the lower-cased UTF-8 text, whose non-letters become single
 spaces. A language's filter gets the n-grams that occur in at least `MIN_DOCS` of its sample texts.
 
-Learning: for each language the `SAMPLE_DOCS` training texts of the smallest hashed doc_id, among whole
-texts of at most `SAMPLE_CHARS` characters; that bounds the sample, whatever the corpus size.
+Learning: for each of the MAX_LANGS most frequent languages the `SAMPLE_DOCS` training texts of the smallest hashed doc_id, whole texts of any
+length. Their n-grams are counted and hashed in tasks; what reaches the driver are the filters' bits, at most 2**SLOT_BITS a language.
 Training rows have a non-null lang and crc32(doc_id as text) mod 3 other than 1.
 
 Defined results: null texts and texts without a letter are `und` with score 0; if nothing can be
-learned, so is every text; ties go to the language first in the alphabet; score is the best language's
+learned, so is every text; a text too short for one n-gram (two letters) is in no learned language's share, which keep_identified rejects; ties go to the language first in the alphabet; score is the best language's
 corrected share among all languages' (0 if there is none). One row comes out for each that goes in.
 A null doc_id is never held out and never learned from.
 """
@@ -36,7 +36,7 @@ WIDTH = 5
 HASHES = 3
 SLOT_BITS = 20
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
+MAX_LANGS = 256
 MIN_DOCS = 2
 UNKNOWN = "und"
 #: A text of which the best language knows fewer n-grams than this share is in no learned language.
@@ -100,6 +100,13 @@ class Filters:
         for s in self._slots(grams):
             self.table[plane, s] |= _U(1 << bit)
 
+    def add_bits(self, lang: str, words: np.ndarray, bits: np.ndarray) -> None:
+        """Set the slots whose bits are set in the given 64-bit words of the language's bitmap."""
+        plane, bit = divmod(self.langs.index(lang), 64)
+        bitmap = np.zeros(1 << (self.slot_bits - 6), dtype=_U)
+        bitmap[words] = bits
+        self.table[plane, np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)] |= _U(1 << bit)
+
     def finish(self) -> Filters:
         # one language at a time: all bits of a plane at once would be half a gigabyte on the driver
         density = [((self.table[i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(self.langs))]
@@ -142,32 +149,43 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Filters:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS) -> Filters:
     """Learn from the training fold of doc_id, text, lang. The sample is bounded, and so is what is collected."""
-    fold = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & (F.length("text") <= sample_chars))
-    keys = fold.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # a threshold on the hash keeps about twice the sample before the exact cut is taken
-    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Filters([]).finish()
-    near = None
-    for lang, n in sizes.items():
-        limit = min(2**63 - 1, 2**64 * min(n, 2 * sample_docs + 100) // n - 2**63)
-        rule = (F.col("lang") == lang) & (F.xxhash64("doc_id") <= limit)
-        near = rule if near is None else near | rule
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = fold.where(near).select("lang", "text", F.row_number().over(order).alias("rank")).where(F.col("rank") <= sample_docs).select("lang", "text").toLocalIterator()
-    texts: dict[str, list[str]] = {}
-    for r in rows:
-        texts.setdefault(r.lang, []).append(r.text or "")
-    filters = Filters(sorted(texts))
-    for lang, sample in texts.items():
-        seen = []
-        for _, part in chunked(sample):
-            grams, owner = ngrams(part)
-            seen.append(np.unique(np.stack([grams, owner.astype(_U)], axis=1), axis=0)[:, 0])
-        grams, times = np.unique(np.concatenate(seen), return_counts=True)
-        filters.add(lang, grams[times >= min(MIN_DOCS, len(sample))])
+    key = F.xxhash64("doc_id")
+    fold = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull())
+    # a threshold on the hash keeps about twice the sample before the exact cut is taken; at most max_langs rows
+    sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    part = (2 * sample_docs + 100) / F.col("n")
+    limits = sizes.select("lang", F.least("n", F.lit(sample_docs)).alias("n"), F.when(part >= 1, F.lit(2**63 - 1)).otherwise((part * 2.0**64 - 2.0**63).cast("long")).alias("limit"))
+    near = fold.join(F.broadcast(limits), "lang").where(key <= F.col("limit")).select("doc_id", "lang", "text", "n")
+    order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
+    sample = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "n", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for begin, part in chunked(batch.column(2).to_pylist()):
+                grams, owner = ngrams(part)
+                if len(grams):
+                    found = np.unique(np.stack([owner.astype(_U), grams], axis=1), axis=0)
+                    own = pa.array(found[:, 0].astype(np.int64) + begin)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(found[:, 1].view(np.int64))], ["lang", "n", "gram"])
+
+    grams = sample.mapInArrow(run, "lang string, n long, gram long").groupBy("lang", "n", "gram").agg(F.count("*").alias("times"))
+    grams = grams.where(F.col("times") >= F.least(F.lit(MIN_DOCS), F.col("n")))
+    # the same slots as Filters._slots: sums of low bits, which can't overflow
+    mask = F.lit((1 << SLOT_BITS) - 1)
+    step = F.shiftrightunsigned("gram", 40).bitwiseOR(F.lit(1)).bitwiseAND(mask)
+    slots = F.array(*[(F.col("gram").bitwiseAND(mask) + step * k).bitwiseAND(mask) for k in range(HASHES)])
+    slots = grams.select("lang", F.explode(slots).alias("slot"))
+    bits = slots.groupBy("lang", F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits"))
+    filters = Filters([r.lang for r in sizes.select("lang").collect()])
+    found: dict[str, tuple[list, list]] = {}
+    for r in bits.toLocalIterator():
+        words, values = found.setdefault(r.lang, ([], []))
+        words.append(r.word)
+        values.append(r.bits)
+    for lang, (words, values) in found.items():
+        filters.add_bits(lang, np.array(words), np.array(values, dtype=np.int64).view(_U))
     return filters.finish()
 
 

@@ -7,18 +7,20 @@ can't be negative, so it is held at 0 (the non-negative unbiased risk). Mini-bat
 when the bracket falls below 0 the step goes up on it instead, which stops the model from overfitting
 the positives. Loss is the logistic loss; the scorer is linear over the features below.
 
-The prior is estimated from the training fold: labels mark a part of the documents, so the share of good
-ones among those labelled, smoothed by one of each, is the share among all.
+The prior is estimated from positives and unlabelled texts alone: a scorer that tells positives from unlabelled texts is fitted on
+one half of each; on the other half, the share of unlabelled texts above a cut is at least the prior times that of positives, so the
+least ratio of both shares over all cuts, the cut chosen by its upper confidence bound, is the estimate (best bin estimation).
+Labels other than good are not looked at.
 
 Features of a whole text: how often each kind of character occurs and doubles, and ratios (words to bytes,
 marks, upper case, repeated lines, doubled words, the most frequent word, repeated word pairs, words
 to distinct words). Labels, lang, source and doc_id are never features.
 
 The fit uses a bounded sample: the SAMPLE_POSITIVE labelled good and SAMPLE_UNLABELLED documents of
-the smallest hashed doc_id. Rows of crc32(doc_id as text) mod 3 = 1 are held out and never looked at.
+the smallest hashed doc_id, whole texts of any length, whose features are computed in tasks. Rows of crc32(doc_id as text) mod 3 = 1 are held out and never looked at.
 
 Defined results: null and empty texts get the score of a text without features; if the fold has no
-positive, every score is the prior's; a null doc_id is not held out and not learned from; several labels of one
+positive, every score is one half; a null doc_id is not held out and not learned from; several labels of one
 doc_id count as good if any is; a row comes out for each document row.
 """
 
@@ -38,8 +40,6 @@ from tessera.llm.langid import held_out
 _U = np.uint64
 SAMPLE_POSITIVE = 3000
 SAMPLE_UNLABELLED = 6000
-#: Sampled texts are whole texts of at most this many characters.
-SAMPLE_CHARS = 20_000
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.02, 3e-3
 
 
@@ -127,8 +127,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk; the sign of the score is the class.
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positives' part and the negatives' unbiased part of the risk of weights w, logistic loss."""
+    gp, gu = p @ w, u @ w
+    # loss(g, -) = log(1 + e**g), loss(g, +) = log(1 + e**-g)
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def descent(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient to follow: of the whole risk while the negatives' part is not negative, else up on that part alone."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    to_negative = su @ u / len(u) - prior * (sp @ p) / len(p)
+    return to_negative - prior * ((1 - sp) @ p) / len(p) if risk(w, p, u, prior)[1] >= 0 else -to_negative
+
+
+def _apart(w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gradient of telling positives from unlabelled texts, both of equal weight."""
+    return (_sigmoid(u @ w) @ u / len(u) - (1 - _sigmoid(p @ w)) @ p / len(p)) / 2
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7, against: bool = False) -> Model:
+    """Minimise the non-negative unbiased risk; the sign of the score is the class. With `against`, tell positives from
+    unlabelled texts instead, as estimate_prior() needs.
 
     Features are centred and scaled by the positives, so what good texts never show stands out.
     """
@@ -146,13 +166,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         for b in range(batches):
             u = xu[order_u[b::batches]]
             p = xp[order_p[b::batches]] if len(xp) >= 8 * batches else xp
-            gp, gu = p @ w, u @ w
-            sp, su = _sigmoid(gp), _sigmoid(gu)
-            # logistic loss: loss(g, -) = log(1 + e**g), loss(g, +) = log(1 + e**-g)
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            to_negative = su @ u / len(u) - prior * (sp @ p) / len(p)
-            grad = to_negative - prior * ((1 - sp) @ p) / len(p) if negative >= 0 else -to_negative
-            grad = grad + DECAY * keep * w
+            grad = (descent(w, p, u, prior) if not against else _apart(w, p, u)) + DECAY * keep * w
             step += 1
             first = 0.9 * first + 0.1 * grad
             second = 0.999 * second + 0.001 * grad**2
@@ -167,29 +181,50 @@ def constant(prior: float) -> Model:
     return Model(np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))), np.zeros(N_FEATURES), np.ones(N_FEATURES), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among the unlabelled, by best bin estimation on halves that the scorer has not seen."""
+    ranked = fit(positive[::2], unlabelled[::2], 0.5, against=True)
+    p, u = np.sort(ranked.raw(positive[1::2])), np.sort(ranked.raw(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    cuts = np.unique(p)
+    above_p = (len(p) - np.searchsorted(p, cuts, "left")) / len(p)
+    above_u = (len(u) - np.searchsorted(u, cuts, "left")) / len(u)
+    slack = np.sqrt(np.log(4 / confidence) / 2)
+    bound = (above_u + slack / np.sqrt(len(u)) + slack / np.sqrt(len(p))) / above_p
+    k = int(np.argmin(bound))
+    return float(np.clip(above_u[k] / above_p[k], 0.01, 0.99))
+
+
+_FEATURED = "key long, tie long, good int, x array<double>"
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the training fold of documents and labels; what reaches the driver is bounded."""
+    """Learn from the training fold of documents and labels; what reaches the driver is bounded: features of the sample."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
-    marked = labels.where(fold & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good, every = marked.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("*")).first()
-    prior = ((good or 0) + 1) / (every + 2)
-    if not good:
-        return constant(prior)
     key = F.xxhash64("doc_id")
-    positives = marked.where("quality = 1").orderBy(key).limit(2 * SAMPLE_POSITIVE).select("doc_id", F.lit(1).alias("good"))
-    texts = docs.where(fold & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
+    good = labels.where(fold & (F.col("quality") == 1)).select("doc_id").distinct()
+    positives = good.orderBy(key).limit(SAMPLE_POSITIVE).select("doc_id", F.lit(1).alias("good"))
     n = docs.where(fold).select("doc_id").count()
     limit = min(2**63 - 1, 2**64 * min(n, 2 * SAMPLE_UNLABELLED + 100) // max(n, 1) - 2**63)
-    # positives are a bounded number of ids
-    rows = texts.join(F.broadcast(positives), "doc_id", "left").where((F.col("good") == 1) | (key <= limit))
-    rows = rows.select("doc_id", "text", F.coalesce("good", F.lit(0)).alias("good"))
-    trusted = rows.where("good = 1").orderBy(key, "text").limit(SAMPLE_POSITIVE).select("text").collect()
-    others = rows.where(key <= limit).orderBy(key, "text").limit(SAMPLE_UNLABELLED).select("text").collect()
-    p, u = [r.text for r in trusted], [r.text for r in others]
-    if not p or not u:
-        return constant(prior)
-    matrix = lambda texts: np.concatenate([features(part) for _, part in chunked(texts)])
-    return fit(matrix(p), matrix(u), prior)
+    # positives are at most SAMPLE_POSITIVE ids
+    rows = docs.where(fold).select("doc_id", "text").join(F.broadcast(positives), "doc_id", "left").where((F.col("good") == 1) | (key <= limit))
+    rows = rows.select(key.alias("key"), F.xxhash64("text").alias("tie"), F.coalesce("good", F.lit(0)).alias("good"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for begin, texts in chunked(batch.column(3).to_pylist()):
+                x = features(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(texts)) for i in range(3)), lists], ["key", "tie", "good", "x"])
+
+    featured = rows.mapInArrow(run, _FEATURED)
+    first = lambda rows, n: [r.x for r in rows.orderBy("key", "tie").limit(n).select("x").collect()]
+    trusted, others = first(featured.where("good = 1"), SAMPLE_POSITIVE), first(featured.where(F.col("key") <= limit), SAMPLE_UNLABELLED)
+    if not trusted or not others:
+        return constant(0.5)
+    p, u = np.array(trusted), np.array(others)
+    return fit(p, u, estimate_prior(p, u))
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -55,3 +55,49 @@ def test_training_ignores_the_held_out_fold(spark, docs):
 
     other = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, "zz").otherwise(F.col("lang")))
     assert (langid.train(docs).table == langid.train(other).table).all()
+
+
+def test_long_texts_are_learned_from(spark):
+    """A language with long texts only, and one whose single text is null."""
+    rows = [(k, "zab" + " qux zor vim plo krat" * (6000 + k), "zz") for k in range(9)] + [(k, None, "nn") for k in range(10, 13)] + [(k, "the and of with that", "en") for k in range(20, 29)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table)
+    assert model.langs == ["en", "nn", "zz"]
+    got = langid.identify(spark.createDataFrame([(1, "vim plo krat qux"), (2, "with that and the")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "zz", 2: "en"}
+    assert langid.train(table, max_langs=1).langs == ["en"]
+
+
+def test_predictions_match_exact_ngram_sets(spark, docs):
+    """The filters against Python sets of the same sample's n-grams, without hashing into bits."""
+    import zlib
+    from collections import Counter
+
+    def grams(text):
+        low = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in (" " + text.lower() + " ").encode())
+        out = bytearray(low[:1])
+        for b in low[1:]:
+            if b != 0x20 or out[-1] != 0x20 or len(out) == 0:
+                out.append(b)
+        return [bytes(out[i : i + langid.WIDTH]) for i in range(len(out) - langid.WIDTH + 1)]
+
+    rows = docs.select("doc_id", "text", "lang").collect()
+    fold = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    sets = {}
+    for lang in sorted({r.lang for r in fold}):
+        sample = [r.text or "" for r in fold if r.lang == lang]
+        assert len(sample) <= langid.SAMPLE_DOCS  # all of them are the sample here
+        times = Counter(g for t in sample for g in set(grams(t)))
+        sets[lang] = {g for g, n in times.items() if n >= min(langid.MIN_DOCS, len(sample))}
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    same = every = 0
+    for r in rows:
+        if not (g := grams(r.text or "")) or not any(c.isalpha() for c in r.text):
+            continue
+        share = {lang: sum(x in s for x in g) / len(g) for lang, s in sets.items()}
+        best = max(sorted(share), key=share.get)
+        every += 1
+        same += got[r.doc_id].lang_pred == best
+        if len(g) > 200:
+            assert abs(got[r.doc_id].share - share[best]) < 0.03
+    assert every > 100 and same >= 0.99 * every

@@ -52,3 +52,42 @@ def test_edges(spark, tables, model):
     assert q.score(table.limit(0), model).count() == 0
     assert q.train(docs, labels.where("quality = 7")).prior == 0.5
     assert not q.train(docs.limit(0), labels).weights.any()
+
+
+def test_gradient_is_that_of_the_plain_risk():
+    """Against differences of the risk written out example by example."""
+    from math import exp, log1p
+
+    rng = np.random.default_rng(3)
+    plus, minus = (lambda g: log1p(exp(-g))), (lambda g: log1p(exp(g)))
+    seen = set()
+    for prior in (0.2, 0.6, 0.9):
+        p, u = rng.normal(1, 1, (15, 4)), rng.normal(-0.5, 1, (25, 4))
+        for scale in (0.1, 2.0):
+            w = rng.normal(0, scale, 4)
+            parts = lambda w: (prior * sum(plus(x @ w) for x in p) / 15, sum(minus(x @ w) for x in u) / 25 - prior * sum(minus(x @ w) for x in p) / 15)  # noqa: B023, E731
+            assert np.allclose(q.risk(w, p, u, prior), parts(w))
+            below = parts(w)[1] < 0
+            seen.add(below)
+            aim = (lambda w: -parts(w)[1]) if below else (lambda w: sum(parts(w)))  # noqa: B023
+            plain = [(aim(w + 1e-6 * e) - aim(w - 1e-6 * e)) / 2e-6 for e in np.eye(4)]
+            assert np.allclose(q.descent(w, p, u, prior), plain, atol=1e-5)
+    assert seen == {True, False}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(1)
+    draw = lambda n, at: rng.normal(at, 1, (n, 6))
+    n = int(4000 * share)
+    unlabelled = np.concatenate([draw(n, 1), draw(4000 - n, -1)])
+    assert abs(q.estimate_prior(draw(2000, 1), unlabelled[rng.permutation(4000)]) - share) < 0.08
+
+
+def test_labelled_negatives_and_long_texts(tables, model):
+    docs, labels = tables
+    other = q.train(docs, labels.where("quality = 1"))
+    assert np.array_equal(other.weights, model.weights) and other.prior == model.prior
+    assert abs(model.prior - labels.agg(F.avg("quality")).first()[0]) < 0.1
+    long = docs.withColumn("text", F.repeat("text", 12))
+    assert q.train(long, labels).weights.any()
