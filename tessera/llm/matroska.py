@@ -8,7 +8,7 @@ of 576 samples a packet, laced by fixed size, in clusters with cues.
 
 Defined results: null and empty input to `parse_media` give no packets and no error; a file that ends
 within an element, or whose sizes lead out of their parent, gives the packets before that place and the
-error's text in `error`; repeated rows are parsed once for each row.
+error's text in `error`; elements at a level they don't belong to are skipped, so nesting is never deep; repeated rows are parsed once for each row.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO = 0xAE, 0xD7,
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_TRACK_POSITIONS, EBML}
+#: The element that each element with children stands in; 0 is the file. Elsewhere it is skipped like an unknown one.
+PARENT = {EBML: 0, SEGMENT: 0, INFO: SEGMENT, TRACKS: SEGMENT, CLUSTER: SEGMENT, CUES: SEGMENT}
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, SEGMENT, EBML, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 UNKNOWN = -1
 
@@ -210,20 +211,18 @@ def _block(data: bytes, a: int, b: int, base: int, out: Media, simple: bool, key
         at += size
 
 
-def _walk(data: bytes, at: int, end: int, out: Media, state: dict) -> None:
+def _walk(data: bytes, at: int, end: int, out: Media, state: dict, parent: int = 0) -> None:
     for id_, start, a, b in _elements(data, at, end):
         cut = b < 0
         b = min(-b, end) if cut else b
-        if id_ == SEGMENT:
-            state["segment"] = a
-            _walk(data, a, b, out, state)
-        elif id_ == CLUSTER:
-            out.clusters += 1
-            state["time"] = 0
-            _walk(data, a, b, out, state)
-        elif id_ in MASTERS and id_ not in (BLOCK_GROUP, TRACK_ENTRY, CUE_POINT):
-            _walk(data, a, b, out, state)
-        elif cut:
+        if PARENT.get(id_) == parent and id_ in PARENT:  # at most three levels deep
+            if id_ == SEGMENT:
+                state["segment"] = a
+            elif id_ == CLUSTER:
+                out.clusters += 1
+                state["time"] = 0
+            _walk(data, a, b, out, state, id_)
+        elif cut or id_ in PARENT:
             pass
         elif id_ == DOC_TYPE:
             out.doc_type = data[a:b].decode("ascii", "replace")
@@ -281,6 +280,24 @@ def parse(data: bytes | None) -> Media:
     return out
 
 
+def seek(data: bytes, media: Media, ns: int, track: int | None = None) -> list[tuple]:
+    """The packets of the last cluster that the cues (of the track) place at or before the time: only that cluster is
+    read. Without such a cue, or where it leads to no cluster, the packets of the first cluster on."""
+    before = [c for c in media.cues if c[0] <= ns and (track is None or c[1] == track)]
+    at = max(before)[2] if before else -1
+    part = Media(scale=media.scale)
+    try:
+        if 0 <= at < len(data) and int.from_bytes(data[at : at + 4], "big") == CLUSTER:
+            _, _, a, b = next(_elements(data, at, len(data)))
+            part.clusters = 1
+            _walk(data, a, abs(b), part, {}, CLUSTER)
+        else:
+            return media.packets
+    except Bad:
+        pass
+    return part.packets
+
+
 def read_back(data: bytes, media: Media) -> bytes:
     """All packets' bytes in order."""
     return b"".join([data[p[2] : p[2] + p[3]] for p in media.packets])
@@ -303,8 +320,8 @@ PACKET = "track long, timestamp_ns long, byte_start long, byte_size long, key bo
 
 
 def parse_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """id, error and the packet table (an array of structs, in file order) of each file."""
-    schema = T.StructType.fromDDL(f"doc_id long, error string, packets array<struct<{PACKET.replace(' long', ':long').replace(' boolean', ':boolean').replace(' int', ':int')}>>")
+    """id, error, the packet table (an array of structs, in file order) and the cues of each file."""
+    schema = T.StructType.fromDDL(f"doc_id long, error string, cues array<struct<timestamp_ns:long,track:long,byte_start:long>>, packets array<struct<{PACKET.replace(' long', ':long').replace(' boolean', ':boolean').replace(' int', ':int')}>>")
     names = [p.split()[0] for p in PACKET.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int32(), pa.int32()]
 
@@ -312,7 +329,9 @@ def parse_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media
         for batch in small_batches(batches, rows=64):
             found = [parse(m) for m in batch.column(1).to_pylist()]
             packets = pa.array([[dict(zip(names, p, strict=True)) for p in m.packets] for m in found], pa.list_(pa.struct(list(zip(names, kinds, strict=True)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.error for m in found], pa.string()), packets], ["doc_id", "error", "packets"])
+            places = pa.struct([(c, pa.int64()) for c in ("timestamp_ns", "track", "byte_start")])
+            cues = pa.array([[dict(zip(places.names, c, strict=True)) for c in m.cues] for m in found], pa.list_(places))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.error for m in found], pa.string()), cues, packets], ["doc_id", "error", "cues", "packets"])
 
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col)).mapInArrow(run, schema)
 

@@ -74,6 +74,28 @@ def test_broken_files_do_not_crash():
     assert mk.parse(None).packets == [] and mk.parse(b"").error is None
 
 
+def test_deep_nesting_and_cyclic_sizes():
+    for id_ in (mk.SEGMENT, mk.CLUSTER, mk.BLOCK_GROUP, mk.TRACKS, mk.CUES):
+        data = b""
+        for _ in range(5000):
+            data = mk.element(id_, data)
+        assert mk.parse(data).packets == []
+        assert mk.parse((mk.element_id(id_) + b"\x01" + b"\xff" * 7) * 5000).packets == []
+    inner = mk.write(b"x" * 576)
+    assert len(mk.parse(mk.element(mk.SEGMENT, inner) + inner).packets) == 1  # a segment within a segment is skipped
+
+
+def test_cues_lead_to_clusters():
+    payload = random.Random(4).randbytes(576 * mk.LACE * mk.BLOCKS * 3 + 100)
+    data = mk.write(payload)
+    m = mk.parse(data)
+    for ns in (0, m.cues[1][0] - 1, m.cues[1][0], m.cues[2][0] + 5, 10**15):
+        k = max(i for i, c in enumerate(m.cues) if c[0] <= ns)
+        # a cluster's packets but for their cluster number
+        assert [p[:6] for p in mk.seek(data, m, ns)] == [p[:6] for p in m.packets if p[6] == k]
+    assert mk.seek(data, m, -1) == m.packets and mk.seek(data, m, 0, track=7) == m.packets
+
+
 def test_rows(spark):
     rows = [(1, "abc"), (1, "abc"), (2, None), (3, ""), (None, "é" * 288), (5, "x" * 2_000_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS feature")
@@ -87,7 +109,7 @@ def test_rows(spark):
     a, b = [r for r in out if r.doc_id == 1]
     assert a == b
     table = mk.parse_media(spark.createDataFrame([r for r in out if r.doc_id == 1], out[0].__fields__ and mk.T.StructType([*mk.STORED.fields, mk.T.StructField("media", mk.T.BinaryType())])))
-    assert [len(r.packets) for r in table.collect()] == [1, 1]
+    assert [(len(r.packets), len(r.cues)) for r in table.collect()] == [(1, 1), (1, 1)]
     assert mk.store_texts(docs.limit(0)).count() == 0
     nulls = mk.parse_media(spark.createDataFrame([(1, None), (2, bytearray(b""))], "doc_id long, media binary")).collect()
     assert [(r.packets, r.error) for r in nulls] == [([], None)] * 2
