@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tessera.functions import references as rf
 from tessera.functions import sequential as sq
 
 
@@ -64,14 +65,14 @@ def test_context_packing_skips_and_goes_on(spark):
 
 
 def test_article_refs():
-    keys = lambda s: [r["key"] for r in sq.article_refs(s)]
+    keys = lambda s: [r["key"] for r in rf.article_refs(s)]
     assert keys("제3조부터 제5조까지") == ["3", "4", "5"]
     assert keys("제9조의2") == ["9-2"]
     assert keys("제10조의2 내지 제10조의4") == ["10-2", "10-3", "10-4"]
     assert keys("제5조부터 제3조까지") == ["5", "3"]
-    r = sq.article_refs("제7조 제2항 제3호")[0]
+    r = rf.article_refs("제7조 제2항 제3호")[0]
     assert (r["key"], r["paragraph"], r["item"], r["subitem"]) == ("7", "2", "3", None)
-    assert sq.article_refs("no article") == []
+    assert rf.article_refs("no article") == []
 
 
 LAW = {"name": "시험법 시행령", "level": "시행령", "root": "시험법"}
@@ -80,7 +81,7 @@ ORDER = ["1", "2", "3", "4"]
 
 
 def refs(text, article="4"):
-    return [(r["type"], r["target"], r["articles"], r["status"], r["confidence"]) for r in sq.law_references(text, LAW, article, ORDER, FAMILY)]
+    return [(r["type"], r["target"], r["articles"], r["status"], r["confidence"]) for r in rf.law_references(text, LAW, article, ORDER, FAMILY)]
 
 
 def test_law_references():
@@ -96,7 +97,7 @@ def test_law_references():
 
 @pytest.mark.parametrize(("name", "noise"), [("민법", False), ("", True), ("제3조 법", True), ("특례(법)", True), ("법 시행령", True), ("장관은 정하는 법", True), ("가 나 다 라법", True)])
 def test_noise_names(name, noise):
-    assert sq.is_noise_name(name) is noise
+    assert rf.is_noise_name(name) is noise
 
 
 def test_json_in_text():
