@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, graph, history, relations, search, text  # noqa: F401  they register their queries
+from tessera.plans import analytics, graph, history, ingest, relations, search, text  # noqa: F401  they register their queries
 from tessera.plans.registry import ENTRIES
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,3 +89,23 @@ def write_graph(nodes: DataFrame, edges: DataFrame, top: str) -> None:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def embedded_rows(spark: SparkSession, glob: str, schema: T.StructType, key: str, vector: str, limit: int | None = None) -> DataFrame:
+    """JSON lines of all files that match, at most `limit` of them; lines without a key or a vector are left out."""
+    rows = spark.read.schema(schema).json(glob).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return rows if limit is None else rows.limit(limit)
+
+
+def write_embeddings(rows: DataFrame, key: str, vector: str, handed_on: Column, top: str, spark: SparkSession) -> DataFrame:
+    """Vectors and metadata as datasets of their own, joined by the key; rows of `handed_on` without vectors; and a manifest of
+    rows and dimensions, counted from what was written."""
+    meta = [c for c in rows.columns if c != vector]
+    rows.select(key, vector).write.mode("overwrite").parquet(f"{top}/vectors")
+    write_json(rows.select(*meta), f"{top}/meta")
+    write_json(rows.where(handed_on).select(*meta), f"{top}/handoff")
+    counts = spark.read.parquet(f"{top}/vectors").agg(F.lit("vectors").alias("part"), F.count("*").alias("n"), F.min(F.size(vector)).cast("long").alias("dims"))
+    for part in ("meta", "handoff"):
+        counts = counts.unionAll(spark.read.schema(rows.select(*meta).schema).json(f"{top}/{part}").agg(F.lit(part), F.count("*"), F.lit(None).cast("long")))
+    write_json(counts.coalesce(1), f"{top}/manifest")
+    return spark.read.schema("part string, n long, dims long").json(f"{top}/manifest")
