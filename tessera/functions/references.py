@@ -35,6 +35,7 @@ SCOPE_OF_ENDING = {"시행규칙": "규칙", "부령": "규칙", "규칙": "규
 NAME_ENDINGS = ("법", "법률", "시행령", "대통령령", "령", "시행규칙", "규칙", "부령", "조례", "규정", "훈령", "예규", "고시")
 POINTER_WORDS = ("이", "같은", "동")
 PARTICLES = ("은", "는", "이", "가", "을", "를", "과", "와")
+VERB_ENDINGS = ("하고", "하며", "하여", "되고", "되며")
 OFFICES = ("장관", "위원회", "청장", "협회", "원장", "시장", "군수", "구청장", "도지사")
 NEAR_STEPS = {"전": ("previous_article", -1), "다음": ("next_article", 1), "같은": ("current_article", 0), "동": ("current_article", 0)}
 #: Confidence of a resolved and of an unresolved reference, by what tells the law.
@@ -163,7 +164,7 @@ def scope_of(name: str) -> str | None:
 
 def _can_stand_inside(word: str) -> bool:
     """A word that can belong to a name without being its last one."""
-    return not word.endswith(PARTICLES + OFFICES) and word not in POINTER_WORDS
+    return not word.endswith(PARTICLES + OFFICES + VERB_ENDINGS) and word not in POINTER_WORDS
 
 
 def own_name(words: list[str]) -> list[str]:
