@@ -46,7 +46,7 @@ def reference_edges(refs: DataFrame, articles: DataFrame) -> DataFrame:
     counted = rows.groupBy("src", "law", F.when(F.col("_known"), F.col("article")).alias("article")).agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"))
     found = counted.where("article IS NOT NULL").select("src", "law").distinct()
     to_article = counted.where("article IS NOT NULL").select("src", F.concat_ws("::", "law", "article").alias("dst"), F.lit("REFERS_TO_ARTICLE").alias("kind"), "mentions", "confidence")
-    to_law = counted.where("article IS NULL").join(found, ["src", "law"], "left_anti").select("src", F.col("law").alias("dst"), F.lit("REFERS_TO_LAW").alias("kind"), "mentions", "confidence")
+    to_law = counted.where("article IS NULL").join(found, ["src", "law"], "left_anti").select("src", F.col("law").cast("string").alias("dst"), F.lit("REFERS_TO_LAW").alias("kind"), "mentions", "confidence")
     return to_article.unionAll(to_law)
 
 

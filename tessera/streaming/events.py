@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,28 +40,75 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame, per_trigger: in
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def apply_patches(patches: DataFrame, base: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Apply each batch of (op, row) to the table at `base`. A batch is written beside the table under its number and becomes the
-    table by one small pointer file, so a batch that is run again after a failure gives the same table."""
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of its files, whether the table is one file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+#: Parts of a patched table; a batch rewrites only those it touches.
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, base: str, before: int | None = None) -> dict[int, int]:
+    """The version each bucket stands at: at most BUCKETS rows."""
+    from tessera.sources.files import exists
+
+    if not exists(spark, f"{base}/_versions"):
+        return {}
+    rows = spark.read.schema("bucket int, version long").json(f"{base}/_versions")
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    return {r.bucket: r.version for r in rows.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def _read_buckets(spark: SparkSession, base: str, held: dict[int, int], like: DataFrame) -> DataFrame:
+    """The rows of these buckets; one whose rows all went has no folder."""
+    from tessera.sources.files import exists
+
+    paths = [p for k, v in sorted(held.items()) if exists(spark, p := f"{base}/v{v}/bucket={k}")]
+    return spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
+
+
+def apply_patches(patches: DataFrame, base: str, key: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Apply each batch of (op, row) to the table at `base`, which is kept in buckets of keys. The buckets a batch touches are written
+    anew under its number and become part of the table by one small pointer file, so a batch that is run again after a failure
+    gives the same table, and a batch costs its own buckets, not the table."""
 
     def one(batch: DataFrame, number: int) -> None:
         from tessera.operators.merging import apply_patch
-        from tessera.sources.files import exists
 
         spark = batch.sparkSession
-        rest = [c for c in batch.columns if c != "op"]
-        before = [r.version for r in spark.read.json(f"{base}/_versions").select("version").collect()] if exists(spark, f"{base}/_versions") else []
-        last = max((v for v in before if v < number), default=None)
-        rows = spark.read.parquet(f"{base}/v{last}") if last is not None else batch.select(*rest).limit(0)
-        apply_patch(rows, batch, key).write.mode("overwrite").parquet(f"{base}/v{number}")
-        spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").json(f"{base}/_versions")
+        place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r.bucket for r in batch.select(place.alias("bucket")).distinct().collect()]
+        if not touched:
+            return
+        held = {k: v for k, v in _versions(spark, base, number).items() if k in set(touched)}
+        rows = _read_buckets(spark, base, held, batch.drop("op"))
+        apply_patch(rows, batch, key).withColumn("bucket", place).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/v{number}")
+        pointers = spark.createDataFrame([(k, number) for k in touched], "bucket int, version long")
+        pointers.coalesce(1).write.mode("append").json(f"{base}/_versions")
 
     return patches.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def patched_table(spark: SparkSession, base: str) -> DataFrame:
-    version = spark.read.json(f"{base}/_versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{base}/v{version}")
+def patched_table(spark: SparkSession, base: str, like: DataFrame | None = None) -> DataFrame:
+    held = _versions(spark, base)
+    if like is None:
+        first = spark.read.option("recursiveFileLookup", True).parquet(*{f"{base}/v{v}" for v in held.values()})
+        like = first.limit(0)
+    return _read_buckets(spark, base, held, like)
+
+
+def token_events(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, seq, delta, done: a text as the events of its tokens, the last one empty and done; for batch and stream alike."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=\s)(?=\S)"), lambda x: x != "")
+    events = F.concat(F.transform(parts, lambda x: F.struct(x.alias("delta"), F.lit(False).alias("done"))), F.array(F.struct(F.lit("").alias("delta"), F.lit(True).alias("done"))))
+    return texts.select(*keys, F.posexplode(events).alias("seq", "e")).select(*keys, "seq", "e.delta", "e.done")
 
 
 #: The states of a review job and those that may follow.
@@ -100,10 +147,14 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def run_all(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table of that name."""
+    """Run a stream over all that is there, into a table of that name in memory; for tests and small results."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-Sink = Callable[[DataFrame, int], None]
+def run_to_files(stream: DataFrame, top: str) -> DataFrame:
+    """Run a stream over all that is there, into Parquet files below `top`."""
+    q = stream.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{top}/out")
