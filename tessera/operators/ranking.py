@@ -134,3 +134,35 @@ def over_fetch(hits: DataFrame, top: int, multiple: int, key: Column) -> DataFra
     """Only top * multiple rows are looked at, then repeats go, then the first `top` stay: there can be fewer."""
     few = rank_rows(hits).where(F.col("rank") <= top * multiple)
     return rank_rows(first_by_key(few, key, "query_id")).where(F.col("rank") <= top)
+
+
+#: Order of document types in a context; others come last.
+TYPE_ORDER = {"law": 0, "expc": 1, "prec": 2, "decc": 3, "detc": 4}
+
+
+def prompts(queries: DataFrame, contexts: DataFrame, details: dict[str, str], usual: str, budget: int) -> DataFrame:
+    """query_id, prompt: the instruction by level of detail, the question, and the numbered contexts (query_id, doc_type, content, rank;
+    a few rows a query) with laws first; a note where there is no law; cut to the budget of characters."""
+    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_ORDER.items() for x in kv]), "doc_type"), F.lit(9))
+    rows = contexts.withColumn("_no", F.row_number().over(Window.partitionBy("query_id").orderBy(place, "rank")))
+    line = F.concat(F.col("_no").cast("string"), F.lit(". ("), F.coalesce("doc_type", F.lit("")), F.lit(")\n"), "content")
+    body = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", line.alias("line")))), lambda x: x.line), "\n\n").alias("_body"), F.count("*").alias("_n"), F.bool_or(F.col("doc_type") == LAW).alias("_law"))
+    said = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in details.items() for x in kv]), "detail"), F.lit(usual))
+    out = queries.join(body, "query_id", "left")
+    note = F.when(F.coalesce("_law", F.lit(False)), "").otherwise("\nnote: no law among them")
+    text = F.concat(said, F.lit("\n\nquestion: "), "question", F.lit("\ndocuments: "), F.coalesce("_n", F.lit(0)).cast("string"), note, F.lit("\n\n"), F.coalesce("_body", F.lit("(none)")))
+    return out.select("query_id", F.substring(text, 1, budget).alias("prompt"))
+
+
+def intent_by_words(question: Column, words: tuple[str, ...]) -> Column:
+    """normative if the question holds any of the words, else case_law."""
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.coalesce(question, F.lit("")), F.lit(w))
+    return F.when(hit, "normative").otherwise("case_law")
+
+
+def counted_top(hits: DataFrame, top: int, min_law: int) -> DataFrame:
+    """The first rows of each query, with whether they hold enough laws."""
+    rows = hits.where(F.col("rank") <= max(1, top))
+    return rows.withColumn("enough", F.count_if(F.col("doc_type") == LAW).over(Window.partitionBy("query_id")) >= min_law)

@@ -10,9 +10,14 @@ K1, B = 1.2, 0.75
 QUERY_LIMIT = 10_000
 
 
+def few(df: DataFrame, rows: int = QUERY_LIMIT) -> bool:
+    """Whether a frame of queries or terms, an input of a batch, has at most `rows` rows; its own plan is run for that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = QUERY_LIMIT) -> DataFrame:
     """The frame, marked for broadcast if it is seen to be small; else left to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def as_doubles(vector: str) -> Column:
@@ -40,10 +45,22 @@ def vector_top(corpus: DataFrame, queries: DataFrame, top: int, id_col: str = "s
     query before the shuffle (a rank limit below the window), so what is shuffled is tasks x queries x top.
     """
     c = corpus.select(F.col(id_col).alias("source_id"), normalise(as_doubles(vector)).alias("_c"))
-    q = small(queries.select("query_id", normalise(as_doubles("vector")).alias("_q")))
-    pairs = c.join(q, F.lit(True)).select("query_id", "source_id", dot(F.col("_c"), F.col("_q")).alias("score"))
+    q = queries.select("query_id", normalise(as_doubles("vector")).alias("_q"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = c.join(F.broadcast(block), F.lit(True)).select("query_id", "source_id", dot(F.col("_c"), F.col("_q")).alias("score"))
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    if few(queries):
+        return best(q)
+    # a stated set of queries against all rows, a block of about QUERY_LIMIT queries a pass
+    blocks = -(-queries.count() // QUERY_LIMIT) + 1
+    out = None
+    for k in range(blocks):
+        one = best(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def tokens(text: Column) -> Column:
@@ -51,26 +68,54 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def analyzed(text: Column, lang: Column, stop: dict[str, tuple[str, ...]]) -> Column:
+    """Tokens without those that the tags of a language stop; languages without tags keep all of them."""
+    words = tokens(F.coalesce(text, F.lit("")))
+    out = words
+    for name, tagged in stop.items():
+        out = F.when(lang == name, F.filter(words, lambda w: ~w.isin(*tagged))).otherwise(out)  # noqa: B023
+    return out
+
+
 def keyword_top(corpus: DataFrame, terms: DataFrame, top: int, id_col: str = "source_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """query_id, source_id, score, rank by BM25 with an OR of the query's terms (query_id, term).
 
     One scan makes (id, length, counts of the queries' terms only), so the token table that is shuffled holds rows of
     matching documents, not every word of the corpus.
     """
-    wanted = small(terms.select("query_id", "term").distinct())
+    wanted = terms.select("query_id", "term").distinct()
+    light = few(wanted)
+    sent = lambda df: F.broadcast(df) if light else df  # noqa: E731  each frame below has at most the terms' rows
     vocabulary = wanted.select("term").distinct()
     docs = corpus.select(F.col(id_col).alias("source_id"), tokens(F.coalesce(text, F.lit(""))).alias("w"))
     sized = docs.select("source_id", "w", F.size("w").alias("dl"))
     size = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("source_id", "dl", F.explode("w").alias("term")).join(F.broadcast(vocabulary), "term", "left_semi").groupBy("source_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = sized.select("source_id", "dl", F.explode("w").alias("term")).join(sent(vocabulary), "term", "left_semi").groupBy("source_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(idf), "term").join(wanted, "term").groupBy("query_id", "source_id").agg(F.round(F.sum(part), 9).alias("score"))
+    scored = tf.join(sent(idf), "term").join(sent(wanted), "term").groupBy("query_id", "source_id").agg(F.round(F.sum(part), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def holding(docs: DataFrame, items: DataFrame, text: str, wanted: str) -> DataFrame:
+    """Pairs of docs and items whose text holds the item's wanted string. A string's longest word that stands between blanks stands
+    between blanks in the text too, so rows meet by that word and are then verified; strings of at most two words have no such
+    word, and only these are tried against every text."""
+    words = F.split(wanted, " ")
+    inner = F.when(F.size(words) > 2, F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1))), lambda w: w != ""))
+    keyed = items.withColumn("_inner", inner)
+    keyed = keyed.withColumn("_key", F.when(F.size("_inner") > 0, F.expr("array_sort(transform(_inner, w -> struct(-length(w) AS n, w AS w)))[0].w"))).drop("_inner")
+    light = few(items, 100_000)
+    sent = lambda df: F.broadcast(df) if light else df
+    long, short = keyed.where("_key IS NOT NULL"), keyed.where("_key IS NULL").drop("_key")
+    keys = long.select("_key").distinct()
+    spots = docs.withColumn("_key", F.explode(F.array_distinct(F.split(text, " ")))).join(sent(keys), "_key", "left_semi")
+    met = spots.join(sent(long), "_key").where(F.contains(text, wanted)).drop("_key")
+    return met.unionByName(docs.join(sent(short), F.contains(text, wanted)))
+
+
 def match_filter(doc_types: list[str] | None, law_names: list[str] | None, name_columns: list[str], array_columns: list[str] = ()) -> Column:
     """doc_type is one of doc_types, and any of the name columns (or arrays of names) holds one of law_names. Empty lists ask for nothing."""
     out = F.lit(True)

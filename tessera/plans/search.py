@@ -83,11 +83,10 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def both_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = chunks(spark, sf_dir).select("source_id", "doc_type", "law_name", "text")
+    """Hits of both searches by id; their payload is joined after fusion, for the rows that stay."""
     hits = vector_hits(spark, sf_dir).select("query_id", F.lit(0).alias("list_no"), F.lit("vector").alias("backend"), "rank", "score", "source_id")
     hits = hits.unionAll(keyword_hits(spark, sf_dir).select("query_id", F.lit(1), F.lit("keyword"), "rank", "score", "source_id"))
-    # hits are at most lists x queries x top rows
-    return corpus.join(rt.small(hits, 100_000), "source_id", "right").select("query_id", "list_no", "backend", "rank", "score", "source_id", "doc_type", "law_name", "text")
+    return hits.withColumn("text", F.lit(""))
 
 
 @query("vs6_hybrid", "VS6 VS7 VS8 VS14 WN1 WN3 SO1 SO2", f"WITH {_COSINE}, {_BM25}, {_FUSED} SELECT query_id, rank, source_id, round(rrf, 6) AS score, n_backends, best_rank FROM ranked WHERE rank <= 10")
@@ -238,25 +237,16 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.weigh(d, {"src1": 1.2, "src2": 0.8}, {"de": 0.5}).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query(
-    "so3_type_order", "SO3",
-    """SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 9 END, doc_id) AS place FROM documents WHERE source = 'src4'""",
-)
-def type_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("source = 'src4'").select("doc_id", "source", _type_kind().alias("kind"))
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("kind", "doc_id")).cast("long").alias("place"))
-
-
 def _type_kind() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit(0), F.lit("fr"), F.lit(1)), "lang"), F.lit(9))
 
 
 @query(
-    "so3_type_order_all", "SO3",
+    "so3_type_order", "SO3",
     """SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 9 END, doc_id) AS place FROM documents""",
 )
-def type_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, ordered within each source; so3_type_order orders one source."""
+def type_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, ordered within each source."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", _type_kind().alias("kind"))
     return rk.places(rows, "source", "kind", "doc_id").select("doc_id", "place")
 
@@ -267,22 +257,10 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_context(language_hits(spark, sf_dir).where("rank <= 50"), 400, 3000)
 
 
-@query(
-    "ag12_hit_at_k", "AG12 AG19 VS15 SK14",
-    """WITH pairs AS (SELECT item_id, doc_id, lang FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 40)))),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM pairs),
-    hit AS (SELECT b.item_id, CASE b.item_id % 2 WHEN 0 THEN 'normative' ELSE 'case_law' END AS intent, coalesce(bool_or(rank <= 3 AND lang = 'en'), FALSE) AS hit FROM benchmark b LEFT JOIN ranked r USING (item_id) GROUP BY ALL)
-    SELECT coalesce(intent, 'all') AS intent, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 6) AS rate FROM hit GROUP BY ROLLUP (intent)""",
-)
-def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as queries; a hit is an English document that holds the item's first 40 characters within the first three."""
-    return _hit_rates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.substring("text", 1, 40))
-
-
 def _hit_rates(benchmark: DataFrame, documents: DataFrame, wanted: Column) -> DataFrame:
-    items = rt.small(benchmark.select("item_id", F.lower(wanted).alias("head")), 100_000)
+    items = benchmark.select("item_id", F.lower(wanted).alias("head"))
     docs = documents.select("doc_id", "lang", F.lower("text").alias("text"))
-    pairs = docs.join(items, F.contains("text", "head")).select("item_id", "doc_id", "lang")
+    pairs = rt.holding(docs, items, "text", "head").select("item_id", "doc_id", "lang")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 3")
     hits = ranked.groupBy("item_id").agg(F.bool_or(F.col("lang") == "en").alias("hit"))
     all_items = benchmark.join(hits, "item_id", "left").select(F.when(F.col("item_id") % 2 == 0, "normative").otherwise("case_law").alias("intent"), F.coalesce("hit", F.lit(False)).alias("hit"))
@@ -291,12 +269,71 @@ def _hit_rates(benchmark: DataFrame, documents: DataFrame, wanted: Column) -> Da
 
 
 @query(
-    "ag12_hit_at_k_all", "AG12 AG19 VS15 SK14",
+    "ag12_hit_at_k", "AG12 AG19 VS15 SK14",
     """WITH pairs AS (SELECT item_id, doc_id, lang FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM pairs),
     hit AS (SELECT b.item_id, CASE b.item_id % 2 WHEN 0 THEN 'normative' ELSE 'case_law' END AS intent, coalesce(bool_or(rank <= 3 AND lang = 'en'), FALSE) AS hit FROM benchmark b LEFT JOIN ranked r USING (item_id) GROUP BY ALL)
     SELECT coalesce(intent, 'all') AS intent, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 6) AS rate FROM hit GROUP BY ROLLUP (intent)""",
 )
-def hit_at_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hit holds the whole text of the item; ag12_hit_at_k looks at its first 40 characters."""
+def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries; a hit is an English document that holds the item within the first three that do."""
     return _hit_rates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.col("text"))
+
+
+@query(
+    "vs2_named_vectors", "VS2",
+    """WITH v AS (SELECT vec_id, 'head' AS name, embedding[1:32] AS e FROM embeddings UNION ALL SELECT vec_id, 'tail', embedding[33:64] FROM embeddings), q AS (SELECT name, e AS qe, vec_id AS qid FROM v WHERE vec_id IN (3, 17)),
+    s AS (SELECT q.qid, v.name, v.vec_id, list_cosine_similarity(list_transform(v.e, lambda x: x::DOUBLE), list_transform(q.qe, lambda x: x::DOUBLE)) AS score FROM v JOIN q USING (name))
+    SELECT name || '/' || qid::VARCHAR AS query_id, vec_id::VARCHAR AS source_id, row_number() OVER (PARTITION BY name, qid ORDER BY score DESC, vec_id::VARCHAR) AS rank FROM s QUALIFY rank <= 20""",
+)
+def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with two named vectors; each query asks for one of them by name."""
+    e = table(spark, sf_dir, "embeddings")
+    out = None
+    for name, start in (("head", 1), ("tail", 33)):
+        part = e.select(F.col("vec_id").cast("string").alias("source_id"), F.slice("embedding", start, 32).alias("vector"), "vec_id")
+        asked = part.where(F.col("vec_id").isin(3, 17)).select(F.concat(F.lit(f"{name}/"), "source_id").alias("query_id"), "vector")
+        one = rt.vector_top(part, asked, 20).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(
+    "vs5_analyzer", "VS5",
+    r"""WITH w AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents)
+    SELECT doc_id, count(*) FILTER (NOT (lang = 'en' AND term IN ('the', 'of', 'and', 'to', 'a')) AND NOT (lang = 'de' AND term IN ('der', 'die', 'und'))) AS terms, count(*) AS standard FROM w GROUP BY doc_id""",
+)
+def analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an analyzer with a filter of word classes, whose tags are an input by language; without tags it is the standard one."""
+    stop = {"en": ("the", "of", "and", "to", "a"), "de": ("der", "die", "und")}
+    words = rt.analyzed(F.col("text"), F.col("lang"), stop)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("terms"), F.size(rt.tokens(F.col("text"))).cast("long").alias("standard"))
+    return rows.where("standard > 0")
+
+
+@query(
+    "vs12_context_text", "VS12 FN42 VS11",
+    f"""WITH {_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE doc_type WHEN 'law' THEN 0 WHEN 'prec' THEN 2 ELSE 9 END, rank) AS no FROM hits WHERE rank <= 4),
+    b AS (SELECT query_id, string_agg(no::VARCHAR || '. (' || doc_type || ')' || chr(10) || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 80), chr(10) || chr(10) ORDER BY no) AS body, count(*) AS n, bool_or(doc_type = 'law') AS law FROM t GROUP BY query_id)
+    SELECT query_id, substr(CASE query_id WHEN 'en' THEN 'Answer briefly.' WHEN 'de' THEN 'Answer in depth.' ELSE 'Answer.' END || chr(10) || chr(10) || 'question: what is ' || query_id || chr(10) || 'documents: ' || n::VARCHAR || CASE WHEN law THEN '' ELSE chr(10) || 'note: no law among them' END || chr(10) || chr(10) || body, 1, 300) AS prompt FROM b""",
+)
+def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt of each query: the instruction by level of detail, numbered contexts, laws first, cut to a budget."""
+    from tessera.functions.text import squeeze
+
+    hits = language_hits(spark, sf_dir).where("rank <= 4").withColumn("content", F.substring(squeeze(F.col("text")), 1, 80))
+    asked = hits.select("query_id").distinct().select("query_id", F.concat(F.lit("what is "), "query_id").alias("question"), F.when(F.col("query_id") == "en", "short").when(F.col("query_id") == "de", "long").alias("detail"))
+    return rk.prompts(asked, hits, {"short": "Answer briefly.", "long": "Answer in depth."}, "Answer.", 300)
+
+
+@query(
+    "vs17_keyword_intent", "VS17 VS10",
+    f"""WITH {_HITS}, i AS (SELECT query_id, query_id IN ('de', 'fr') AS normative FROM (SELECT DISTINCT query_id FROM hits)), b AS (SELECT query_id, source_id, doc_type, score + CASE WHEN normative AND doc_type = 'law' THEN 0.5 ELSE 0 END AS score FROM hits JOIN i USING (query_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS rank FROM b), t AS (SELECT * FROM r WHERE rank <= 5)
+    SELECT query_id, source_id, rank, count(*) FILTER (doc_type = 'law') OVER (PARTITION BY query_id) >= 2 AS enough FROM t""",
+)
+def keyword_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent by words of the question, laws raised for normative ones, and whether the top holds enough laws; nothing is put in."""
+    said = F.when(F.col("query_id") == "de", "what one must do").when(F.col("query_id") == "fr", "the conditions of it").otherwise("tell me")
+    hits = language_hits(spark, sf_dir).withColumn("intent", rk.intent_by_words(said, ("must", "conditions", "shall")))
+    return rk.counted_top(rk.boost_law(hits, 0.5), 5, 2).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"), "enough")
