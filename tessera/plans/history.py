@@ -21,13 +21,13 @@ def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.page(f, [F.desc("o_orderdate"), F.col("o_orderkey")], 20, 10).select("total", "o_orderkey")
 
 
-@query("so5_keyset", "SO5 SM1", "SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_id > 1000 ORDER BY event_id LIMIT 25")
+@query("so5_keyset", "SO5", "SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_id > 1000 ORDER BY event_id LIMIT 25")
 def keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.after(table(spark, sf_dir, "events").where("user_id = 7"), "event_id", 1000, 25).select("event_id", "event_type")
 
 
 @query(
-    "so4_case_order", "SO4 WF5",
+    "so4_case_order", "SO4",
     """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 9 END, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'P'""",
 )
 def case_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def case_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "so10_detail", "SO10 SK7",
+    "so10_detail", "SO10",
     """SELECT o_orderkey, o_orderstatus, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS sources FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 10 GROUP BY ALL""",
 )
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "sk8_upsert", "SK8 SK10 SK16",
+    "sk8_upsert", "SK8 SK10",
     """WITH n AS (SELECT doc_id, 1 - quality AS quality, 1 AS t FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 5, 2 FROM labels WHERE doc_id % 9 = 0 UNION ALL SELECT -1, 7, 1),
     every AS (SELECT doc_id, quality, 0 AS t FROM labels UNION ALL SELECT * FROM n)
     SELECT doc_id, arg_max(quality, t) AS quality FROM every WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY doc_id""",
@@ -62,7 +62,7 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "sk9_keep_decision", "SK9 WF2 WF4",
+    "sk9_keep_decision", "SK9 WF2",
     """SELECT d.doc_id, CASE WHEN l.quality = 1 AND d.doc_id % 4 = 0 THEN 'kept' ELSE 'new' END AS decision, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)""",
 )
 def keep_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "wn9_carry_forward", "WN9 WN10 WN16",
+    "wn9_carry_forward", "WN9 WN10",
     """WITH c AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS clause FROM conversations),
     d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, clause ORDER BY turn) - 1 AS part FROM c)
     SELECT conv_id, turn, clause::BIGINT AS clause, part FROM d""",
@@ -97,7 +97,7 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "wn10_clauses", "WN10 WN14 WF1",
+    "wn10_clauses", "WN10",
     """WITH c AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS clause FROM conversations)
     SELECT conv_id, clause::BIGINT AS clause, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n, arg_min(role, turn) AS title, clause = max(clause) OVER (PARTITION BY conv_id) AS is_last FROM c GROUP BY conv_id, clause""",
 )
@@ -129,7 +129,7 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "wf2_requests", "WF2 WF5 SM6",
+    "wf2_requests", "WF2",
     """WITH f AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS risk FROM events), r AS (SELECT * FROM f WHERE risk >= 2)
     SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 'accepted' WHEN event_id % 5 = 1 THEN 'rejected' ELSE 'pending' END AS status FROM r""",
 )
@@ -140,6 +140,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(said, "event_id", "left").select("event_id", "user_id", F.coalesce("status", F.lit("pending")).alias("status"))
 
 
-@query("sm6_last_status", "SM6 SM3", "SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id")
+@query("sm6_last_status", "", "SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id")
 def last_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("seq"))

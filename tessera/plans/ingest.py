@@ -91,7 +91,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "sc12_assets", "SC10 SC12",
+    "sc12_assets", "SC12",
     r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) AS link FROM pages), t AS (SELECT page_id, link || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.HWP?v=1' WHEN 2 THEN '.png#x' ELSE '' END AS link FROM l),
     u AS (SELECT DISTINCT page_id AS id, 'https://files.example/' || ltrim(link, '/') AS url FROM t)
     SELECT id, url, CASE WHEN regexp_matches(url, '\.pdf$') THEN 'pdf' WHEN regexp_matches(url, '\.HWP\?v=1$') THEN 'hwp' WHEN regexp_matches(url, '\.png#x$') THEN 'image' ELSE 'other' END AS kind,

@@ -11,7 +11,7 @@ from tessera.plans.registry import query, table
 
 
 @query(
-    "ag1_merge_canonical", "AG1 AG18 JN1 SC18 WN6",
+    "ag1_merge_canonical", "AG1 AG18 WN6",
     """SELECT l_orderkey AS case_id, count(*) AS n, sum(l_linenumber)::BIGINT AS hits, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, arg_min(l_partkey, struct_pack(a := CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END, b := l_linenumber, c := l_partkey)) AS first_part FROM lineitem GROUP BY l_orderkey""",
 )
 def merge_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "ag3_merge_references", "AG3 AG4 AG5 GR5",
+    "ag3_merge_references", "AG3 AG4",
     """SELECT o_custkey % 100 AS source, o_custkey % 7 AS target, count(*) AS n, max(o_totalprice) AS confidence,
        arg_min(o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END) AS status, arg_max(o_orderpriority, struct_pack(a := length(o_orderpriority), b := -o_orderkey)) AS longest
        FROM orders WHERE o_custkey % 100 <> o_custkey % 7 GROUP BY ALL""",
@@ -53,7 +53,7 @@ def merge_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "ag6_coalesce_nodes", "AG6 AG7 JN22",
+    "ag6_coalesce_nodes", "AG7",
     """SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS first_priority, arg_max(o_orderkey, struct_pack(a := o_totalprice, b := -o_orderkey)) AS largest FROM orders GROUP BY o_custkey""",
 )
 def coalesce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def coalesce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "ag8_scan_profile", "AG8 AG11 SK2 WF7",
+    "ag8_scan_profile", "AG8 AG11 WF7",
     """SELECT source, count(*) AS n, count(*) FILTER (trim(text) <> '') AS filled, count(*) FILTER (lang = 'en') AS en, count(DISTINCT lang) AS langs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source""",
 )
 def scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,35 +87,26 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "n", "tokens", F.round(F.col("tokens").cast("double") * 0.00013 / 1000, 6).alias("cost"))
 
 
-@query(
-    "ag13_ordinal_max", "AG13",
-    """WITH lv(level, no) AS (VALUES ('none', 0), ('low', 1), ('mid', 2), ('high', 3), ('crit', 4)), e AS (SELECT user_id % 10 AS bucket, CASE event_type WHEN 'view' THEN 'none' WHEN 'click' THEN 'low' WHEN 'signup' THEN 'mid' WHEN 'purchase' THEN 'high' ELSE 'crit' END AS level FROM events WHERE event_id % 11 = 0),
-    b AS (SELECT DISTINCT bucket FROM e)
-    SELECT b.bucket, lv.level, (SELECT count(*) FROM e WHERE e.bucket = b.bucket AND e.level = lv.level) AS n, (SELECT arg_max(e.level, l2.no) FROM e JOIN lv l2 ON l2.level = e.level WHERE e.bucket = b.bucket) AS worst FROM b, lv""",
-)
-def ordinal_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(table(spark, sf_dir, "events").where("event_id % 11 = 0"))
-
-
 def _levels(events: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for p in (("view", "none"), ("click", "low"), ("signup", "mid"), ("purchase", "high")) for x in p])
     e = events.select((F.col("user_id") % 10).alias("bucket"), F.coalesce(F.try_element_at(names, "event_type"), F.lit("crit")).alias("level"))
     return mg.level_counts(e, "bucket", "level", ("none", "low", "mid", "high", "crit"))
 
 
-@query(
-    "ag13_ordinal_max_all", "AG13",
-    """WITH lv(level, no) AS (VALUES ('none', 0), ('low', 1), ('mid', 2), ('high', 3), ('crit', 4)), e AS (SELECT user_id % 10 AS bucket, CASE event_type WHEN 'view' THEN 'none' WHEN 'click' THEN 'low' WHEN 'signup' THEN 'mid' WHEN 'purchase' THEN 'high' ELSE 'crit' END AS level FROM events),
+_LEVELS = """WITH lv(level, no) AS (VALUES ('none', 0), ('low', 1), ('mid', 2), ('high', 3), ('crit', 4)), e AS (SELECT user_id % 10 AS bucket, CASE event_type WHEN 'view' THEN 'none' WHEN 'click' THEN 'low' WHEN 'signup' THEN 'mid' WHEN 'purchase' THEN 'high' ELSE 'crit' END AS level FROM events),
     c AS (SELECT bucket, level, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT bucket, arg_max(level, no) AS worst FROM c JOIN lv USING (level) GROUP BY bucket)
-    SELECT w.bucket, lv.level, coalesce(c.n, 0) AS n, w.worst FROM w CROSS JOIN lv LEFT JOIN c ON c.bucket = w.bucket AND c.level = lv.level""",
-)
-def ordinal_max_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    SELECT w.bucket, lv.level, coalesce(c.n, 0) AS n, w.worst FROM w CROSS JOIN lv LEFT JOIN c ON c.bucket = w.bucket AND c.level = lv.level"""
+
+
+@query("ag13_ordinal_max", "AG13", _LEVELS)
+@query("ag13_ordinal_max_all", "AG13", _LEVELS)
+def ordinal_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events; ag13_ordinal_max is its sample."""
     return _levels(table(spark, sf_dir, "events"))
 
 
 @query(
-    "ag14_mode_tiebreak", "AG14 AG15",
+    "ag14_mode_tiebreak", "AG14",
     """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, struct_pack(a := n, b := CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END)) AS rule, max(n) AS n FROM c GROUP BY user_id""",
 )
 def mode_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +151,7 @@ def _reference_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 @query(
-    "jn3_audit", "JN3 JN16 JN21",
+    "jn3_audit", "JN3",
     """WITH r AS (SELECT c_custkey, c_nationkey, round(c_acctbal / 500)::BIGINT AS ref FROM customer), t AS (SELECT s_suppkey, s_nationkey, round(s_acctbal / 500)::BIGINT AS ref FROM supplier)
     SELECT c_custkey, count(s_suppkey) AS n, CASE count(s_suppkey) WHEN 0 THEN 'unresolved_external' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS targets
     FROM r LEFT JOIN t ON r.c_nationkey = t.s_nationkey AND r.ref = t.ref GROUP BY c_custkey""",
@@ -169,18 +160,6 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.resolution_audit(*_reference_sides(spark, sf_dir), ["nation", "ref"], "c_custkey", "s_suppkey")
 
 
-@query(
-    "jn5_appendix_links", "JN5 JN6 JN7 FN50",
-    """WITH p AS (SELECT p_partkey, p_brand, p_type FROM part WHERE p_partkey % 7 = 0), k AS (SELECT DISTINCT p_brand AS b, split_part(p_type, ' ', 1) AS marker FROM part WHERE p_partkey % 5 = 0),
-    l AS (SELECT p_partkey, marker FROM p JOIN k ON p.p_brand = k.b AND contains(p.p_type, k.marker))
-    SELECT p.p_partkey, count(l.marker) AS n, coalesce(string_agg(l.marker, ',' ORDER BY l.marker), 'none') AS markers FROM p LEFT JOIN l USING (p_partkey) GROUP BY p.p_partkey""",
-)
-def appendix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A containment join within one key, nested into a list, with a sentinel where nothing matches."""
-    part = table(spark, sf_dir, "part")
-    return _marker_links(part.where("p_partkey % 7 = 0"), part.where("p_partkey % 5 = 0"))
-
-
 def _marker_links(parts: DataFrame, marking: DataFrame) -> DataFrame:
     p = parts.select("p_partkey", "p_brand", "p_type")
     k = marking.select(F.col("p_brand").alias("b"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("marker")).distinct()
@@ -188,20 +167,21 @@ def _marker_links(parts: DataFrame, marking: DataFrame) -> DataFrame:
     return mg.nest(p, links, "p_partkey", "marker", "markers", "none")
 
 
-@query(
-    "jn5_appendix_links_all", "JN5 JN6 JN7 FN50",
-    """WITH k AS (SELECT DISTINCT p_brand AS b, split_part(p_type, ' ', 1) AS marker FROM part),
+_LINKS = """WITH k AS (SELECT DISTINCT p_brand AS b, split_part(p_type, ' ', 1) AS marker FROM part),
     l AS (SELECT p_partkey, marker FROM part p JOIN k ON p.p_brand = k.b AND contains(p.p_type, k.marker))
-    SELECT p.p_partkey, count(l.marker) AS n, coalesce(string_agg(l.marker, ',' ORDER BY l.marker), 'none') AS markers FROM part p LEFT JOIN l USING (p_partkey) GROUP BY p.p_partkey""",
-)
-def appendix_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts against all distinct (brand, marker) pairs; jn5_appendix_links is its sample."""
+    SELECT p.p_partkey, count(l.marker) AS n, coalesce(string_agg(l.marker, ',' ORDER BY l.marker), 'none') AS markers FROM part p LEFT JOIN l USING (p_partkey) GROUP BY p.p_partkey"""
+
+
+@query("jn5_appendix_links", "JN5 JN6", _LINKS)
+@query("jn5_appendix_links_all", "JN5 JN6", _LINKS)
+def appendix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts against all distinct (brand, marker) pairs."""
     part = table(spark, sf_dir, "part")
     return _marker_links(part, part)
 
 
 @query(
-    "jn8_cascade", "JN8 JN15 WN15",
+    "jn8_cascade", "JN8 JN15",
     """SELECT c.c_custkey, coalesce(a.s_suppkey, b.s_suppkey, d.s_suppkey) AS found, CASE WHEN a.s_suppkey IS NOT NULL THEN 1 WHEN b.s_suppkey IS NOT NULL THEN 2 WHEN d.s_suppkey IS NOT NULL THEN 3 END AS tier FROM customer c
     LEFT JOIN (SELECT s_suppkey AS k, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) a ON a.k = c.c_custkey
     LEFT JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_suppkey % 9 = 0 GROUP BY 1) b ON b.k = c.c_nationkey
@@ -219,7 +199,7 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.cascade(c, tiers).select("c_custkey", "found", "tier")
 
 
-@query("jn11_prefix", "JN11", """WITH k AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS head FROM part) SELECT head, count(*) AS n, min(p_partkey) AS first_part FROM part JOIN k ON starts_with(p_type, head) GROUP BY head""")
+@query("jn11_prefix", "", """WITH k AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS head FROM part) SELECT head, count(*) AS n, min(p_partkey) AS first_part FROM part JOIN k ON starts_with(p_type, head) GROUP BY head""")
 def prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     heads = small(part.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("head")).distinct())
@@ -238,7 +218,7 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "jn18_members", "JN18 WN10 PJ10 PJ19",
+    "jn18_members", "JN18 WN10 PJ10",
     """SELECT conv_id, count(*) AS n, string_agg(turn::VARCHAR || ':' || role, ',' ORDER BY turn) AS members, substr(string_agg('[' || turn::VARCHAR || '] ' || text, chr(10) ORDER BY turn), 1, 500) AS body FROM conversations GROUP BY conv_id""",
 )
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +229,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("jn20_route", "JN20 SC20 SC21 FL19 FL20", """SELECT CASE event_type WHEN 'purchase' THEN 'relation' WHEN 'signup' THEN 'case' ELSE 'law' END AS collection, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 50 = 0) GROUP BY 1""")
+@query("jn20_route", "JN20 SC20 FL19", """SELECT CASE event_type WHEN 'purchase' THEN 'relation' WHEN 'signup' THEN 'case' ELSE 'law' END AS collection, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 50 = 0) GROUP BY 1""")
 def route(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     bad = e.where("event_type = 'error' AND event_id % 50 = 0").select("user_id").distinct()
@@ -280,7 +260,7 @@ def unordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "st1_snapshot_diff", "ST1 SM4 SM5 SK4",
+    "st1_snapshot_diff", "ST1 SM5",
     """WITH o AS (SELECT o_orderkey AS id, o_orderstatus || o_orderpriority AS v FROM orders WHERE o_orderkey % 10 <> 3), n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderstatus || o_orderpriority END AS v FROM orders WHERE o_orderkey % 10 <> 4)
     SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS op, n.v FROM o FULL JOIN n ON o.id = n.id WHERE o.v IS DISTINCT FROM n.v""",
 )
@@ -291,7 +271,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "st2_ordered_union", "ST2 ST4 ST5",
+    "st2_ordered_union", "ST2",
     """WITH l AS (SELECT user_id, array_agg(event_type ORDER BY event_id) FILTER (event_id % 2 = 0) AS a, array_agg(event_type ORDER BY event_id) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY user_id),
     e AS (SELECT user_id, unnest(list_concat(coalesce(a, []), coalesce(b, []))) AS x, generate_subscripts(list_concat(coalesce(a, []), coalesce(b, [])), 1) AS i FROM l), f AS (SELECT user_id, x, min(i) AS i FROM e GROUP BY ALL)
     SELECT user_id, string_agg(x, ',' ORDER BY i) AS merged FROM f GROUP BY user_id""",
@@ -305,7 +285,7 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "st3_union", "ST3 ST8 PJ17 ST6",
+    "st3_union", "ST3",
     """SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier""",
 )
 def union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,8 +294,8 @@ def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query("st7_missing_units", "ST7", "SELECT r_regionkey AS region, m AS month FROM region, (SELECT unnest(range(1, 13)) AS m) WHERE (r_regionkey, m) NOT IN (SELECT o_orderkey % 5, month(o_orderdate) FROM orders WHERE o_orderkey % 137 = 0)")
+@query("st7_missing_units", "ST7", "SELECT r_regionkey AS region, m AS month FROM region, (SELECT unnest(range(1, 13)) AS m) WHERE (r_regionkey, m) NOT IN (SELECT o_orderkey % 5, month(o_orderdate) FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000)")
 def missing_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("month"))
-    seen = table(spark, sf_dir, "orders").where("o_orderkey % 137 = 0").select((F.col("o_orderkey") % 5).alias("region"), F.month("o_orderdate").alias("month")).distinct()
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_totalprice > 300000").select((F.col("o_orderkey") % 5).alias("region"), F.month("o_orderdate").alias("month")).distinct()
     return units.join(seen, ["region", "month"], "left_anti").select("region", "month")

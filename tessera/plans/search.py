@@ -72,12 +72,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf
 """
 
 
-@query("vs1_cosine_topk", "VS1 VS2 VS3 SC14 SO9 PJ2", f"WITH {_COSINE} SELECT query_id, source_id, rank, round(score, 4) AS score FROM vector_hits")
+@query("vs1_cosine_topk", "VS1 VS3 SC14 SO9 PJ2", f"WITH {_COSINE} SELECT query_id, source_id, rank, round(score, 4) AS score FROM vector_hits")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(spark, sf_dir).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-@query("vs4_bm25_topk", "VS4 VS5 FL2 SC15", f"WITH {_BM25} SELECT query_id, source_id, rank, round(score, 4) AS score FROM keyword_hits")
+@query("vs4_bm25_topk", "VS4 FL2 SC15", f"WITH {_BM25} SELECT query_id, source_id, rank, round(score, 4) AS score FROM keyword_hits")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_hits(spark, sf_dir).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
@@ -152,7 +152,7 @@ def over_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "wn4_policy_select", "WN4 WN17 JN19 FL4 VS17",
+    "wn4_policy_select", "WN4 WN17 JN19 FL4",
     f"""WITH {_HITS}, top AS (SELECT * FROM hits WHERE rank <= 5), n AS (SELECT query_id, count(*) FILTER (doc_type = 'law') AS laws, count(*) FILTER (doc_type <> 'law') AS others FROM top GROUP BY ALL),
     pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS p FROM hits WHERE rank > 5 AND doc_type = 'law'),
     sizes AS (SELECT n.*, (SELECT count(*) FROM pool WHERE pool.query_id = n.query_id) AS pool_n FROM n),
@@ -204,7 +204,7 @@ def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fl4_intents", "FL4 FL5 GR11",
+    "fl4_intents", "FL4 FL5",
     """WITH q AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'normative' WHEN 1 THEN 'case_law' ELSE 'mixed' END AS intent FROM conversations)
     SELECT conv_id, turn, intent, CASE WHEN intent = 'case_law' THEN 'prec,detc,expc,decc' ELSE 'law' END AS use_doc_types, intent = 'normative' AS enforce_law,
            CASE WHEN intent = 'normative' THEN 'law,case' ELSE 'law,case,relation' END AS collections FROM q""",
@@ -217,7 +217,7 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "pj2_hit_rows", "PJ2 PJ3 PJ4",
+    "pj2_hit_rows", "PJ2 PJ3",
     """SELECT doc_id::VARCHAR AS source_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id::VARCHAR) AS rank, substr(replace(text, chr(10), ' '), 1, 180) AS snippet,
               source || ' ' || lang || ' (' || doc_id::VARCHAR || ')' AS citation FROM documents""",
 )
@@ -241,17 +241,18 @@ def _type_kind() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(F.lit("en"), F.lit(0), F.lit("fr"), F.lit(1)), "lang"), F.lit(9))
 
 
-@query(
-    "so3_type_order", "SO3",
-    """SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 9 END, doc_id) AS place FROM documents""",
-)
+_TYPE_ORDER = """SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 9 END, doc_id) AS place FROM documents"""
+
+
+@query("so3_type_order", "SO3", _TYPE_ORDER)
+@query("so3_type_order_all", "SO3", _TYPE_ORDER)
 def type_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, ordered within each source."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", _type_kind().alias("kind"))
     return rk.places(rows, "source", "kind", "doc_id").select("doc_id", "place")
 
 
-@query("vs11_context_pack", "VS11 VS12 FN5 FN42")
+@query("vs11_context_pack", "VS11 FN5")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy packing of each language's top 50 under a budget: a row that does not fit is skipped, later ones may fit."""
     return pack_context(language_hits(spark, sf_dir).where("rank <= 50"), 400, 3000)
@@ -268,13 +269,14 @@ def _hit_rates(benchmark: DataFrame, documents: DataFrame, wanted: Column) -> Da
     return out.select(F.coalesce("intent", F.lit("all")).alias("intent"), "n", "hits", "rate")
 
 
-@query(
-    "ag12_hit_at_k", "AG12 AG19 VS15 SK14",
-    """WITH pairs AS (SELECT item_id, doc_id, lang FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
+_HIT_RATES = """WITH pairs AS (SELECT item_id, doc_id, lang FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM pairs),
     hit AS (SELECT b.item_id, CASE b.item_id % 2 WHEN 0 THEN 'normative' ELSE 'case_law' END AS intent, coalesce(bool_or(rank <= 3 AND lang = 'en'), FALSE) AS hit FROM benchmark b LEFT JOIN ranked r USING (item_id) GROUP BY ALL)
-    SELECT coalesce(intent, 'all') AS intent, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 6) AS rate FROM hit GROUP BY ROLLUP (intent)""",
-)
+    SELECT coalesce(intent, 'all') AS intent, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INT), 6) AS rate FROM hit GROUP BY ROLLUP (intent)"""
+
+
+@query("ag12_hit_at_k", "AG12 VS15 SK14", _HIT_RATES)
+@query("ag12_hit_at_k_all", "AG12 VS15 SK14", _HIT_RATES)
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries; a hit is an English document that holds the item within the first three that do."""
     return _hit_rates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), F.col("text"))
@@ -312,9 +314,9 @@ def analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "vs12_context_text", "VS12 FN42 VS11",
+    "vs12_context_text", "VS12 FN42",
     f"""WITH {_HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE doc_type WHEN 'law' THEN 0 WHEN 'prec' THEN 2 ELSE 9 END, rank) AS no FROM hits WHERE rank <= 4),
-    b AS (SELECT query_id, string_agg(no::VARCHAR || '. (' || doc_type || ')' || chr(10) || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 80), chr(10) || chr(10) ORDER BY no) AS body, count(*) AS n, bool_or(doc_type = 'law') AS law FROM t GROUP BY query_id)
+    b AS (SELECT query_id, string_agg(no::VARCHAR || '. (' || doc_type || ')' || chr(10) || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80), chr(10) || chr(10) ORDER BY no) AS body, count(*) AS n, bool_or(doc_type = 'law') AS law FROM t GROUP BY query_id)
     SELECT query_id, substr(CASE query_id WHEN 'en' THEN 'Answer briefly.' WHEN 'de' THEN 'Answer in depth.' ELSE 'Answer.' END || chr(10) || chr(10) || 'question: what is ' || query_id || chr(10) || 'documents: ' || n::VARCHAR || CASE WHEN law THEN '' ELSE chr(10) || 'note: no law among them' END || chr(10) || chr(10) || body, 1, 300) AS prompt FROM b""",
 )
 def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:

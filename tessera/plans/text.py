@@ -48,7 +48,7 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "pj1_text_fields", "PJ1 PJ18 FN32 FN49",
+    "pj1_text_fields", "PJ1",
     r"""WITH s AS (SELECT p_partkey, trim(p_name) AS n, nullif(trim(CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_brand END), '') AS b, trim(p_type) AS t FROM part)
     SELECT p_partkey, concat_ws(chr(10), n, b, t) AS search_text, concat_ws(chr(10), n, b, t) AS display_text FROM s""",
 )
@@ -59,7 +59,7 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn20_levels", "FN20 FL7 FL8 FL9",
+    "fn20_levels", "FN20 FL8",
     """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '법' WHEN p_size % 4 = 1 THEN '시행령' WHEN p_size % 4 = 2 THEN '시행규칙' ELSE p_type END AS level,
        CASE WHEN p_type LIKE '%E' OR p_type LIKE '%e' THEN NULL WHEN p_size % 3 = 0 THEN 'excluded_non_target_kind' WHEN p_size % 3 = 1 THEN 'excluded_non_target_title' ELSE 'excluded_not_identified_as_annex_table' END AS reason FROM (
          SELECT p_partkey, p_size, p_type FROM part) """.replace("CASE WHEN p_type LIKE '%E' OR p_type LIKE '%e' THEN NULL WHEN", "CASE WHEN"),
@@ -73,7 +73,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn21_identifiers", "FN21 PJ7 PJ12 FN43 FN44",
+    "fn21_identifiers", "FN21 PJ12 FN43 FN44",
     r"""SELECT p_partkey, concat_ws('::', 'law', regexp_replace(regexp_replace(replace(trim(p_name), '::', '-'), '\s+', '_', 'g'), '[\\/]+', '-', 'g'), CASE WHEN trim(p_brand) = '' THEN 'unknown' ELSE regexp_replace(trim(p_brand), '\s+', '_', 'g') END, p_size::VARCHAR) AS record_id,
        lpad(p_size::VARCHAR, 4, '0') || '00' AS code, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand || '::' || p_size::VARCHAR END AS key, regexp_replace(trim(p_name), '[^\w가-힣.-]+', '_', 'g') AS file FROM part""",
 )
@@ -89,7 +89,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn22_links", "FN22 SC10 FN48",
+    "fn22_links", "FN22",
     r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
     SELECT page_id, count(*) AS n, count(DISTINCT href) AS n_distinct, min(href) AS first_link, (SELECT regexp_replace(regexp_replace(url, '(?i)([?&])(?:ref|utm_source)=[^&#\s]*', '\1', 'g'), '[?&]+$', '') FROM pages p WHERE p.page_id = l.page_id) AS clean FROM l GROUP BY page_id""",
 )
@@ -104,7 +104,7 @@ def exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn23_article_numbers", "FN23 FN28 SO7",
+    "fn23_article_numbers", "FN23",
     r"""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '제' || (o_orderkey % 97 + 1)::VARCHAR || '조의' || (o_custkey % 5 + 1)::VARCHAR ELSE lpad((o_orderkey % 97 + 1)::VARCHAR, 4, '0') END AS no FROM orders),
     m AS (SELECT o_orderkey, no, (o_orderkey % 97 + 1)::VARCHAR AS main, o_orderkey % 3 = 0 AS b, no LIKE '%의%' AS has FROM a)
     SELECT a.o_orderkey, m.main, CASE WHEN has THEN split_part(a.no, '의', 2) END AS branch, m.main || CASE WHEN has THEN '-' || split_part(a.no, '의', 2) ELSE '' END AS key,
@@ -117,7 +117,7 @@ def article_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn24_content_class", "FN24 FN26 FN29 AG15",
+    "fn24_content_class", "FN24",
     r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
     n AS (SELECT doc_id, len(lines) AS n, len(list_filter(lines, lambda x: regexp_matches(x, '[│┃|]|\t| {3,}'))) AS t, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*(?:[-*•]|\d{1,3}[.)])\s'))) AS l FROM l)
     SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN t * 2 >= n THEN 'table' WHEN l * 2 >= n AND n > 1 THEN 'list' ELSE 'narrative' END AS class FROM n""",
@@ -132,7 +132,7 @@ def family_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn36_numbering", "FN36 FN37 WF3",
+    "fn36_numbering", "FN36 FN37",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, trim(line) AS line FROM l)
     SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '[│┃|].*[│┃|]')) AS n_table, count(*) FILTER (line = '') AS n_empty,
            count(*) FILTER (NOT regexp_matches(line, '[│┃|].*[│┃|]') AND regexp_matches(line, '^\d+\.\s|^\d+\)\s|^[①-⑳]|^제\s*\d+\s*조|(?i)^(?:article|section|clause)\s+\d+')) AS n_clause FROM t GROUP BY doc_id""",
@@ -146,7 +146,7 @@ def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "fn38_risk_levels", "FN38 SO4 EX2",
+    "fn38_risk_levels", "FN38 SO4",
     """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'crit' WHEN '2-HIGH' THEN 'high' WHEN '5-LOW' THEN 'low' ELSE 'mid' END AS level FROM orders""",
 )
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,20 +184,20 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sq.short_digest(key).alias("blake"), sq.url_uuid(key).alias("uuid"), tx.numeric_id(key).alias("number"), tx.id_within(key).alias("short"))
 
 
-@query("fn6_chunks", "FN6 FN7 FN8 FN30")
+@query("fn6_chunks", "FN6 FN7")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").repartition(F.col("doc_id")).select("doc_id", F.posexplode(sq.chunks(F.col("text"))).alias("chunk_index", "chunk"))
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@query("fn7_structured_chunks", "FN6 FN7 FN8")
+@query("fn7_structured_chunks", "FN6 FN7")
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sq.chunks(F.col("text"), structured=True)).alias("chunk_index", "chunk"))
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 @query(
-    "fn9_refs", "FN9 FN12 FN13 FN14 FN15 FN45",
+    "fn9_refs", "",
     r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '[?/](\d+)', 1)) AS no FROM (SELECT page_id, url || ' ' AS html FROM pages))
     SELECT page_id, count(*) AS n, string_agg(DISTINCT no, ',' ORDER BY no) AS numbers FROM r GROUP BY page_id""",
 )
@@ -206,7 +206,7 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("no")), ",").alias("numbers"))
 
 
-@query("fn10_law_references", "FN9 FN10 FN11 FN12 WN8")
+@query("fn10_law_references", "FN10 FN11 FN12 WN8")
 def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in sentences made from orders: scoped, named, relative and bare."""
     key = F.col("o_orderkey")
@@ -221,20 +221,20 @@ def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "r.type", "r.target", F.array_join("r.articles", ",").alias("articles"), "r.status", "r.confidence")
 
 
-@query("fn25_tables", "FN25 FN27 FN32")
+@query("fn25_tables", "FN25")
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("text").contains("|")).select("doc_id", sq.tables_in(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_rows"), F.coalesce(F.size(F.try_element_at("t", F.lit(1))), F.lit(0)).alias("n_columns"))
 
 
-@query("fn33_json_in_text", "FN33 FN17 FN18 FN19 FN47")
+@query("fn33_json_in_text", "FN33 FN18 FN19")
 def json_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Here: ```json\n"), "props", F.lit("\n``` done"))
     return table(spark, sf_dir, "events").select("event_id", sq.json_in(said).alias("json"), F.size(sq.strings_in(F.col("props"))).alias("n_strings"))
 
 
 @query(
-    "fn17_payload_fields", "FN17 FN18 FN46 SC2 SC8 FL17",
+    "fn17_payload_fields", "FN18",
     """SELECT event_id, coalesce(nullif(json_extract_string(props, '$.page'), ''), json_extract_string(props, '$.ref'), event_type) AS first_value, CASE WHEN left(trim(props), 1) = '{' THEN 'json' ELSE 'text' END AS kind FROM events""",
 )
 def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,14 +243,14 @@ def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", tx.first_filled(at("$.page"), at("$.ref"), F.col("event_type")).alias("first_value"), kind.alias("kind"))
 
 
-@query("fn35_guard", "FN35 GR12 FN34", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'forbidden_keyword' WHEN 2 THEN 'relation_not_allowed' ELSE 'depth' END AS violations FROM orders")
+@query("fn35_guard", "FN35", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'forbidden_keyword' WHEN 2 THEN 'relation_not_allowed' ELSE 'depth' END AS violations FROM orders")
 def guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("o_orderkey") % 4
     q = F.when(m == 0, "MATCH (a)-[:REFERS_TO*1..3]->(b) RETURN b").when(m == 1, "MATCH (a)-[:REFERS_TO]->(b) DELETE b").when(m == 2, "MATCH (a)-[:OWNS]->(b) RETURN b").otherwise("MATCH (a)-[:REFERS_TO*1..9]->(b) RETURN b")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tx.guard_violations(q, ("REFERS_TO", "HAS_CHILD")), ",").alias("violations"))
 
 
-@query("fn39_validation", "FN39 FN46 ST7 WF1", """SELECT conv_id, turn, concat_ws(',', CASE WHEN length(text) < 200 THEN 'too_short' END, CASE WHEN role = 'system' THEN 'no_source' END, CASE WHEN NOT contains(text, 'the') THEN 'anchor_missing' END) AS issues FROM conversations""")
+@query("fn39_validation", "FN39 ST7", """SELECT conv_id, turn, concat_ws(',', CASE WHEN length(text) < 200 THEN 'too_short' END, CASE WHEN role = 'system' THEN 'no_source' END, CASE WHEN NOT contains(text, 'the') THEN 'anchor_missing' END) AS issues FROM conversations""")
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = F.array(F.when(F.length("text") < 200, "too_short"), F.when(F.col("role") == "system", "no_source"), F.when(~F.contains("text", F.lit("the")), "anchor_missing"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.filter(issues, lambda x: x.isNotNull()), ",").alias("issues"))
@@ -262,13 +262,13 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.sha1("text").alias("text_hash"), sq.text_diff(F.col("text"), F.regexp_replace("text", "the ", "a ")).alias("diff"))
 
 
-@query("fn51_tokens", "FN51 AG10 VS16", "SELECT lang, sum(ceil(length(text) / 2.5)::BIGINT)::BIGINT AS tokens, count(*) AS n FROM documents GROUP BY lang")
+@query("fn51_tokens", "FN51 AG10", "SELECT lang, sum(ceil(length(text) / 2.5)::BIGINT)::BIGINT AS tokens, count(*) AS n FROM documents GROUP BY lang")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(tx.token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("n"))
 
 
 @query(
-    "pj6_clean", "PJ6 PJ9 PJ11 PJ5",
+    "pj6_clean", "PJ6 PJ11",
     """SELECT event_id, try_cast(json_extract_string(props, '$.page') AS INTEGER) AS page, coalesce(nullif(trim(json_extract_string(props, '$.ref')), ''), nullif(trim(event_type), ''), props) AS text,
        CASE WHEN event_type = 'click' THEN 'relation' WHEN event_type = 'view' THEN 'law' ELSE 'case' END AS collection FROM events""",
 )
@@ -280,7 +280,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "vs16_normalise", "VS16 VS2 SC13",
+    "vs16_normalise", "SC13",
     """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) ** 2)), 6) AS length, len(embedding) AS dims FROM embeddings""",
 )
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +290,6 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(dot(v, v), 6).alias("length"), F.size("embedding").cast("long").alias("dims"))
 
 
-@query("fl10_stubs", "FL10 FL13 FL6 FL12", r"SELECT doc_id FROM documents WHERE NOT (regexp_matches(text, '(?i)licen[sc]e|public domain') AND length(text) < 300)")
+@query("fl10_stubs", "FL10", r"SELECT doc_id FROM documents WHERE NOT (regexp_matches(text, '(?i)licen[sc]e|public domain') AND length(text) < 300)")
 def stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(~(F.col("text").rlike(r"(?i)licen[sc]e|public domain") & (F.length("text") < 300))).select("doc_id")
