@@ -67,11 +67,6 @@ def identifier(c: Column) -> Column:
     return F.when(out == "", "unknown").otherwise(out)
 
 
-def record_uid(*candidates: Column) -> Column:
-    """The first filled candidate as an identifier."""
-    return F.coalesce(*[F.when(filled(c).isNotNull(), identifier(c)) for c in candidates], F.lit("unknown-law"))
-
-
 def record_id(*parts: Column) -> Column:
     return F.concat_ws("::", *map(identifier, parts))
 
@@ -201,10 +196,6 @@ def risk_level(c: Column) -> Column:
     return F.coalesce(F.try_element_at(names, key), F.lit("mid"))
 
 
-def risk_rank(c: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, RISK_ORDER)), c).cast("int") - 1
-
-
 def answer_flag(c: Column) -> tuple[Column, Column]:
     """(answer, answerable): a trailing [ANSWERABLE:yes/no] is split off; without one it counts as yes."""
     pattern = r"(?i)\s*\[ANSWERABLE:\s*(yes|no)\s*\]\s*$"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,11 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def named_neighbours(rows: DataFrame, key: str, name: str, alias: str, most: int) -> DataFrame:
-    """Each key's distinct neighbour names, the first `most` in order, as one string."""
-    return rows.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), ",").alias(alias))
+    """Each key's distinct neighbour names, the first `most` in order, as one string. The limit is taken before names are listed, so
+    a key with many neighbours sends on its first ones only."""
+    order = Window.partitionBy(key).orderBy(name)
+    first = rows.where(F.col(name).isNotNull()).select(key, name).distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias(alias))
 
 
 def shared_neighbours(links: DataFrame, node: str, middle: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 #: Queries a batch may hold for its side of a join to be broadcast.
@@ -116,6 +120,42 @@ def holding(docs: DataFrame, items: DataFrame, text: str, wanted: str) -> DataFr
     return met.unionByName(docs.join(sent(short), F.contains(text, wanted)))
 
 
+#: Strings that are searched for in one pass over the texts.
+PATTERNS = 100_000
+
+
+def occurrences(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, wanted: str) -> DataFrame:
+    """doc_id, item_id of every text that holds an item's string, whatever it is: all strings of a block are found in one walk through
+    each text by an automaton that each task builds. Items are an input of the batch; a block of PATTERNS is on the driver at a time.
+    Blank and null strings are in no text."""
+    rows = items.where(F.col(wanted) != "").select(item_id, wanted)
+    blocks = -(-rows.count() // PATTERNS)
+    kinds = {f.name: f.dataType for f in (*docs.schema, *items.schema)}
+    schema = T.StructType([T.StructField(doc_id, kinds[doc_id]), T.StructField(item_id, kinds[item_id])])
+    out = None
+    for k in range(blocks):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_id, wanted), F.lit(blocks)) == k)
+        held: dict[str, list] = {}
+        for r in block.collect():
+            held.setdefault(r[1], []).append(r[0])
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+
+        def find(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for string, ids in shared.value.items():
+                automaton.add_word(string, ids)
+            automaton.make_automaton()
+            for part in parts:
+                found = [(d, i) for d, t in zip(part[doc_id], part[text], strict=True) for i in {i for _, ids in automaton.iter(t or "") for i in ids}]
+                yield pd.DataFrame(found, columns=[doc_id, item_id])
+
+        one = docs.select(doc_id, text).mapInPandas(find, schema)
+        out = one if out is None else out.unionAll(one)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def match_filter(doc_types: list[str] | None, law_names: list[str] | None, name_columns: list[str], array_columns: list[str] = ()) -> Column:
     """doc_type is one of doc_types, and any of the name columns (or arrays of names) holds one of law_names. Empty lists ask for nothing."""
     out = F.lit(True)

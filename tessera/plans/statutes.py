@@ -255,3 +255,10 @@ def token_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"), F.length(st.cut_to_tokens(F.col("text"), 100)).cast("long").alias("cut"))
 
 
+
+
+@query("pj13_blake_point_ids", "PJ13")
+def blake_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id of its own for every row: the id, or the id with an eight-byte digest of the row where the id repeats."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("::", F.lit("src"), "source", "lang").alias("id"))
+    return sq.point_ids(d, "id", F.concat_ws("|", "id", F.col("doc_id").cast("string")), "doc_id")

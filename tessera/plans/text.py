@@ -186,7 +186,7 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fn6_chunks", "FN6 FN7")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").repartition(F.col("doc_id")).select("doc_id", F.posexplode(sq.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sq.chunks(F.col("text"))).alias("chunk_index", "chunk"))
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 

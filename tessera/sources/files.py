@@ -29,11 +29,6 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def json_objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One object a file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def tree(spark: SparkSession, top: str, pattern: str, schema: T.StructType) -> DataFrame:
     """Objects of all files below `top` whose name matches, with the file's path and its folder's name."""
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(top)
