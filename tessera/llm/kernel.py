@@ -137,7 +137,7 @@ def chunked(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple
         yield begin, out
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: int = -1, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows, so that the Python values alive at once stay bounded."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -152,7 +152,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS) -> Filters:
     """Learn from the training fold of doc_id, text, lang. The sample is bounded, and so is what is collected."""
     key = F.xxhash64("doc_id")
-    fold = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull())
+    fold = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     # a threshold on the hash keeps about twice the sample before the exact cut is taken; at most max_langs rows
     sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
     part = (2 * sample_docs + 100) / F.col("n")

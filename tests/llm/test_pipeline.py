@@ -78,3 +78,21 @@ def test_entry_lists_every_query():
 
     names = set(e.queries())
     assert {"pipeline"} <= names and {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_stages_keep_clashing_columns_ties_and_long_texts(spark):
+    """Extra columns of the names that stages use inside, repeated rows, one id with two texts, empty and very long texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(30)
+    text = docs.where("lang = 'en' AND n_chars > 200").first().text
+    more = [(900, text, "en", "s", len(text)), (900, text, "en", "s", len(text)), (900, text[::-1], "en", "s", 5), (901, "", None, None, 0), (902, text * 60, "en", "s", 9), (903, "same " * 20_000, "en", "s", 9)]
+    rows = docs.unionAll(spark.createDataFrame(more, docs.schema))
+    clash = ["_words", "n_words", "copy_a", "copy_b", "class_id", "band", "bands", "sketch", "d", "k", "spans", "held_out", "share", "n", "n_tokens", "ids", "item_id", "a", "b", "lead", "key"]
+    rows = rows.selectExpr("*", *[f"'{c}!' AS {c}" for c in clash])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, rows, DATA)
+        assert out.columns == rows.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}!" for r in got for c in clash)
+    assert stage is not None
+    encoded = cp.STAGES[-1][1](spark, rows, DATA).collect()
+    assert len(encoded) == rows.count() and all(isinstance(r.n_tokens, int) for r in encoded)
