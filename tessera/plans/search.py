@@ -252,7 +252,16 @@ def type_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.places(rows, "source", "kind", "doc_id").select("doc_id", "place")
 
 
-@query("vs11_context_pack", "VS11 FN5")
+@query(
+    "vs11_context_pack", "VS11 FN5",
+    f"""WITH RECURSIVE {_HITS}, t AS (SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE doc_type WHEN 'law' THEN 0 ELSE 2 END, rank) AS r, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM hits WHERE rank <= 50),
+    h AS (SELECT *, substr(t, 1, 400) AS head, regexp_extract(substr(t, 1, 400), '(?s)^.*[.!?;:]\\s*', 0) AS said, 400 - strpos(reverse(substr(t, 1, 400)), ' ') AS space FROM t),
+    c AS (SELECT query_id, source_id, r, CASE WHEN length(t) <= 400 THEN t ELSE trim(CASE WHEN length(said) >= 220 THEN said WHEN contains(head, ' ') AND space >= 220 THEN substr(head, 1, space) ELSE head END) END AS content FROM h),
+    p(query_id, source_id, r, content, used, place, taken) AS (SELECT query_id, source_id, r, content, CASE WHEN length(content) BETWEEN 1 AND 3000 THEN length(content) ELSE 0 END, (length(content) BETWEEN 1 AND 3000)::INT, length(content) BETWEEN 1 AND 3000 FROM c WHERE r = 1
+      UNION ALL SELECT c.query_id, c.source_id, c.r, c.content, CASE WHEN length(c.content) > 0 AND p.used + length(c.content) <= 3000 THEN p.used + length(c.content) ELSE p.used END, p.place + (length(c.content) > 0 AND p.used + length(c.content) <= 3000)::INT, length(c.content) > 0 AND p.used + length(c.content) <= 3000
+      FROM p JOIN c ON c.query_id = p.query_id AND c.r = p.r + 1)
+    SELECT query_id, source_id, place, length(content)::INT AS n_chars, content FROM p WHERE taken""",
+)
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy packing of each language's top 50 under a budget: a row that does not fit is skipped, later ones may fit."""
     return pack_context(language_hits(spark, sf_dir).where("rank <= 50"), 400, 3000)

@@ -98,7 +98,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("href").alias("n_distinct"), F.min("href").alias("first_link"), F.min(tx.without_param(F.col("url"), "ref", "utm_source")).alias("clean"))
 
 
-@query("fn22_exact_links", "FN22")
+@query("fn22_exact_links", "FN22", r"""SELECT page_id, nullif(regexp_replace(regexp_replace(url, '(?i)([?&])(?:ref|utm_source)=[^&#\s]*&?', '\1', 'g'), '[?&]+$', ''), '') AS clean FROM pages""")
 def exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sq.link_cleaner("ref", "utm_source")(F.col("url")).alias("clean"))
 
@@ -184,7 +184,16 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sq.short_digest(key).alias("blake"), sq.url_uuid(key).alias("uuid"), tx.numeric_id(key).alias("number"), tx.id_within(key).alias("short"))
 
 
-@query("fn6_chunks", "FN6 FN7")
+@query(
+    "fn6_chunks", "FN6 FN7",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), full_d AS (SELECT doc_id, t FROM d WHERE t <> ''),
+    c(doc_id, i, b, e) AS (
+      SELECT doc_id, 0, 0::BIGINT, CASE WHEN length(t) > 1200 AND 1200 - strpos(reverse(substr(t, 1, 1200)), ' ') > 600 AND contains(substr(t, 1, 1200), ' ') THEN 1201 - strpos(reverse(substr(t, 1, 1200)), ' ') ELSE least(length(t), 1200) END FROM full_d
+      UNION ALL
+      SELECT doc_id, i + 1, n, CASE WHEN n + 1200 < len AND contains(w, ' ') AND 1200 - strpos(reverse(w), ' ') > 600 THEN n + 1201 - strpos(reverse(w), ' ') ELSE least(len, n + 1200) END
+      FROM (SELECT c.doc_id, i, greatest(b + 1, e - 150) AS n, length(t) AS len, substr(t, greatest(b + 1, e - 150) + 1, 1200) AS w FROM c JOIN full_d f ON f.doc_id = c.doc_id WHERE e < length(t)))
+    SELECT c.doc_id, i AS chunk_index, length(trim(substr(t, b + 1, e - b))) AS n_chars, md5(trim(substr(t, b + 1, e - b))) AS digest FROM c JOIN full_d f ON f.doc_id = c.doc_id""",
+)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sq.chunks(F.col("text"))).alias("chunk_index", "chunk"))
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
@@ -206,7 +215,13 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("no")), ",").alias("numbers"))
 
 
-@query("fn10_law_references", "FN10 FN11 FN12 WN8")
+@query(
+    "fn10_law_references", "FN10 FN11 FN12",
+    """SELECT o_orderkey, 'relative_scope' AS type, '시험법' AS target, (o_orderkey % 40 + 1)::VARCHAR AS articles, 'resolved' AS status, 0.9::DOUBLE AS confidence FROM orders
+    UNION ALL SELECT o_orderkey, 'explicit_law_article', '민법', (o_orderkey % 900 + 1)::VARCHAR || '-2', 'unresolved_external', 0.45 FROM orders
+    UNION ALL SELECT o_orderkey, 'previous_article', '시험법', (o_orderkey % 40)::VARCHAR, 'resolved', 0.92 FROM orders WHERE o_orderkey % 40 > 0
+    UNION ALL SELECT o_orderkey, 'same_law_article', '시험법', concat_ws(',', (o_orderkey % 20 + 1)::VARCHAR, (o_orderkey % 20 + 2)::VARCHAR, (o_orderkey % 20 + 3)::VARCHAR), 'resolved', 0.9 FROM orders""",
+)
 def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in sentences made from orders: scoped, named, relative and bare."""
     key = F.col("o_orderkey")
