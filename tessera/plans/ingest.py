@@ -37,7 +37,7 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH c AS (SELECT p_size AS page, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, page - row_number() OVER (ORDER BY page) AS gap FROM c),
     stop AS (SELECT min(page) AS page FROM r WHERE n < 20 OR gap <> (SELECT min(page) - 1 FROM c)), cut AS (SELECT p.* FROM part p, stop WHERE stop.page IS NULL OR p_size < stop.page OR (p_size = stop.page AND (SELECT gap FROM r WHERE r.page = stop.page) = (SELECT min(page) - 1 FROM c))),
     w AS (SELECT * FROM cut WHERE NOT contains(p_type, 'PLATED') AND (trim(p_name) = '' OR contains(p_name, 'a')))
-    SELECT p_brand, p_name, p_type, arg_min(p_partkey, p_size * 1000000000 + p_partkey) AS first_part FROM w GROUP BY ALL""",
+    SELECT p_brand, p_name, p_type, arg_min(p_partkey, p_size::BIGINT * 1000000000 + p_partkey) AS first_part FROM w GROUP BY ALL""",
 )
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paged list: pages of 20 until one is not full, kinds left out, a keyword in the title, one row of three keys."""
