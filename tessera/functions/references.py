@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -46,12 +47,12 @@ NAME_WORDS = 3
 _SCAN = re.compile("|".join(f"(?P<{kind}_>{form})" for kind, form in FORMS.items()))
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     start: int
     end: int
-    found: dict
+    found: re.Match
 
 
 @dataclass
@@ -68,11 +69,8 @@ class Citations:
 
 
 def scan(text: str) -> list[Token]:
-    return [Token(m.lastgroup[:-1] if m.lastgroup.endswith("_") else _kind(m), *m.span(), m.groupdict()) for m in _SCAN.finditer(text)]
-
-
-def _kind(m: re.Match) -> str:
-    return next(k for k in FORMS if m[f"{k}_"] is not None)
+    # the group of a whole token closes last
+    return [Token(m.lastgroup[:-1], *m.span(), m) for m in _SCAN.finditer(text)]
 
 
 def citation_lists(text: str, tokens: list[Token]) -> list[Citations]:
@@ -149,6 +147,7 @@ def article_refs(block: str | None) -> list[dict]:
 # whose articles ------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4096)
 def level_of(kind: str | None) -> str:
     """Level of a law by its kind."""
     kind = " ".join((kind or "").split())

@@ -166,7 +166,7 @@ def answer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "pj13_point_ids", "PJ13 PJ15 PJ16 AG9 WN7",
+    "pj13_point_ids", "PJ15 PJ16 AG9 WN7",
     """WITH c AS (SELECT *, 'src::' || source || '::' || lang || '::' || (n_chars % 50)::VARCHAR AS id FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY id) AS times, row_number() OVER (PARTITION BY id ORDER BY doc_id) - 1 AS nth FROM c)
     SELECT doc_id, CASE WHEN times > 1 THEN id || '::' || substr(sha1(doc_id::VARCHAR), 1, 16) ELSE id END AS point_id, id || CASE WHEN nth > 0 THEN '::dup' || nth::VARCHAR ELSE '' END AS record_id FROM n""",
 )
