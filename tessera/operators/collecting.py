@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import filled, squeeze, text_of
+from tessera.operators.retrieval import small
 
 
 def until_short_page(rows: DataFrame, page: str, size: int) -> DataFrame:
@@ -53,7 +54,7 @@ def request_faults(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
     faults: unknown_endpoint, disabled, missing:name, one_of:a|b, needs:name; an empty array means the request may be sent.
     """
-    rows = requests.join(F.broadcast(registry.hint("broadcast")), "endpoint", "left")
+    rows = requests.join(small(registry), "endpoint", "left")
     names = F.map_keys(F.map_filter("params", lambda k, v: filled(v).isNotNull()))
     none = F.array().cast("array<string>")
     missing = F.transform(F.array_except("required", names), lambda n: F.concat(F.lit("missing:"), n))
