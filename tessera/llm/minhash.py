@@ -16,7 +16,7 @@ Whole classes without all pairs:
 2. every band bucket compares its least member with each other member (a star, not all pairs);
 3. a bucket whose members are now in one component needs nothing more; in other buckets, members whose
    sketch is like that of a member of another component (a semi join, so a row each at most) are searched
-   for links across components by an exact prefix filter over their rarest runs of words.
+   for links across components by an exact prefix filter over what they differ in from the bucket's least member.
 So every two texts that share a bucket end in one component, or have been compared or ruled out exactly,
 at a cost that does not square with the size of a group of near copies or of a shared template. A comparison first looks at 2 bits of each
 of the 128 coordinates, and is given up only if the estimate lies five standard deviations or more
@@ -51,7 +51,7 @@ SLACK = 5.0
 #: Pairs that one text leads within a task.
 FOLLOWERS = 4096
 #: Members of a bucket up to which each is held against the others' sketches before the exact search.
-BUCKET = 4096
+BUCKET = 32_768
 
 _U = np.uint64
 
@@ -193,10 +193,9 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the threshold, with the similarity. Pairs are sorted by a
-    within a task, so a text that leads many pairs is cut into words once; one that leads more than FOLLOWERS is dealt out
-    over several keys, with a copy of its text for each."""
+def _side_by_side(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) with both texts, sorted by a within a task, so a text that leads many pairs is cut into words once; one that
+    leads more than FOLLOWERS is dealt out over several keys, with a copy of its text for each."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     needed = scratch.save(only_ids(texts, ids, "doc_id"), "needed")
     left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -207,6 +206,11 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, s
     dealt = lambda rows: rows.join(F.broadcast(hot) if few else hot, "a", "left")
     left = dealt(left).select("a", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     pairs = dealt(pairs).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    return pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole texts reach the threshold, with the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, set_a = None, None
@@ -221,8 +225,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, s
                     found[0].append(a[i]), found[1].append(b[i]), found[2].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["a", "b", "similarity"])
 
-    both = pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
-    out = scratch.save(both.mapInArrow(run, "a long, b long, similarity double"), "links")
+    out = scratch.save(_side_by_side(pairs, texts, scratch).mapInArrow(run, "a long, b long, similarity double"), "links")
     scratch.drop("ids", "needed", "hot-leaders")
     return out
 
@@ -236,40 +239,60 @@ def elements(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.where(nth == 0, runs, mix64(runs + nth.astype(_U) * _U(0xC2B2AE3D27D4EB4F)))
 
 
-def _prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of open documents of different components that can reach the threshold, exactly.
+def _difference_pairs(leads: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of documents under one leader, of different components, that can reach the threshold, exactly.
 
-    Elements are put in one order, rare ones first. Two sets that reach the threshold share an element among the first
-    n - ceil(t n) + 1 of each, and behind the first shared element both still hold enough. Pairs meet by such elements, so
-    documents of one template whose own changes are too many never meet, however many there are.
+    leads: leader, copy_id, component, minor; the leader has been compared with each. A document is told by its difference from the
+    leader, the elements that only one of both holds. Two sets of n and m elements reach the threshold t just if they differ in at
+    most (n + m)(1 - t) / (1 + t) elements, and they differ where their differences from the leader do. One of the pair at least is not
+    linked to the leader, so its difference is too large to be allowed, and both differences must overlap in a known number of
+    elements: they share one among the first ones of each, rare ones first. Copies of one template whose own changes are not
+    the same never meet, though they share the template, and meet the leader once.
     """
+    q = (1 - threshold) / (1 + threshold)
+
+    names = ["leader", "doc_id", "n", "d", "element"]
+
+    def rows_of(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        d = np.array([len(h[3]) for h in held], dtype=np.int64)
+        columns = [np.repeat(np.array([h[i] for h in held], dtype=np.int64), d) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.repeat(d, d), np.concatenate([h[3] for h in held]).view(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_leader, held, size = None, None, [], 0
         for batch in small_batches(batches, rows=256):
-            ids, sizes, every = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for _, part in chunked(batch.column(1).to_pylist()):
-                tokens = Tokens(part)
-                for i in range(len(part)):
-                    e = elements(tokens.of(i), width)
-                    sizes.append(len(e)), every.append(e)
-            n = np.array(sizes, dtype=np.int64)
-            if len(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(every).view(np.int64))], ["doc_id", "n", "element"])
-
-    ids = scratch.save(open_docs.select(F.col("copy_id").alias("doc_id")), "open-ids")
-    found = scratch.save(only_ids(texts, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, element long"), "elements")
-    times = found.groupBy("element").agg(F.count("*").alias("times")).where("times > 1")
-    # an element of one document only can't be shared, but it takes a place before all others
-    alone = found.join(times, "element").groupBy("doc_id", "n").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "element"))).alias("order"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    first = F.col("n") - F.col("shared")
-    prefix = alone.where(first < keep).select("doc_id", "n", first.alias("first"), F.posexplode(F.slice("order", F.lit(1), (keep - first).cast("int"))).alias("place", "o"))
-    prefix = prefix.select("doc_id", F.col("o.element").alias("element"), "n", (F.col("n") - F.col("first") - F.col("place")).alias("left"))
-    rows = scratch.save(prefix.join(open_docs.withColumnRenamed("copy_id", "doc_id"), "doc_id"), "prefix")
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                if a[i] != last:
+                    last, of_leader = a[i], elements(Tokens([batch.column(2)[i].as_py()]).of(0), width)
+                own = elements(Tokens([batch.column(3)[i].as_py()]).of(0), width)
+                held.append((a[i], b[i], len(own), np.setxor1d(own, of_leader, assume_unique=True)))
+                size += len(held[-1][3])
+                if size > 200_000:  # differences of long texts are handed on before they pile up
+                    yield rows_of(held)
+                    held, size = [], 0
+        if size:
+            yield rows_of(held)
+
+    pairs = scratch.save(leads.select(F.col("leader").alias("a"), F.col("copy_id").alias("b")), "lead-pairs")
+    found = scratch.save(_side_by_side(pairs, texts, scratch).mapInArrow(run, "leader long, doc_id long, n long, d long, element long"), "differences")
+    times = found.groupBy("leader", "element").agg(F.count("*").alias("times")).where("times > 1")
+    # an element of one difference only can't be shared, but it takes a place before all others
+    shared = found.join(times, ["leader", "element"]).groupBy("leader", "doc_id", "n", "d").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("order"))
+    shared = shared.join(leads.withColumnRenamed("copy_id", "doc_id"), ["leader", "doc_id"])
+    most = F.floor(F.col("n") * (1 - threshold) / threshold + 1e-6)  # elements a partner can differ in
+    first = F.col("d") - F.size("order")
+    own = ("leader", "doc_id", "component", "minor", "n", "d")
+    rows = shared.where(first <= most).select(*own, first.alias("first"), F.posexplode(F.slice("order", F.lit(1), (most - first + 1).cast("int"))).alias("at", "o"))
+    rows = scratch.save(rows.select(*own, (F.col("first") + F.col("at")).alias("place"), F.col("o.element").alias("element")), "places")
     x, y = rows.where("minor").alias("x"), rows.alias("y")
-    need = threshold / (1 + threshold)
-    pairs = x.join(y, F.expr(f"x.element = y.element AND x.component <> y.component AND (NOT y.minor OR x.doc_id < y.doc_id) AND least(x.left, y.left) + 1e-6 >= {need!r}D * (x.n + y.n)"))
-    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    overlap = f"greatest(1, ceil((x.d + y.d - (x.n + y.n) * {q!r}D) / 2 - 1e-6D))"
+    rule = "x.leader = y.leader AND x.element = y.element AND x.component <> y.component AND (NOT y.minor OR x.doc_id < y.doc_id)"
+    pairs = x.join(y, F.expr(f"{rule} AND x.place <= x.d - {overlap} AND y.place <= y.d - {overlap}"))
+    out = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    out = scratch.save(out, "rest-pairs")
+    scratch.drop("lead-pairs", "ids", "needed", "hot-leaders", "differences", "places")
+    return out
 
 
 class NearDuplicates:
@@ -322,18 +345,18 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     member = scratch.save(member, "member")
     mixed = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("copy_id") == F.col("leader"), F.col("component"))).alias("major")).where("low <> high").select("band", "major")
     # of their members only those matter that look alike a member of another component of the same bucket
-    open_rows = member.join(mixed, "band").join(sketches, member.copy_id == sketches.id).select("band", "copy_id", "component", (F.col("component") != F.col("major")).alias("minor"), "sketch")
+    open_rows = member.join(mixed, "band").join(sketches, member.copy_id == sketches.id).select("band", "leader", "copy_id", "component", (F.col("component") != F.col("major")).alias("minor"), "sketch")
     open_rows = scratch.save(open_rows, "open-rows")
     # a large bucket is not searched member by member; all its members go on to the exact search, whose cost does not square
     large = scratch.save(open_rows.groupBy("band").count().where(F.col("count") > BUCKET).select("band"), "large")
     small_rows = only_ids(open_rows, large, "band", how="left_anti")
     x, y = small_rows.where("minor").alias("x"), small_rows.alias("y")
     alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (agreement("x.sketch", "y.sketch") >= least_agreement(threshold))
-    found = x.join(y, alike, "left_semi").select("copy_id", "component", F.lit(True).alias("minor")).unionAll(y.join(x, alike, "left_semi").select("copy_id", "component", F.lit(False).alias("minor")))
-    found = found.unionAll(only_ids(open_rows, large, "band").select("copy_id", "component", "minor"))
-    open_docs = scratch.save(found.groupBy("copy_id").agg(F.max("component").alias("component"), F.max("minor").alias("minor")), "open")
+    found = x.join(y, alike, "left_semi").select("leader", "copy_id", "component", F.lit(True).alias("minor")).unionAll(y.join(x, alike, "left_semi").select("leader", "copy_id", "component", F.lit(False).alias("minor")))
+    found = found.unionAll(only_ids(open_rows, large, "band").select("leader", "copy_id", "component", "minor")).where("copy_id <> leader")
+    leads = scratch.save(found.groupBy("leader", "copy_id").agg(F.max("component").alias("component"), F.max("minor").alias("minor")), "open")
     scratch.drop("buckets", "member", "open-rows", "large")
-    rest = scratch.save(_prefix_pairs(open_docs, texts, threshold, width, scratch), "rest-pairs")
+    rest = _difference_pairs(leads, texts, threshold, width, scratch)
     rest = scratch.save(likely(rest).join(stars, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = scratch.save(links.unionAll(_compare(rest, texts, threshold, width, scratch)), "all-links")
