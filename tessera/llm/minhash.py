@@ -242,8 +242,9 @@ def elements(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 def _difference_pairs(leads: DataFrame, texts: DataFrame, threshold: float, width: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of documents under one leader, of different components, that can reach the threshold, exactly.
 
-    leads: leader, copy_id, component, minor; the leader has been compared with each. A document is told by its difference from the
-    leader, the elements that only one of both holds. Two sets of n and m elements reach the threshold t just if they differ in at
+    leads: leader, copy_id, component, minor. Documents whose leaders are linked by common documents get the least of these as their
+    one leader; those that reach the threshold with it are pairs too. A document is told by its difference from the leader, the
+    elements that only one of both holds. Two sets of n and m elements reach the threshold t just if they differ in at
     most (n + m)(1 - t) / (1 + t) elements, and they differ where their differences from the leader do. One of the pair at least is not
     linked to the leader, so its difference is too large to be allowed, and both differences must overlap in a known number of
     elements: they share one among the first ones of each, rare ones first. Copies of one template whose own changes are not
@@ -260,22 +261,35 @@ def _difference_pairs(leads: DataFrame, texts: DataFrame, threshold: float, widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_leader, held, size = None, None, [], 0
+        near: tuple[list, list] = ([], [])
         for batch in small_batches(batches, rows=256):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(batch.num_rows):
                 if a[i] != last:
                     last, of_leader = a[i], elements(Tokens([batch.column(2)[i].as_py()]).of(0), width)
                 own = elements(Tokens([batch.column(3)[i].as_py()]).of(0), width)
-                held.append((a[i], b[i], len(own), np.setxor1d(own, of_leader, assume_unique=True)))
-                size += len(held[-1][3])
+                difference = np.setxor1d(own, of_leader, assume_unique=True)
+                if len(difference) <= q * (len(own) + len(of_leader)) + 1e-9:
+                    near[0].append(a[i]), near[1].append(b[i])
+                held.append((a[i], b[i], len(own), difference))
+                size += len(difference)
                 if size > 200_000:  # differences of long texts are handed on before they pile up
                     yield rows_of(held)
                     held, size = [], 0
         if size:
             yield rows_of(held)
-
+        if near[0]:  # rows without an element: documents that reach the threshold with the leader itself
+            zero = pa.array(np.zeros(len(near[0]), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(near[0], pa.int64()), pa.array(near[1], pa.int64()), zero, zero, pa.nulls(len(near[0]), pa.int64())], names)
+
+    # all buckets that documents link share one leader, the least of them, so a document has one difference
+    roots = connected_components(leads.select(F.col("leader").alias("a"), F.col("copy_id").alias("b")), scratch, "roots")
+    members = leads.groupBy("copy_id").agg(F.max("component").alias("component"), F.max("minor").alias("minor"))
+    leads = members.join(roots, members.copy_id == roots.id).select(roots.component.alias("leader"), "copy_id", members.component.alias("component"), "minor").where("leader <> copy_id")
+    leads = scratch.save(leads, "leads")
     pairs = scratch.save(leads.select(F.col("leader").alias("a"), F.col("copy_id").alias("b")), "lead-pairs")
-    found = scratch.save(_side_by_side(pairs, texts, scratch).mapInArrow(run, "leader long, doc_id long, n long, d long, element long"), "differences")
+    every = scratch.save(_side_by_side(pairs, texts, scratch).mapInArrow(run, "leader long, doc_id long, n long, d long, element long"), "differences")
+    found, near = every.where("element IS NOT NULL"), every.where("element IS NULL").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     times = found.groupBy("leader", "element").agg(F.count("*").alias("times")).where("times > 1")
     # an element of one difference only can't be shared, but it takes a place before all others
     shared = found.join(times, ["leader", "element"]).groupBy("leader", "doc_id", "n", "d").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("order"))
@@ -289,9 +303,9 @@ def _difference_pairs(leads: DataFrame, texts: DataFrame, threshold: float, widt
     overlap = f"greatest(1, ceil((x.d + y.d - (x.n + y.n) * {q!r}D) / 2 - 1e-6D))"
     rule = "x.leader = y.leader AND x.element = y.element AND x.component <> y.component AND (NOT y.minor OR x.doc_id < y.doc_id)"
     pairs = x.join(y, F.expr(f"{rule} AND x.place <= x.d - {overlap} AND y.place <= y.d - {overlap}"))
-    out = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    out = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).unionAll(near).distinct()
     out = scratch.save(out, "rest-pairs")
-    scratch.drop("lead-pairs", "ids", "needed", "hot-leaders", "differences", "places")
+    scratch.drop("roots", "leads", "lead-pairs", "ids", "needed", "hot-leaders", "differences", "places")
     return out
 
 
