@@ -14,6 +14,7 @@ from tessera.llm.matroska import op7_matroska
 from tessera.llm.minhash import op10_minhash
 from tessera.llm.pii import op1_pii
 from tessera.llm.quality import op3_quality
+from tessera.llm.search import OP11_SQL, op11_search
 from tessera.llm.secrets import op9_secrets
 from tessera.llm.suffix import op5_suffix
 
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
         "op10_minhash": op10_minhash,
+        "op11_search": op11_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_search": OP11_SQL}
