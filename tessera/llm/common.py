@@ -29,9 +29,10 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", top)
         self.spark, self.top, self._paths = spark, f"{top.rstrip('/')}/{uuid.uuid4().hex}", {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The frame, written and read again; `by`: a column whose values get a folder each."""
         path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op4_bpe
+from tessera.llm.codes import OP12_SQL, op12_codes
 from tessera.llm.decontaminate import op2_decontaminate
 from tessera.llm.html import op8_html
+from tessera.llm.katz import op13_katz
 from tessera.llm.langid import op6_langid
 from tessera.llm.matroska import op7_matroska
 from tessera.llm.minhash import op10_minhash
@@ -32,8 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_minhash": op10_minhash,
         "op11_search": op11_search,
+        "op12_codes": op12_codes,
+        "op13_katz": op13_katz,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_search": OP11_SQL}
+    return {"op11_search": OP11_SQL, "op12_codes": OP12_SQL}
