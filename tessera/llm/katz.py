@@ -49,8 +49,8 @@ ORDER = 2
 #: Counts up to this one are discounted.
 K = 5
 #: Bytes of text in a block, and n-grams a partition receives (on average).
-BLOCK_BYTES = 1 << 24
-PART_ENTRIES = 1 << 21
+BLOCK_BYTES = 12 << 20
+PART_ENTRIES = 1 << 20
 #: Contexts with more than a part's share of all tokens divided by this are dealt out by their n-grams.
 HOT = 4
 #: No word contains a blank.
@@ -68,6 +68,7 @@ def _struct(**fields: str) -> T.StructType:
 
 
 BLOCK = _struct(block="long", doc_ids="array<long>", held="array<boolean>", sizes="binary", codes="binary", words="binary", seen="binary", n_words="long", n_tokens="long")
+SLIM = _struct(block="long", doc_ids="array<long>", held="array<boolean>", sizes="binary", codes="binary", order="binary", begin="long")
 REQUEST = _struct(part="int", block="long", keys="binary", words="binary", seen="binary", lower="binary", under="binary", hot="binary")
 COUNTED = _struct(kind="string", block="long", part="int", keys="binary", words="binary", counts="binary", ids="binary", low="binary", sums="binary", rest="binary", hist="array<long>")
 SCORE = _struct(doc_id="long", held_out="boolean", n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
@@ -133,8 +134,7 @@ def to_blocks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
             codes, names = code[codes], names[order]
             seen = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(names))
             seen[code[-1]] = np.count_nonzero(~out)
-            planes = np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-            values = [(int(part.column(3)[0].as_py()) << 32) + k, part.column(0).to_pylist(), out.tolist(), packed(sizes), planes.tobytes(), names.tobytes(), packed(seen), len(names), len(codes)]
+            values = [(int(part.column(3)[0].as_py()) << 32) + k, part.column(0).to_pylist(), out.tolist(), packed(sizes), _planes(codes), names.tobytes(), packed(seen), len(names), len(codes)]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, BLOCK)
@@ -156,6 +156,30 @@ def _word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, part[order]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, all first bytes, then all second ones ...: the later ones are mostly zero."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int32)
+
+
+def to_slim(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks for scoring: in place of the words' hashes, the order in which they are asked for, and the number of the begin."""
+    schema = to_arrow_schema(SLIM)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, *rest in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
+                words = np.frombuffer(words.as_py(), _U)
+                begin = int(np.flatnonzero(words == _U(BEGIN))[0])
+                values = [x.as_py() for x in rest] + [_planes(_word_order(words, parts)[0]), begin]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    return blocks.select("words", "block", "doc_ids", "held", "sizes", "codes").mapInArrow(run, SLIM)
+
+
 def word_requests(blocks: DataFrame, parts: int) -> DataFrame:
     """Every block's distinct words with their training counts."""
     schema = to_arrow_schema(REQUEST)
@@ -210,14 +234,13 @@ class Block:
 
     def __init__(self, row: dict, answers: dict[int, list[dict]], parts: list[int], levels: list[Level], limits: list[int]):
         self.sizes = unpack(row["sizes"])
-        code = np.frombuffer(row["codes"], np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+        code = _numbers(row["codes"])
         self.begins = np.cumsum(self.sizes) - self.sizes
-        words = np.frombuffer(row["words"], _U)
         self.gram, self.word_of, self.levels, self.limits = [code], code, levels, limits
-        order, _ = _word_order(words, parts[0])
+        order = _numbers(row["order"])
         self.count, self.id = [self._restore(order, answers[1], "counts")], [self._restore(order, answers[1], "ids")]
-        self.begin = int(np.flatnonzero(words == _U(BEGIN))[0])
-        self.ctx, self.word, self.at = [None], [np.arange(len(words))], [None]
+        self.begin = row["begin"]
+        self.ctx, self.word, self.at = [None], [np.arange(len(order))], [None]
         self.p = levels[0].probability(self.count[0])[code]  # of each token at the highest level so far
         self.lower = None
 
@@ -235,9 +258,15 @@ class Block:
         before[self.begins] = self.begin if k == 2 else -1
         self.valid = before >= 0
         width = len(self.count[0])
-        key, at, inv = np.unique((before * width + self.word_of)[self.valid], return_index=True, return_inverse=True)
-        gram = np.full(len(before), -1, np.int64)
-        gram[self.valid] = inv
+        ends = np.flatnonzero(self.valid)
+        key = before[ends] * np.int64(width) + self.word_of[ends]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        gram = np.full(len(before), -1, np.int32)
+        gram[ends[order]] = np.cumsum(new, dtype=np.int32) - 1
+        key, at = key[new], ends[order[new]]
+        del before, ends, order, new
         ctx, word = np.divmod(key, width)
         own, total = self.id[-1][ctx], self.count[-1][ctx]
         self.hot = total > self.limits[k - 2]
@@ -245,7 +274,7 @@ class Block:
         part = np.where(self.hot, mix64(mixed + self.id[0][word].astype(_U)), mixed) % _U(parts)
         self.part = part.astype(np.int64)
         self.order = np.lexsort((self.id[0][word], own, self.part))
-        self.gram.append(gram), self.ctx.append(ctx), self.word.append(word), self.at.append(np.flatnonzero(self.valid)[at])
+        self.gram.append(gram), self.ctx.append(ctx), self.word.append(word), self.at.append(at)
 
     def requests(self, train: np.ndarray, parts: int) -> list[dict]:
         ctx, word, at, o = self.ctx[-1], self.word[-1], self.at[-1], self.order
@@ -377,11 +406,12 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, id_col: str = "doc_
     """Learns from the rows where `held` is false and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    blocks = scratch.save(to_blocks(docs, held, id_col, text_col, block_bytes), "blocks")
-    size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    whole = scratch.save(to_blocks(docs, held, id_col, text_col, block_bytes), "blocks")
+    size = whole.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     deal = lambda n: n // part_entries + 1
     parts = [deal(size.words)] + [deal(size.tokens)] * (order - 1)
-    asked = word_requests(blocks, parts[0]).groupBy("part").applyInArrow(count_words(parts[0]), COUNTED)
+    blocks = to_slim(whole, parts[0])
+    asked = word_requests(whole, parts[0]).groupBy("part").applyInArrow(count_words(parts[0]), COUNTED)
     tables = [scratch.save(asked, "level1", by="kind")]
     hist = [sum(x) for x in zip(*(r.hist for r in _sums(tables[0], K + 4)), strict=True)] or [0] * (K + 4)
     levels: list[Level] = [Unigrams(hist[: K + 1], hist[-3], hist[-2], hist[-1])]
