@@ -13,7 +13,9 @@ key agrees is (1 - 0.8**4)**32 < 1e-7. Candidates are then compared exactly, on
 
 Whole classes without all pairs:
 1. texts with the same words form one copy class; its least doc_id stands for it from here on;
-2. every band bucket compares its least member with each other member (a star, not all pairs);
+2. every band bucket has a leader, the member that meets most texts in its buckets, which in a group of edited copies is the least
+   edited. A text is compared with the foremost of its leaders, then with those whose component it is not in (stars, not all
+   pairs); buckets that still hold several components have a second star, around the foremost member outside the leader's;
 3. a bucket whose members are now in one component needs nothing more; in other buckets, members whose
    sketch is like that of a member of another component (a semi join, so a row each at most) are searched
    for links across components by an exact prefix filter over what they differ in from the bucket's least member.
@@ -333,9 +335,16 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         reps = scratch.save(reps.drop("copy_id").join(named.select("copy_a", "copy_b", F.col("node").alias("copy_id")), ["copy_a", "copy_b"]), "numbered")
     sketches = reps.select(F.col("copy_id").alias("id"), "sketch")
 
+    # the leader of a bucket is its member of most fellows over all its buckets: the text from which a group's copies differ least
     banded = reps.select(F.explode("bands").alias("band"), "copy_id")
-    shared = banded.groupBy("band").agg(F.min("copy_id").alias("leader"), F.max("copy_id").alias("last")).where("leader <> last").select("band", "leader")
-    buckets = scratch.save(banded.join(shared, "band").select("band", "leader", "copy_id"), "buckets")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    placed = scratch.save(banded.join(sizes, "band").select("band", "copy_id", "size"), "placed")
+    fellows = placed.groupBy("copy_id").agg(F.sum("size").alias("fellows"))
+    placed = scratch.save(placed.drop("size").join(fellows, "copy_id"), "fellows")
+    front = F.struct("fellows", -F.col("copy_id"))
+    shared = placed.groupBy("band").agg(F.max(front.alias("f")).alias("f")).select("band", (-F.col("f.col2")).alias("leader"), F.col("f.fellows").alias("rank"))
+    buckets = scratch.save(placed.join(shared, "band").select("band", "leader", "rank", "copy_id", "fellows"), "buckets")
+    scratch.drop("placed", "fellows")
 
     def likely(pairs: DataFrame) -> DataFrame:
         out = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
@@ -350,14 +359,41 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     elif signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["doc_id"])
 
-    stars = scratch.save(likely(buckets.where("copy_id <> leader").select(F.col("leader").alias("a"), F.col("copy_id").alias("b")).distinct()), "pairs")
-    links = _compare(stars, texts, threshold, width, scratch)
+    stars = links = None
+
+    def meet(pairs: DataFrame) -> bool:
+        """Compare pairs that were not compared before; whether there were any."""
+        nonlocal stars, links
+        pairs = pairs.select(F.least("one", "copy_id").alias("a"), F.greatest("one", "copy_id").alias("b")).distinct()
+        new = scratch.save(likely(pairs if stars is None else pairs.join(stars, ["a", "b"], "left_anti")), "pairs")
+        if stars is not None and not new.limit(1).count():
+            return False
+        found = _compare(new, texts, threshold, width, scratch)
+        stars, links = (new, found) if stars is None else (scratch.save(stars.unionAll(new), "all-pairs"), scratch.save(links.unionAll(found), "joined-links"))
+        return True
+
+    def split(components: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of buckets with their components, and the buckets that hold several, with the leader's component."""
+        member = buckets.join(components, buckets.copy_id == components.id, "left").select("band", "leader", "copy_id", "fellows", F.coalesce("component", "copy_id").alias("component"))
+        member = scratch.save(member, "member")
+        major = F.max(F.when(F.col("copy_id") == F.col("leader"), F.col("component"))).alias("major")
+        return member, member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), major).where("low <> high").select("band", "major")
+
+    # each text first meets the foremost of its leaders only, then those whose component it is not in
+    meet(buckets.where("copy_id <> leader").groupBy("copy_id").agg(F.max_by("leader", F.struct("rank", -F.col("leader"))).alias("one")))
     components = connected_components(links, scratch, "components")
+    member, mixed = split(components)
+    if meet(member.join(mixed, "band").where("component <> major").select(F.col("leader").alias("one"), "copy_id")):
+        components = connected_components(links, scratch, "components-star")
+        member, mixed = split(components)
+    # a second star in buckets that still hold several components: around the foremost member outside the leader's
+    outside = member.join(mixed, "band").where("component <> major")
+    second = outside.groupBy("band").agg(F.max_by(F.struct("copy_id", "component"), front).alias("s")).select("band", F.col("s.copy_id").alias("one"), F.col("s.component").alias("own"))
+    if meet(member.join(second, "band").where("component <> own").select("one", "copy_id")):
+        components = connected_components(links, scratch, "components-second")
+        member, mixed = split(components)
 
     # buckets that still hold several components: their members are compared across components
-    member = buckets.join(components, buckets.copy_id == components.id, "left").select("band", "leader", "copy_id", F.coalesce("component", "copy_id").alias("component"))
-    member = scratch.save(member, "member")
-    mixed = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("copy_id") == F.col("leader"), F.col("component"))).alias("major")).where("low <> high").select("band", "major")
     # of their members only those matter that look alike a member of another component of the same bucket
     open_rows = member.join(mixed, "band").join(sketches, member.copy_id == sketches.id).select("band", "leader", "copy_id", "component", (F.col("component") != F.col("major")).alias("minor"), "sketch")
     open_rows = scratch.save(open_rows, "open-rows")

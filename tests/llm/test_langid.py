@@ -101,3 +101,15 @@ def test_predictions_match_exact_ngram_sets(spark, docs):
         if len(g) > 200:
             assert abs(got[r.doc_id].share - share[best]) < 0.03
     assert every > 100 and same >= 0.99 * every
+
+
+@pytest.mark.parametrize(("text", "has"), [("½", False), ("²", False), ("①②", False), ("Ⅷ", False), ("٣", False), ("_", False), ("é", True), ("字", True), ("1ª", True)])
+def test_only_letters_are_letters(text, has):
+    filters = langid.Filters(["en"])
+    filters.finish()
+    assert (filters.predict([text])[0][0] == "en") is has
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}zq word{'x' * (k // 676)} text", f"l{k:03}") for k in range(300)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(string(doc_id)) % 3 <> 1")).langs) > 190
