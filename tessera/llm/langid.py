@@ -9,7 +9,7 @@ with density f reports an absent n-gram with probability f**k, so each count is
 N-grams are runs of `width` bytes of the lower-cased UTF-8 text, whose non-letters become single
 spaces. A language's filter gets the n-grams that occur in at least `MIN_DOCS` of its sample texts.
 
-Learning: for each of the MAX_LANGS most frequent languages the `SAMPLE_DOCS` training texts of the smallest hashed doc_id, whole texts of any
+Learning: for each language the `SAMPLE_DOCS` training texts of the smallest hashed doc_id, whole texts of any
 length. Their n-grams are counted and hashed in tasks; what reaches the driver are the filters' bits, at most 2**SLOT_BITS a language.
 Training rows have a non-null lang and crc32(doc_id as text) mod 3 other than 1.
 
@@ -21,28 +21,31 @@ A null doc_id is never held out and never learned from.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import Scratch
 from tessera.llm.kernel import chunked, mix64, small_batches
 
 WIDTH = 5
 HASHES = 3
 SLOT_BITS = 20
 SAMPLE_DOCS = 400
-MAX_LANGS = 256
 MIN_DOCS = 2
+#: Languages whose sample sizes may be broadcast.
+BROADCAST_LANGS = 100_000
 UNKNOWN = "und"
 #: A text of which the best language knows fewer n-grams than this share is in no learned language.
 MIN_SHARE = 0.15
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters of any script; other numbers, such as fractions and circled ones, are none.
+_LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
 
 RESULT = T.StructType(
@@ -149,15 +152,16 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS) -> Filters:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int | None = None) -> Filters:
     """Learn from the training fold of doc_id, text, lang. The sample is bounded, and so is what is collected."""
     key = F.xxhash64("doc_id")
     fold = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    # a threshold on the hash keeps about twice the sample before the exact cut is taken; at most max_langs rows
-    sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    # a threshold on the hash keeps about twice the sample before the exact cut is taken; a row a language
+    sizes = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = Scratch(docs.sparkSession).save(sizes if max_langs is None else sizes.limit(max_langs), "languages")
     part = (2 * sample_docs + 100) / F.col("n")
     limits = sizes.select("lang", F.least("n", F.lit(sample_docs)).alias("n"), F.when(part >= 1, F.lit(2**63 - 1)).otherwise((part * 2.0**64 - 2.0**63).cast("long")).alias("limit"))
-    near = fold.join(F.broadcast(limits), "lang").where(key <= F.col("limit")).select("doc_id", "lang", "text", "n")
+    near = fold.join(F.broadcast(limits) if sizes.count() <= BROADCAST_LANGS else limits, "lang").where(key <= F.col("limit")).select("doc_id", "lang", "text", "n")
     order = Window.partitionBy("lang").orderBy(key, "doc_id", "text")
     sample = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).select("lang", "n", F.coalesce("text", F.lit("")).alias("text"))
 
