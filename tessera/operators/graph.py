@@ -37,6 +37,32 @@ def shared_neighbours(links: DataFrame, node: str, middle: str) -> DataFrame:
     return pairs.groupBy(F.col("a._n").alias("source"), F.col("b._n").alias("target")).agg(F.count("*").alias("shared"))
 
 
+#: Nodes around one middle node from which on they are dealt out over several tasks.
+HUB = 4096
+#: Start nodes and middle nodes that are broadcast.
+SENT = 200_000
+
+
+def shared_from(links: DataFrame, node: str, middle: str, starts: DataFrame, hub: int = HUB) -> DataFrame:
+    """source, target, shared: for the given start nodes (one column, `node`) every other node that links to a common middle node, with
+    the number of those.
+
+    Only the neighbourhoods of the start nodes are joined: the start nodes select the middle nodes, and these the links of the other
+    side. A middle node with more than `hub` links is heavy: its links are dealt out by their node over as many keys as it has hubs
+    of them, and its start nodes go to each; all others meet under one key."""
+    once = links.select(F.col(node).alias("_n"), F.col(middle).alias("_m")).distinct()
+    starts = starts.select(F.col(node).alias("_n")).distinct()
+    small = lambda df: F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+    near = once.join(small(starts), "_n", "left_semi").cache()
+    touched = near.select("_m").distinct()
+    around = once.join(small(touched), "_m", "left_semi")
+    heavy = small(around.groupBy("_m").agg(F.ceil(F.count("*") / hub).cast("int").alias("_parts")).where("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = near.join(heavy, "_m", "left").select(F.col("_n").alias("source"), "_m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    right = around.join(heavy, "_m", "left").select(F.col("_n").alias("target"), "_m", F.pmod(F.xxhash64("_n"), parts).cast("int").alias("_part"))
+    return left.join(right, ["_m", "_part"]).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("shared"))
+
+
 def parents(children: DataFrame, middle: DataFrame, roots: DataFrame, key: str, branch: list[str], family: str) -> DataFrame:
     """Each child's parent: the one middle node of its branch if there is exactly one, else its family's root."""
     one = middle.groupBy(*branch).agg(F.count("*").alias("_n"), F.min(key).alias("_one")).where("_n = 1").drop("_n")

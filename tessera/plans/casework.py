@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -233,6 +233,26 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run_to_files(ev.job_states(ev.read_stream(spark, f"{top}/in", asked, 1_000_000)), top).select(F.col("review_id").cast("long").alias("review_id"), "seq", "state", "allowed")
 
 
+@query(
+    "sm6_ordered_states", "SM6 SM1",
+    """WITH RECURSIVE a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, ['queued', 'running', 'hitl_waiting', 'applying', 'completed', 'failed'][(event_id % 6 + 1)::BIGINT] AS asked FROM events),
+    f(prev, nxt) AS (VALUES ('', 'queued'), ('queued', 'running'), ('queued', 'failed'), ('running', 'hitl_waiting'), ('running', 'completed'), ('running', 'failed'), ('hitl_waiting', 'applying'), ('hitl_waiting', 'failed'), ('applying', 'completed'), ('applying', 'failed')),
+    s AS (SELECT user_id, event_id, r, CASE WHEN asked = 'queued' THEN 'queued' ELSE '' END AS state, asked = 'queued' AS allowed FROM a WHERE r = 1 UNION ALL
+          SELECT a.user_id, a.event_id, a.r, CASE WHEN f.nxt IS NOT NULL THEN a.asked ELSE s.state END, f.nxt IS NOT NULL FROM s JOIN a ON a.user_id = s.user_id AND a.r = s.r + 1 LEFT JOIN f ON f.prev = s.state AND f.nxt = a.asked)
+    SELECT user_id AS review_id, r AS seq, nullif(state, '') AS state, allowed FROM s""",
+)
+def ordered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests numbered within each job, arriving out of order over several batches: held back until their turn."""
+    e = table(spark, sf_dir, "events")
+    names = F.array(*map(F.lit, ("queued", "running", "hitl_waiting", "applying", "completed", "failed")))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    asked = e.select(F.col("user_id").cast("string").alias("review_id"), seq.alias("seq"), F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("asked"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("batch"))
+    top = files.scratch_path(spark, "ordered")
+    asked.repartition(3, "batch").drop("batch").write.parquet(f"{top}/in")
+    stream = ev.read_stream(spark, f"{top}/in", asked.drop("batch"), 1)
+    return ev.run_to_files(ev.ordered_states(stream), top).select(F.col("review_id").cast("long").alias("review_id"), "seq", "state", "allowed")
+
+
 @query(
     "wf6_collection_run", "WF6 WF8",
     """WITH s AS (SELECT c_custkey, count(o_orderkey) AS orders, coalesce(sum(n), 0) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1)

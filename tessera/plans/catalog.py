@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, casework, graph, history, ingest, provenance, relations, search, statutes, text  # noqa: F401  they register their queries
+from tessera.plans import analytics, casework, graph, history, indexes, ingest, provenance, records, relations, search, statutes, text  # noqa: F401  they register their queries
 from tessera.plans.registry import ENTRIES
 
 

@@ -101,6 +101,18 @@ def three_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.shared_neighbours(o.join(li, "o_orderkey"), "o_custkey", "l_partkey")
 
 
+@query(
+    "jn12_three_hop_from", "JN12",
+    """WITH l AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT a.o_custkey AS source, b.o_custkey AS target, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.o_custkey <> b.o_custkey WHERE a.o_custkey % 100 = 0 GROUP BY ALL""",
+)
+def three_hop_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the customers whose key is divisible by 100 to all who share a part with them."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    links = o.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    return gr.shared_from(links, "o_custkey", "l_partkey", o.select("o_custkey").where("o_custkey % 100 = 0"))
+
+
 @query(
     "gr13_expand", "GR13 JN13",
     """SELECT n_name, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT c_name AS x FROM customer WHERE c_nationkey = n_nationkey ORDER BY x LIMIT 50)) AS customers,

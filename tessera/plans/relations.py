@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import merging as mg
-from tessera.operators.retrieval import occurrences, small
+from tessera.operators.containment import containing
+from tessera.operators.retrieval import small
 from tessera.plans.registry import query, table
 
 
@@ -214,7 +215,7 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda c: F.regexp_replace(c, r"\s+", "")
     names = table(spark, sf_dir, "benchmark").select("item_id", plain("text").alias("name"))
     docs = table(spark, sf_dir, "documents").select("doc_id", plain("text").alias("text"))
-    return occurrences(docs, names, "doc_id", "text", "item_id", "name").groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return containing(docs, names, "doc_id", "text", "item_id", "name").groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.sequential import pack_context
 from tessera.operators import ranking as rk
 from tessera.operators import retrieval as rt
+from tessera.operators.containment import containing
 from tessera.plans.registry import query, table
 
 TERMS = [("q1", "the"), ("q1", "thand"), ("q1", "tion"), ("q2", "und"), ("q2", "heit"), ("q3", "elle"), ("q3", "eau"), ("q3", "des")]
@@ -270,7 +271,7 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hit_rates(benchmark: DataFrame, documents: DataFrame, wanted: Column) -> DataFrame:
     items = benchmark.select("item_id", F.lower(wanted).alias("head"))
     docs = documents.select("doc_id", "lang", F.lower("text").alias("text"))
-    pairs = rt.holding(docs, items, "text", "head").select("item_id", "doc_id", "lang")
+    pairs = containing(docs, items, "doc_id", "text", "item_id", "head").join(docs.select("doc_id", "lang"), "doc_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("rank <= 3")
     hits = ranked.groupBy("item_id").agg(F.bool_or(F.col("lang") == "en").alias("hit"))
     all_items = benchmark.join(hits, "item_id", "left").select(F.when(F.col("item_id") % 2 == 0, "normative").otherwise("case_law").alias("intent"), F.coalesce("hit", F.lit(False)).alias("hit"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import references as rf
+from tessera.functions import citations as cit
 from tessera.functions import sequential as sq
 from tessera.functions import statutes as st
 from tessera.plans.registry import query, table
@@ -25,7 +25,7 @@ def article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(
         F.lit("제"), s(k % 90 + 200), F.lit(" 조의 "), s(F.col("o_custkey") % 8 + 2), F.lit("제"), s(k % 5 + 1), F.lit("항 제"), s(k % 3 + 1), F.lit("호 및 제"), s(k % 40 + 1), F.lit("조부터 제"), s(k % 40 + 1 + k % 4), F.lit("조까지의 규정에 따라")
     )
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", rf.refs_of(said).alias("r"))
+    rows = cit.article_refs(cit.spread(table(spark, sf_dir, "orders")), said, "r")
     unit = F.filter("r", lambda x: x.paragraph.isNotNull())[0]
     return rows.select("o_orderkey", F.array_join(F.transform("r", lambda x: x.key), ",").alias("keys"), F.concat_ws(".", unit.paragraph, unit.item).alias("units"))
 
@@ -48,7 +48,8 @@ def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level"), F.lit("시험법").alias("root"))
     family = F.array(F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level")), F.struct(F.lit("시험법 시행령").alias("name"), F.lit("시행령").alias("level")))
     order = F.transform(F.sequence(F.lit(1), F.lit(41)), lambda x: x.cast("string"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(rf.law_refs_of(said, law, s(k % 40 + 1), order, family)).alias("place", "r"))
+    found = cit.law_refs(cit.spread(table(spark, sf_dir, "orders")), said, law, s(k % 40 + 1), order, family)
+    rows = found.select("o_orderkey", F.posexplode("refs").alias("place", "r"))
     return rows.select("o_orderkey", (F.col("place") + 1).alias("place"), "r.type", "r.target", F.array_join("r.articles", ",").alias("articles"), "r.status", "r.confidence")
 
 
@@ -64,8 +65,8 @@ def named_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(
         F.lit("판결은 민법 제"), s(k % 700 + 1), F.lit("조, 제"), s(k % 700 + 3), F.lit("조와 형법 제9조를 든다. 또한 상가건물 임대차보호법 제"), s(F.col("o_custkey") % 20 + 1), F.lit("조의2 제1항을 본다.\n제77조")
     )
-    refs = rf.named_refs_of(said, F.array(F.lit("민법"), F.lit("상가건물 임대차보호법")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(refs).alias("r")).select("o_orderkey", "r.law", "r.key")
+    found = cit.named_refs(cit.spread(table(spark, sf_dir, "orders")), said, F.array(F.lit("민법"), F.lit("상가건물 임대차보호법")))
+    return found.select("o_orderkey", F.explode("refs").alias("r")).select("o_orderkey", "r.law", "r.key")
 
 
 @query(
@@ -78,7 +79,8 @@ def structured_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("민법 제"), (k % 50 + 1).cast("string"), F.lit("조 / 상법 제"), (F.col("o_custkey") % 50 + 1).cast("string"), F.lit("조"))
     s = F.col("o_orderstatus")
     body = F.when(s == "F", F.to_json(F.struct(said.alias("참조조문")))).when(s == "O", F.to_json(F.struct(F.lit(" ").alias("참조조문"), said.alias("관계법령")))).otherwise('{"other": "민법 제1조"}')
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(rf.named_refs_of(st.field_text(body, ("참조조문", "관계법령")), F.array(F.lit("민법"), F.lit("상법")))).alias("r")).select("o_orderkey", "r.law", "r.key")
+    found = cit.named_refs(cit.spread(table(spark, sf_dir, "orders")), st.field_text(body, ("참조조문", "관계법령")), F.array(F.lit("민법"), F.lit("상법")))
+    return found.select("o_orderkey", F.explode("refs").alias("r")).select("o_orderkey", "r.law", "r.key")
 
 
 @query(
@@ -89,7 +91,7 @@ def noise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names before a citation that are no law's own."""
     m, n = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 100).cast("string")
     name = F.when(m == 0, F.concat(F.lit("제도"), n, F.lit("법"))).when(m == 1, "법 시행령").when(m == 2, F.concat(F.lit("장관이 정한 제도"), n, F.lit("법"))).when(m == 3, F.concat(F.lit("주택"), n, F.lit(" 공급규칙"))).when(m == 4, F.concat(F.lit("특례("), n, F.lit(")"))).otherwise("")
-    return table(spark, sf_dir, "orders").select("o_orderkey", rf.noise_name(name).alias("noise"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cit.is_noise_name(name).alias("noise"))
 
 
 @query("fl7_allowed_levels", "FL7", "SELECT p_partkey, p_size % 4 IN (1, 2) OR p_size % 4 = 3 AS direct, p_size % 4 = 0 AS laws, true AS any_level FROM part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import references as rf
+from tessera.functions import citations as cit
 from tessera.functions import sequential as sq
 from tessera.functions import text as tx
 from tessera.plans.registry import query, table
@@ -232,7 +232,8 @@ def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level"), F.lit("시험법").alias("root"))
     family = F.array(F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level")), F.struct(F.lit("시험법 시행령").alias("name"), F.lit("시행령").alias("level")))
     order = F.transform(F.sequence(F.lit(1), F.lit(41)), lambda x: x.cast("string"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(rf.law_refs_of(sentence, law, (key % 40 + 1).cast("string"), order, family)).alias("r"))
+    found = cit.law_refs(cit.spread(table(spark, sf_dir, "orders")), sentence, law, (key % 40 + 1).cast("string"), order, family)
+    rows = found.select("o_orderkey", F.explode("refs").alias("r"))
     return rows.select("o_orderkey", "r.type", "r.target", F.array_join("r.articles", ",").alias("articles"), "r.status", "r.confidence")
 
 

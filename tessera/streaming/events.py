@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -158,3 +159,69 @@ def run_to_files(stream: DataFrame, top: str) -> DataFrame:
     q = stream.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{top}/out")
+
+
+class InOrder(StatefulProcessor):
+    """A job's requests are followed in the order of their numbers 1, 2, ..., in whatever order and batch they come.
+
+    A request whose turn has not come is held back until the gap closes, or until a timer gives the gap up; what is numbered below the
+    next turn was answered or given up, and is dropped. In a terminal state the order is no matter: whatever comes is answered,
+    and nothing is held any more.
+    """
+
+    def __init__(self, key: str, wait_ms: int | None = None):
+        self.key, self.wait_ms = key, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next long, state string")
+        self.held = handle.getListState("held", "seq long, asked string")
+
+    def _drain(self, key: str, rows: dict[int, str], following: int, state: str | None) -> pd.DataFrame:
+        out = []
+        while following in rows:
+            state, ok = follow(state, rows.pop(following))
+            out.append((key, following, state, ok))
+            following += 1
+        if NEXT.get(state) == ():
+            out += [(key, seq, state, False) for seq in sorted(rows)]
+            rows = {}
+        self.at.update((following, state))
+        if rows:
+            self.held.put(sorted(rows.items()))
+        else:
+            self.held.clear()
+        return pd.DataFrame(out, columns=[self.key, "seq", "state", "allowed"])
+
+    def _now(self) -> tuple[dict[int, str], int, str | None]:
+        following, state = self.at.get() if self.at.exists() else (1, None)
+        return ({r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}), following, state
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, following, state = self._now()
+        waiting = bool(held)
+        for part in rows:
+            for seq, asked in zip(part.seq, part.asked, strict=True):
+                if seq >= following:
+                    held.setdefault(int(seq), asked)  # a request that comes again is one
+        yield self._drain(key[0], held, following, state)
+        if self.wait_ms and self.held.exists() and not waiting:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, _, state = self._now()
+        if held:
+            yield self._drain(key[0], held, min(held), state)
+            if self.held.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_states(events: DataFrame, key: str = "review_id", wait_ms: int | None = None) -> DataFrame:
+    """A stream of (key, seq, asked) to (key, seq, state, allowed) by the numbers' order; needs the RocksDB state store, which is set.
+    With `wait_ms`, a gap is given up after that time; such a stream looks at its timers until it is stopped, even if all its input
+    is read, so it is for triggers that go on. Without it gaps stay open."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.groupBy(key).transformWithStateInPandas(InOrder(key, wait_ms), f"{key} string, seq long, state string, allowed boolean", "Append", "ProcessingTime" if wait_ms else "None")
