@@ -210,8 +210,8 @@ def patched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = files.scratch_path(spark, "patches")
     first = old.select(F.lit("insert").alias("op"), "id", "v")
     for patch in (first, mg.snapshot_diff(old, new, "id").select("op", "id", "v")):
-        patch.coalesce(1).write.mode("append").parquet(f"{top}/in")  # one file a batch
-        ev.apply_patches(ev.read_stream(spark, f"{top}/in", first), f"{top}/table", "id", f"{top}/checkpoint").awaitTermination()
+        patch.write.mode("append").parquet(f"{top}/in")  # all files of a patch are one batch, as the stream ends before the next patch comes
+        ev.apply_patches(ev.read_stream(spark, f"{top}/in", first, 1_000_000), f"{top}/table", "id", f"{top}/checkpoint").awaitTermination()
     return ev.patched_table(spark, f"{top}/table", old)
 
 

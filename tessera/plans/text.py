@@ -239,7 +239,7 @@ def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fn25_tables", "FN25")
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("text").contains("|")).select("doc_id", sq.tables_in(F.col("text")).alias("t"))
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("[│┃|]")).select("doc_id", sq.tables_in(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_rows"), F.coalesce(F.size(F.try_element_at("t", F.lit(1))), F.lit(0)).alias("n_columns"))
 
 

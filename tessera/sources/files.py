@@ -17,8 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; a local folder where the setting is unset, as in tests."""
+    """A new path below spark.checkpoint.dir, which all executors share. Where the setting is missing, a local session gets a local
+    folder, as in tests; any other fails, since its executors would not see one."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
     return f"{(top or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
