@@ -43,7 +43,7 @@ PAGE = 500
 
 @query("sc5_paged_stream", "SC5 SC21", f"SELECT o_orderkey, o_orderstatus, ((row_number() OVER (ORDER BY o_orderkey) - 1) // {PAGE})::INT AS page FROM orders")
 def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as a list of pages, read as a stream of a few pages a batch until the short one."""
+    """All orders as a list of pages, read as a stream until the short one."""
     top = scratch_path(spark, "pages")
     pages.write_pages(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), f"{top}/list", PAGE, "o_orderkey")
     return ev.run_to_files(pages.stream_pages(spark, f"{top}/list", "o_orderkey long, o_orderstatus string", PAGE), top)

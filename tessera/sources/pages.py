@@ -1,8 +1,12 @@
 """A paged list as a batch and a streaming source: pages lie as files of JSON lines below one path, a short page is the last one.
 
 The batch reader takes filters on `page` and opens no other pages. The stream's offset is the next page to read: it goes on from where
-its checkpoint says, takes up to `pagesperbatch` pages at a time, and ends at the short page. A client of a remote service would
+its checkpoint says and ends at the short page. The number of pages follows from the list's total, as services give it with a page
+(the file `_total`); where it is missing, pages are opened one after another until the short one. A client of a remote service would
 fetch a page where `rows_of` opens a file.
+
+A run over all that is there (trigger availableNow) asks a Python source for its end once, so it must be the list's end; `pagesperbatch`
+bounds a batch of triggers that go on, and would end such a run early.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from tessera.operators.ranking import places
 
 NAME = "tessera_pages"
+#: Tasks that read a batch of pages; each takes a run of pages, one at a time.
+TASKS = 256
 #: The pages that a filter on `page` leaves: from the first, up to but without the second.
 _LEFT = {
     EqualTo: lambda v: (v, v + 1),
@@ -32,7 +38,21 @@ def write_pages(rows: DataFrame, path: str, size: int, key: str) -> None:
     numbered = places(rows.withColumns({"_all": F.lit(0), "_kind": F.lit(0)}), "_all", "_kind", key)
     page = F.floor((F.col("place") - 1) / size).cast("int")
     paged = numbered.select(*rows.columns, page.alias("page"))
-    paged.repartition("page").sortWithinPartitions("page", key).write.partitionBy("page").json(path)
+    # tasks commit their own pages: the driver would move them one by one
+    paged.repartition("page").sortWithinPartitions("page", key).write.partitionBy("page").option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
+    rows.agg(F.count("*").alias("total")).coalesce(1).write.json(f"{path}/_total")
+
+
+def total_of(path: str) -> int | None:
+    """The number of rows of the list; None if it does not say."""
+    from pyarrow import fs
+
+    system, top = fs.FileSystem.from_uri(f"{path}/_total")
+    for info in system.get_file_info(fs.FileSelector(top, allow_not_found=True)):
+        if info.is_file and info.base_name.endswith(".json") and info.size:
+            with system.open_input_stream(info.path) as f:
+                return json.loads(f.read())["total"]
+    return None
 
 
 def rows_of(path: str, page: int) -> list[dict] | None:
@@ -50,19 +70,41 @@ def rows_of(path: str, page: int) -> list[dict] | None:
     return out
 
 
+class Pages(InputPartition):
+    """A run of pages, up to but without `end`."""
+
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
 class _Pages:
     def __init__(self, schema: object, options: dict):
         self.fields = [f.name for f in schema.fields if f.name != "page"]
-        self.path, self.size, self.most = options["path"], int(options["pagesize"]), int(options.get("pagesperbatch", 4))
+        self.path, self.size = options["path"], int(options["pagesize"])
+        self.most = int(options["pagesperbatch"]) if "pagesperbatch" in options else None
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in rows_of(self.path, partition.value) or ():
-            yield (*(row.get(f) for f in self.fields), partition.value)
+        for page in range(partition.first, partition.end):
+            for row in rows_of(self.path, page) or ():
+                yield (*(row.get(f) for f in self.fields), page)
+
+    def end_from(self, page: int, end: int | None = None) -> int:
+        """The page behind the last one, if that is before `end`."""
+        if (total := total_of(self.path)) is not None:
+            last = -(-total // self.size)
+            return max(page, last if end is None else min(last, end))
+        while end is None or page < end:
+            rows = rows_of(self.path, page)
+            if rows is None:
+                break
+            page += 1
+            if len(rows) < self.size:
+                break
+        return page
 
-    def last(self, page: int) -> bool:
-        """Whether no page follows this one."""
-        rows = rows_of(self.path, page)
-        return rows is None or len(rows) < self.size
+    def runs(self, first: int, end: int) -> list[InputPartition]:
+        n = min(TASKS, end - first)
+        return [Pages(first + (end - first) * k // n, first + (end - first) * (k + 1) // n) for k in range(n)]
 
 
 class PageReader(_Pages, DataSourceReader):
@@ -78,16 +120,7 @@ class PageReader(_Pages, DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        out, page = [], self.first
-        while self.end is None or page < self.end:
-            rows = rows_of(self.path, page)
-            if rows is None:
-                break
-            out.append(InputPartition(page))
-            if len(rows) < self.size:
-                break
-            page += 1
-        return out or [InputPartition(-1)]  # no such page
+        return self.runs(self.first, self.end_from(self.first, self.end)) or [Pages(0, 0)]  # no such page
 
 
 class PageStream(_Pages, DataSourceStreamReader):
@@ -97,23 +130,18 @@ class PageStream(_Pages, DataSourceStreamReader):
         return {"page": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        page = self.seen
-        while page < self.seen + self.most and rows_of(self.path, page) is not None:
-            page += 1
-            if self.last(page - 1):
-                break
-        return {"page": page}
+        return {"page": self.end_from(self.seen, None if self.most is None else self.seen + self.most)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.seen = max(self.seen, end["page"])
-        return [InputPartition(p) for p in range(start["page"], end["page"])]
+        return self.runs(start["page"], end["page"])
 
     def commit(self, end: dict) -> None:
         self.seen = max(self.seen, end["page"])
 
 
 class PageSource(DataSource):
-    """Options path, pagesize and pagesperbatch; the schema is the user's, with `page` as its last column."""
+    """Options path, pagesize and, for streams, pagesperbatch; the schema is the user's, with `page` as its last column."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,6 +165,7 @@ def read_pages(spark: SparkSession, path: str, schema: str, size: int) -> DataFr
     return _reader(spark, spark.read, path, schema, size).load()
 
 
-def stream_pages(spark: SparkSession, path: str, schema: str, size: int, per_batch: int = 4) -> DataFrame:
-    """Pages as a stream."""
-    return _reader(spark, spark.readStream, path, schema, size).option("pagesperbatch", per_batch).load()
+def stream_pages(spark: SparkSession, path: str, schema: str, size: int, per_batch: int | None = None) -> DataFrame:
+    """Pages as a stream; at most `per_batch` a batch, if given (for triggers that go on)."""
+    reader = _reader(spark, spark.readStream, path, schema, size)
+    return (reader if per_batch is None else reader.option("pagesperbatch", per_batch)).load()

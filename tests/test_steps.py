@@ -320,3 +320,32 @@ def test_pages_stream_stops_and_goes_on(spark, tmp_path):
     for _ in range(4):
         counts.append(stream().count())
     assert counts[-1] == 23 and sorted(tuple(r) for r in stream().collect()) == every
+
+
+def test_one_run_reads_every_page(spark, tmp_path):
+    from tessera.sources import pages
+    from tessera.streaming import events as ev
+
+    for n in (0, 53, 60):  # no page, a short one at the end, none
+        pages.write_pages(spark.range(n).selectExpr("id AS k"), f"{tmp_path}/list{n}", 5, "k")
+        out = ev.run_to_files(pages.stream_pages(spark, f"{tmp_path}/list{n}", "k long", 5), f"{tmp_path}/run{n}")
+        assert sorted(tuple(r) for r in out.collect()) == [(k, k // 5) for k in range(n)]
+
+
+def test_a_list_without_a_total_ends_at_its_short_page(spark, tmp_path):
+    from tessera.sources import pages
+
+    for page, n in ((0, 3), (1, 3), (2, 1), (3, 3)):
+        spark.range(n).selectExpr(f"{page} * 10 + id AS k").coalesce(1).write.json(f"{tmp_path}/page={page}")
+    got = pages.read_pages(spark, str(tmp_path), "k long", 3)
+    assert sorted(r.k for r in got.collect()) == [0, 1, 2, 10, 11, 12, 20]
+    assert sorted(r.k for r in got.where("page < 2 AND page > 0").collect()) == [10, 11, 12]
+
+
+def test_many_pages_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    from tessera.sources import pages
+
+    reader = pages.PageReader(spark.range(0).schema, {"path": str(tmp_path), "pagesize": "500"})
+    monkeypatch.setattr(pages, "total_of", lambda path: 54_000_001)
+    runs = reader.partitions()
+    assert len(runs) == pages.TASKS and [p for r in runs for p in range(r.first, r.end)] == list(range(108_001))
