@@ -12,6 +12,8 @@ inputs and tests.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +73,24 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
+#: Distinct texts, and characters in them, whose references are broadcast to the rows; beyond it the join shuffles.
+TEXTS_SENT, CHARS_SENT = 50_000, 16 << 20
+
+
+def once(rows: DataFrame, on: dict[str, Column], find: Callable[[DataFrame], DataFrame], out: str = "refs") -> DataFrame:
+    """The rows with what `find` says of the columns in `on`, where each combination of their values is read once, however many rows have
+    it: reading a text costs a thousand times what comparing it does. If most rows' values are their own, all are read as they are."""
+    keyed = rows.withColumns(on)
+    each = keyed.select(*on).distinct()
+    n, chars = each.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(F.length(c.cast("string")), F.lit(0)) for c in map(F.col, on)), F.lit(0))), F.lit(0))).first()
+    if 2 * n > rows.count():
+        return find(spread(keyed)).drop(*on)
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    found = find(each.repartition(tasks)).withColumnsRenamed({c: f"_{c}" for c in on})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on))
+    return keyed.join(F.broadcast(found) if n <= TEXTS_SENT and chars <= CHARS_SENT else found, same).select(*rows.columns, out)
+
+
 def spans(kinds: Column, form: str) -> Column:
     """array of (at, kinds): where the matches of a form begin, from 1, and their letters."""
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,kinds:string>>").alias("out"))

@@ -25,7 +25,7 @@ def article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(
         F.lit("제"), s(k % 90 + 200), F.lit(" 조의 "), s(F.col("o_custkey") % 8 + 2), F.lit("제"), s(k % 5 + 1), F.lit("항 제"), s(k % 3 + 1), F.lit("호 및 제"), s(k % 40 + 1), F.lit("조부터 제"), s(k % 40 + 1 + k % 4), F.lit("조까지의 규정에 따라")
     )
-    rows = cit.article_refs(cit.spread(table(spark, sf_dir, "orders")), said, "r")
+    rows = cit.once(table(spark, sf_dir, "orders"), {"said": said}, lambda d: cit.article_refs(d, "said", "r"), "r")
     unit = F.filter("r", lambda x: x.paragraph.isNotNull())[0]
     return rows.select("o_orderkey", F.array_join(F.transform("r", lambda x: x.key), ",").alias("keys"), F.concat_ws(".", unit.paragraph, unit.item).alias("units"))
 
@@ -48,7 +48,7 @@ def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level"), F.lit("시험법").alias("root"))
     family = F.array(F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level")), F.struct(F.lit("시험법 시행령").alias("name"), F.lit("시행령").alias("level")))
     order = F.transform(F.sequence(F.lit(1), F.lit(41)), lambda x: x.cast("string"))
-    found = cit.law_refs(cit.spread(table(spark, sf_dir, "orders")), said, law, s(k % 40 + 1), order, family)
+    found = cit.once(table(spark, sf_dir, "orders"), {"said": said, "article": s(k % 40 + 1)}, lambda d: cit.law_refs(d, "said", law, F.col("article"), order, family))
     rows = found.select("o_orderkey", F.posexplode("refs").alias("place", "r"))
     return rows.select("o_orderkey", (F.col("place") + 1).alias("place"), "r.type", "r.target", F.array_join("r.articles", ",").alias("articles"), "r.status", "r.confidence")
 
@@ -65,7 +65,7 @@ def named_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(
         F.lit("판결은 민법 제"), s(k % 700 + 1), F.lit("조, 제"), s(k % 700 + 3), F.lit("조와 형법 제9조를 든다. 또한 상가건물 임대차보호법 제"), s(F.col("o_custkey") % 20 + 1), F.lit("조의2 제1항을 본다.\n제77조")
     )
-    found = cit.named_refs(cit.spread(table(spark, sf_dir, "orders")), said, F.array(F.lit("민법"), F.lit("상가건물 임대차보호법")))
+    found = cit.once(table(spark, sf_dir, "orders"), {"said": said}, lambda d: cit.named_refs(d, "said", F.array(F.lit("민법"), F.lit("상가건물 임대차보호법"))))
     return found.select("o_orderkey", F.explode("refs").alias("r")).select("o_orderkey", "r.law", "r.key")
 
 
@@ -79,7 +79,7 @@ def structured_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("민법 제"), (k % 50 + 1).cast("string"), F.lit("조 / 상법 제"), (F.col("o_custkey") % 50 + 1).cast("string"), F.lit("조"))
     s = F.col("o_orderstatus")
     body = F.when(s == "F", F.to_json(F.struct(said.alias("참조조문")))).when(s == "O", F.to_json(F.struct(F.lit(" ").alias("참조조문"), said.alias("관계법령")))).otherwise('{"other": "민법 제1조"}')
-    found = cit.named_refs(cit.spread(table(spark, sf_dir, "orders")), st.field_text(body, ("참조조문", "관계법령")), F.array(F.lit("민법"), F.lit("상법")))
+    found = cit.once(table(spark, sf_dir, "orders"), {"said": st.field_text(body, ("참조조문", "관계법령"))}, lambda d: cit.named_refs(d, "said", F.array(F.lit("민법"), F.lit("상법"))))
     return found.select("o_orderkey", F.explode("refs").alias("r")).select("o_orderkey", "r.law", "r.key")
 
 

@@ -232,7 +232,7 @@ def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level"), F.lit("시험법").alias("root"))
     family = F.array(F.struct(F.lit("시험법").alias("name"), F.lit("법").alias("level")), F.struct(F.lit("시험법 시행령").alias("name"), F.lit("시행령").alias("level")))
     order = F.transform(F.sequence(F.lit(1), F.lit(41)), lambda x: x.cast("string"))
-    found = cit.law_refs(cit.spread(table(spark, sf_dir, "orders")), sentence, law, (key % 40 + 1).cast("string"), order, family)
+    found = cit.once(table(spark, sf_dir, "orders"), {"said": sentence, "article": (key % 40 + 1).cast("string")}, lambda d: cit.law_refs(d, "said", law, F.col("article"), order, family))
     rows = found.select("o_orderkey", F.explode("refs").alias("r"))
     return rows.select("o_orderkey", "r.type", "r.target", F.array_join("r.articles", ",").alias("articles"), "r.status", "r.confidence")
 

@@ -60,3 +60,21 @@ def test_noise_names_equal_the_parser(spark):
     names = [" ".join(r.choice(words) for _ in range(r.randint(0, 5))) for _ in range(400)]
     got = spark.createDataFrame([(n,) for n in names], "name string").select("name", cit.is_noise_name(F.col("name")).alias("noise")).collect()
     assert all(x.noise == rf.is_noise_name(x["name"]) for x in got)
+
+
+def test_each_text_is_read_once(spark, monkeypatch):
+    said = ["제1조 및 제2조", "민법 제7조", None, "", "제1조 및 제2조"]
+    rows = spark.createDataFrame([(k, said[k % 5], k % 2) for k in range(200)], "n long, t string, other int")
+    read = []
+
+    def find(d):
+        read.append(d.count())
+        return cit.article_refs(d, "said")
+
+    want = {k: [r["key"] for r in rf.article_refs(said[k % 5])] for k in range(200)}
+    for most in (cit.TEXTS_SENT, 0):  # by broadcast, then by shuffle
+        monkeypatch.setattr(cit, "TEXTS_SENT", most)
+        got = cit.once(rows, {"said": F.col("t")}, find)
+        assert got.columns == ["n", "t", "other", "refs"] and {r.n: [x["key"] for x in r.refs] for r in got.collect()} == want
+    own = cit.once(rows, {"said": F.concat(F.coalesce("t", F.lit("")), F.lit(" "), F.col("n"))}, find)
+    assert own.count() == 200 and read == [4, 4, 200]
