@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.retrieval import dealt
+
 
 def with_endpoint(edges: DataFrame, nodes: DataFrame, column: str, key: str = "id") -> DataFrame:
     """Edges whose end is a known node."""
@@ -31,10 +33,13 @@ def named_neighbours(rows: DataFrame, key: str, name: str, alias: str, most: int
 
 def shared_neighbours(links: DataFrame, node: str, middle: str) -> DataFrame:
     """source, target, shared: every pair of nodes (source < target) that link to a common middle node, with the number of those."""
-    once = links.select(F.col(node).alias("_n"), F.col(middle).alias("_m")).distinct()
+    links = links.select(F.col(node).alias("_n"), F.col(middle).alias("_m"))
+    once = dealt(links, links.count(), "_m").distinct()
+    degrees = once.where("_n IS NOT NULL AND _m IS NOT NULL").groupBy("_m").agg(F.count("*").alias("n"))
+    n = degrees.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0))).first()[0]
     a, b = once.alias("a"), once.alias("b")
-    pairs = a.join(b, F.expr("a._m = b._m AND a._n < b._n"))
-    return pairs.groupBy(F.col("a._n").alias("source"), F.col("b._n").alias("target")).agg(F.count("*").alias("shared"))
+    pairs = a.join(b, F.expr("a._m = b._m AND a._n < b._n")).select(F.col("a._n").alias("source"), F.col("b._n").alias("target"))
+    return dealt(pairs, n, "source", "target").groupBy("source", "target").agg(F.count("*").alias("shared"))
 
 
 #: Nodes around one middle node from which on they are dealt out over several tasks.

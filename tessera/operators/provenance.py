@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import filled
+from tessera.operators.retrieval import dealt
 
 
 def merge_sources(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -77,7 +78,7 @@ def best_match(candidates: DataFrame, group: str, name: Column, wanted: Column,
     tight = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""))
     tier = F.when(tight(name) == tight(wanted), 0).when(F.contains(tight(name), tight(wanted)), 1).otherwise(2)
     rest = [c for c in candidates.columns if c != group]
-    rows = candidates.withColumn("tier", tier)
+    rows = dealt(candidates, candidates.count(), group).withColumn("tier", tier)
     return rows.groupBy(group).agg(F.min_by(F.struct(*rest, "tier"), F.struct("tier", order)).alias("_r")).select(group, *[F.col(f"_r.{c}").alias(c) for c in (*rest, "tier")])
 
 

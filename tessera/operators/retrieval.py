@@ -24,6 +24,17 @@ def small(df: DataFrame, rows: int = QUERY_LIMIT) -> DataFrame:
     return F.broadcast(df) if few(df, rows) else df
 
 
+#: Rows that one task groups or sorts.
+TASK_ROWS = 1 << 21
+
+
+def dealt(rows: DataFrame, n: int, *keys: str, each: int | None = None) -> DataFrame:
+    """The rows by their keys in as many partitions as n rows, `each` to a task, ask for, so that a task's share doesn't grow with the input.
+    What groups or joins by these keys, or by more, needs no other shuffle."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n // (each or TASK_ROWS))), *keys)
+
+
 def as_doubles(vector: str) -> Column:
     return F.transform(vector, lambda x: x.cast("double"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -349,3 +350,21 @@ def test_many_pages_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pages, "total_of", lambda path: 54_000_001)
     runs = reader.partitions()
     assert len(runs) == pages.TASKS and [p for r in runs for p in range(r.first, r.end)] == list(range(108_001))
+
+
+def test_a_tasks_share_does_not_grow(spark, monkeypatch):
+    from tessera.operators import retrieval as rt
+
+    rows = spark.range(3000).selectExpr("id % 100 AS k", "id AS v")
+    monkeypatch.setattr(rt, "TASK_ROWS", 50)
+    parts = rt.dealt(rows, rows.count(), "k")
+    assert parts.rdd.getNumPartitions() == 60 and parts.groupBy("k").count().count() == 100
+
+    def tasks(df):
+        return [int(n) for n in re.findall(r"hashpartitioning\([^)]*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+
+    links = spark.range(400).selectExpr("id % 40 AS n", "id % 10 AS m")
+    shared = gr.shared_neighbours(links, "n", "m")  # 10 middle nodes of 4 nodes each: 60 pairs
+    assert shared.count() == 60 and {r.shared for r in shared.collect()} == {1} and set(tasks(shared)) == {8, 4}
+    best = pv.best_match(rows.selectExpr("k", "v", "concat('a', v) AS name"), "k", F.col("name"), F.lit("a150"), "v")
+    assert set(tasks(best)) == {60} and {r.k: r.v for r in best.collect()} == {k: 150 if k == 50 else 1500 + k if k < 10 else k for k in range(100)}
