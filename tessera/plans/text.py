@@ -195,13 +195,13 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c.doc_id, i AS chunk_index, length(trim(substr(t, b + 1, e - b))) AS n_chars, md5(trim(substr(t, b + 1, e - b))) AS digest FROM c JOIN full_d f ON f.doc_id = c.doc_id""",
 )
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sq.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    d = sq.chunk_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 @query("fn7_structured_chunks", "FN6 FN7")
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sq.chunks(F.col("text"), structured=True)).alias("chunk_index", "chunk"))
+    d = sq.chunk_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", structured=True)
     return d.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 

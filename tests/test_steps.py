@@ -368,3 +368,16 @@ def test_a_tasks_share_does_not_grow(spark, monkeypatch):
     assert shared.count() == 60 and {r.shared for r in shared.collect()} == {1} and set(tasks(shared)) == {8, 4}
     best = pv.best_match(rows.selectExpr("k", "v", "concat('a', v) AS name"), "k", F.col("name"), F.lit("a150"), "v")
     assert set(tasks(best)) == {60} and {r.k: r.v for r in best.collect()} == {k: 150 if k == 50 else 1500 + k if k < 10 else k for k in range(100)}
+
+
+def test_chunks_leave_a_few_texts_at_a_time(spark):
+    from tessera.functions import sequential as sq
+
+    texts = [None, "", "a short one"] + [f"line {k} of words\n" * (40 * k) for k in range(1, 9)]
+    rows = spark.createDataFrame([(k, texts[k % len(texts)], "x") for k in range(300)], "doc_id long, text string, other string")
+    for structured, cut in ((True, sq.structured_chunks), (False, sq.window_chunks)):
+        got = sq.chunk_rows(rows, "text", structured=structured)
+        want = {(k, "x", i, c) for k in range(300) for i, c in enumerate(cut(texts[k % len(texts)]))}
+        assert got.columns == ["doc_id", "other", "chunk_index", "chunk"] and {tuple(r) for r in got.collect()} == want
+    for name in ("fn6_chunks", "fn7_structured_chunks"):  # no column of whole batches of texts and of all their chunks
+        assert "ArrowEvalPython" not in catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
