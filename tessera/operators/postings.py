@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import K1, B, few, tokens
+from tessera.functions.citations import let
+from tessera.operators.retrieval import K1, TASK_ROWS, B, dealt, few, tokens
 
 RANGE_DOCS = 1024
 BUCKETS = 64
@@ -36,23 +37,26 @@ class Postings:
     @classmethod
     def build(cls, corpus: DataFrame, path: str, id_col: str = "source_id", text: str = "text", range_docs: int = RANGE_DOCS, buckets: int = BUCKETS, k1: float = K1, b: float = B) -> Postings:
         spark = corpus.sparkSession
-        docs = corpus.select(F.col(id_col).alias("source_id"), tokens(F.coalesce(text, F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+        docs = corpus.select(F.col(id_col).alias("source_id"), F.array_sort(tokens(F.coalesce(text, F.lit("")))).alias("w")).withColumn("dl", F.size("w"))
         docs.write.parquet(f"{path}/tokens")
         docs = spark.read.parquet(f"{path}/tokens")
-        docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.parquet(f"{path}/size")
+        docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.parquet(f"{path}/size")
         size = spark.read.parquet(f"{path}/size").first()
         # documents of like length share a partition; within it the hash of the id deals them out over ranges
-        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size.n // range_docs))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(max(least, size.words // TASK_ROWS), size.n // range_docs))
         each = -(-size.n // (parts * range_docs)) or 1
         ranged = docs.repartitionByRange(parts, "dl", "source_id").withColumn("range", F.spark_partition_id() * F.lit(each).cast("long") + F.pmod(F.xxhash64("source_id"), F.lit(each)))
-        words = ranged.select("range", "source_id", "dl", F.explode("w").alias("term"))
-        tf = words.groupBy("term", "range", "source_id", "dl").agg(F.count("*").alias("tf"))
+        # equal words stand side by side, so a document counts its own
+        heads = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+        counts = let(heads, lambda h: F.transform(h, lambda x, i: F.struct(F.get("w", x).alias("term"), (F.coalesce(F.get(h, i + 1), F.col("dl")) - x).alias("tf"))))
+        tf = dealt(ranged.where("dl > 0").select("range", "source_id", "dl", F.inline(counts)), size.words, "term", "range")
         part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(size.avgdl)))
         blocks = tf.withColumn("part", part).groupBy("term", "range").agg(
             F.count("*").alias("n"), F.max("part").alias("top"), F.sort_array(F.collect_list(F.struct("source_id", "part"))).alias("postings")
         )  # at most the documents of one range
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        blocks.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.col("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+        blocks.withColumn("bucket", bucket).repartition(max(least, size.words // TASK_ROWS), "bucket", F.pmod(F.col("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
         return cls(spark, path, k1, b)
 
     def blocks(self, terms: DataFrame) -> DataFrame:

@@ -383,6 +383,26 @@ def test_chunks_leave_a_few_texts_at_a_time(spark):
         assert "ArrowEvalPython" not in catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_of_more_words_have_more_tasks(spark, tmp_path, monkeypatch):
+    from tessera.operators import postings as po
+
+    docs = spark.range(200).selectExpr("cast(id AS string) AS source_id", "concat_ws(' ', 'w', 'w', concat('v', id % 7), concat('u', id % 50)) AS text")
+    seen = []
+
+    def spied(rows, n, *keys):
+        out = rt.dealt(rows, n, *keys)
+        seen.append((n, out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(po, "dealt", spied)
+    for each in (rt.TASK_ROWS, 100):
+        monkeypatch.setattr(rt, "TASK_ROWS", each), monkeypatch.setattr(po, "TASK_ROWS", each)
+        index = Postings.build(docs, str(tmp_path / f"index{each}"), range_docs=8)
+        terms = spark.createDataFrame([("q", "w"), ("q", "v3"), ("q", "u9")], "query_id string, term string")
+        assert sorted(map(tuple, index.search(terms, 9)[0].select("source_id", "score").collect())) == sorted(map(tuple, rt.keyword_top(docs, terms, 9).select("source_id", "score").collect()))
+    assert seen == [(800, 4), (800, 8)]
+
+
 def test_index_serves_queries_in_blocks(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     rows = [(str(k), [rng.gauss(0, 1) for _ in range(8)]) for k in range(500)]
