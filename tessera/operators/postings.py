@@ -56,7 +56,8 @@ class Postings:
             F.count("*").alias("n"), F.max("part").alias("top"), F.sort_array(F.collect_list(F.struct("source_id", "part"))).alias("postings")
         )  # at most the documents of one range
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        blocks.withColumn("bucket", bucket).repartition(max(least, size.words // TASK_ROWS), "bucket", F.pmod(F.col("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+        many = [n] if (n := size.words // TASK_ROWS) > least else []  # a small index is left to be joined into few files
+        blocks.withColumn("bucket", bucket).repartition(*many, "bucket", F.pmod(F.col("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
         return cls(spark, path, k1, b)
 
     def blocks(self, terms: DataFrame) -> DataFrame:
