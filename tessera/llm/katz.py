@@ -89,12 +89,14 @@ class Level:
     """What is known of one level from its counts in all training texts."""
 
     def __init__(self, hist: list[int]):
-        self.d = np.array([1.0, *discounts(hist)])
-        self.k = len(self.d) - 1
+        self.d = np.array([1.0, *discounts(hist), 1.0])  # of 0, 1 to k, and all above
+        self.k = len(self.d) - 2
 
     def mass(self, counts: np.ndarray) -> np.ndarray:
         """d(c) * c"""
-        return counts * np.where(counts <= self.k, self.d[np.minimum(counts, self.k)], 1.0)
+        out = self.d[np.minimum(counts, self.k + 1)]
+        out *= counts
+        return out
 
     def taken(self, hist: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """The sum of d(c) * c over n-grams: hist, how many of count 1 to K a row; rest, the sum of the greater counts."""
@@ -126,10 +128,11 @@ def to_blocks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: s
             hashes = [xxhash.xxh3_64_intdigest(x) for x in w.names.to_pylist()]
             names = np.array([*hashes, END, BEGIN], _U)
             sizes = w.counts + 1
-            codes = np.insert(w.codes.astype(np.int64), np.cumsum(w.counts), len(hashes))
+            codes = np.insert(w.codes, np.cumsum(w.counts), len(hashes))
+            del w
             times = np.bincount(codes, minlength=len(names))
             order = np.argsort(-times, kind="stable")
-            code = np.empty(len(names), np.int64)
+            code = np.empty(len(names), np.int32)
             code[order] = np.arange(len(names))
             codes, names = code[codes], names[order]
             seen = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(names))
@@ -144,6 +147,12 @@ def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _dicts(table: pa.Table) -> list[dict]:
+    """The rows; binary values are views of the table's buffers, not copies."""
+    columns = [[x.as_buffer() for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in table.columns]
+    return [dict(zip(table.column_names, values, strict=True)) for values in zip(*columns, strict=True)]
+
+
 def _cuts(part: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     """(part, from, to) of the parts that sorted rows have."""
     at = np.searchsorted(part, np.arange(parts + 1))
@@ -158,11 +167,11 @@ def _word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32, all first bytes, then all second ones ...: the later ones are mostly zero."""
-    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int32)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
 
 def to_slim(blocks: DataFrame, parts: int) -> DataFrame:
@@ -204,7 +213,7 @@ def count_words(parts: int) -> Callable[[pa.Table], pa.Table]:
     schema = to_arrow_schema(COUNTED)
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
+        rows = _dicts(rows)
         part = rows[0]["part"]
         keys = [np.frombuffer(r["keys"], _U) for r in rows]
         words, inv = np.unique(np.concatenate(keys), return_inverse=True)
@@ -229,7 +238,8 @@ class Block:
 
     At level k, gram[i] is the number of the k-gram that ends at token i (-1 where the text has no k tokens up to there, its begin
     counted as one); of the distinct ones, ctx is the number of the (k-1)-gram before the last word, word that word, `at` a token
-    where it ends.
+    where it ends, p its probability. What has an entry a token is in 32 bits, and the floating numbers are those of distinct n-grams,
+    so that a block takes a small multiple of its text.
     """
 
     def __init__(self, row: dict, answers: dict[int, list[dict]], parts: list[int], levels: list[Level], limits: list[int]):
@@ -241,13 +251,15 @@ class Block:
         self.count, self.id = [self._restore(order, answers[1], "counts")], [self._restore(order, answers[1], "ids")]
         self.begin = row["begin"]
         self.ctx, self.word, self.at = [None], [np.arange(len(order))], [None]
-        self.p = levels[0].probability(self.count[0])[code]  # of each token at the highest level so far
-        self.lower = None
+        self.p = [levels[0].probability(self.count[0])]
 
     @staticmethod
     def _restore(order: np.ndarray, rows: list[dict], name: str) -> np.ndarray:
-        out = np.empty(len(order), np.int64)
-        out[order] = np.concatenate([unpack(r[name]) for r in sorted(rows, key=lambda r: r["part"])])
+        out, a = np.empty(len(order), np.int64), 0
+        for r in sorted(rows, key=lambda r: r["part"]):
+            values = unpack(r[name])
+            out[order[a : a + len(values)]] = values
+            a += len(values)
         return out
 
     def climb(self, parts: int) -> None:
@@ -256,34 +268,41 @@ class Block:
         before = np.empty_like(self.gram[-1])
         before[1:] = self.gram[-1][:-1]
         before[self.begins] = self.begin if k == 2 else -1
-        self.valid = before >= 0
         width = len(self.count[0])
-        ends = np.flatnonzero(self.valid)
-        key = before[ends] * np.int64(width) + self.word_of[ends]
+        ends = np.flatnonzero(before >= 0).astype(np.int32)
+        key = before[ends] * np.int64(width)
+        key += self.word_of[ends]
+        del before
         order = np.argsort(key)
-        key = key[order]
+        key, ends = key[order], ends[order]
+        del order
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-        gram = np.full(len(before), -1, np.int32)
-        gram[ends[order]] = np.cumsum(new, dtype=np.int32) - 1
-        key, at = key[new], ends[order[new]]
-        del before, ends, order, new
-        ctx, word = np.divmod(key, width)
+        gram = np.full(len(self.word_of), -1, np.int32)
+        gram[ends] = np.cumsum(new, dtype=np.int32) - 1
+        key, at = key[new], ends[new]
+        del ends, new
+        ctx = (key // width).astype(np.int32)
+        word = (key - ctx * np.int64(width)).astype(np.int32)
+        del key
         own, total = self.id[-1][ctx], self.count[-1][ctx]
         self.hot = total > self.limits[k - 2]
+        del total
         mixed = mix64(own.astype(_U))
         part = np.where(self.hot, mix64(mixed + self.id[0][word].astype(_U)), mixed) % _U(parts)
-        self.part = part.astype(np.int64)
+        self.part = part.astype(np.int32)
+        del mixed, part
         self.order = np.lexsort((self.id[0][word], own, self.part))
         self.gram.append(gram), self.ctx.append(ctx), self.word.append(word), self.at.append(at)
 
     def requests(self, train: np.ndarray, parts: int) -> list[dict]:
         ctx, word, at, o = self.ctx[-1], self.word[-1], self.at[-1], self.order
-        seen = np.bincount(self.gram[-1][self.valid & train], minlength=len(ctx))[o]
+        seen = np.bincount(self.gram[-1][(self.gram[-1] >= 0) & train], minlength=len(ctx))[o]
         suffix = self.gram[-2][at]
         lower = self.count[-1][suffix][o]
         under = self.count[-2][self.ctx[-2][suffix]][o] if len(self.count) > 1 else None
         full = self.full[suffix][o] if len(self.count) > 1 else None
-        own, w, hot = self.id[-1][ctx][o], self.id[0][word][o], self.hot[o]
+        del suffix
+        own, w, hot = self.id[-1][ctx[o]], self.id[0][word[o]], self.hot[o]
         out = []
         for p, a, b in _cuts(self.part[o], parts):
             first = np.concatenate(([True], own[a + 1 : b] != own[a : b - 1]))
@@ -296,38 +315,54 @@ class Block:
 
     def take(self, rows: list[dict], level: Level, large: dict[int, tuple], last: bool) -> None:
         """Counts, weights and probabilities of the level just numbered, from the answers and the sums of large contexts."""
-        o, part = self.order, self.part[self.order]
+        o, rows = self.order, sorted(rows, key=lambda r: r["part"])
         count = self._restore(o, rows, "counts")
         self.count.append(count)
         self.id.append(None if last else self._restore(o, rows, "ids"))
         # a context's rows stand together within a partition
-        own = self.ctx[-1][o]
+        own, part = self.ctx[-1][o], self.part[o]
         head = np.concatenate(([True], (own[1:] != own[:-1]) | (part[1:] != part[:-1])))
-        group = np.cumsum(head) - 1
-        low = np.concatenate([np.frombuffer(r["low"], np.uint8) for r in sorted(rows, key=lambda r: r["part"])]).astype(np.int64)
+        group = np.cumsum(head, dtype=np.int32) - 1
+        of, hot = own[head], np.flatnonzero(self.hot[o][head])
+        del own, part, head
+        low = np.concatenate([np.frombuffer(r["low"], np.uint8) for r in rows]).astype(np.int64)
         asked = np.zeros(len(low), bool)
         asked[group[count[o] == 0]] = True
-        asked &= low > 0
-        sums = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(rows, key=lambda r: r["part"])])
-        rest = np.concatenate([unpack(r["rest"]).reshape(-1, K + 1) for r in sorted(rows, key=lambda r: r["part"])])
+        asked = np.flatnonzero(asked & (low > 0))
+        back = np.empty(len(o), np.int32)
+        back[o] = group
+        del o, group
+        self.order = self.part = self.hot = None
         shorter, hist = np.zeros(len(low)), np.zeros((len(low), K + 1), np.int64)
-        shorter[asked], hist[asked] = sums, rest
-        of = own[head]
-        for g in np.flatnonzero(self.hot[o][head]):
+        shorter[asked] = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in rows])
+        a = 0
+        for r in rows:
+            rest = unpack(r["rest"]).reshape(-1, K + 1)
+            hist[asked[a : a + len(rest)]] = rest
+            a += len(rest)
+        for g in hot:
             low[g], shorter[g], hist[g] = large[int(self.id[-2][of[g]])]
         total = self.count[-2][of]
         full = (low > level.k) & (low > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = (1 - level.taken(hist[:, :K], hist[:, K]) / (total + full)) / (1 - shorter)
         weight = np.where((total > 0) & (low > 0), weight, 1.0)
-        back = np.empty(len(own), np.int64)
-        back[o] = group
+        del hist, shorter, of
         self.full = full[back]
-        over = total[back] + self.full
+        seen = level.mass(count)
         with np.errstate(divide="ignore", invalid="ignore"):
-            seen = level.mass(count) / over
-        g = self.gram[-1][self.valid]
-        self.p[self.valid] = np.where(count[g] > 0, seen[g], weight[back][g] * self.p[self.valid])
+            seen /= (total + full)[back]
+        backed = weight[back]
+        backed *= self.p[-1][self.gram[-2][self.at[-1]]]
+        self.p.append(np.where(count > 0, seen, backed))
+
+    def logs(self) -> np.ndarray:
+        """The logarithm of each token's probability, at the highest level it has."""
+        out = np.log10(self.p[0])[self.word_of]
+        for gram, p in zip(self.gram[1:], self.p[1:], strict=True):
+            ends = gram >= 0
+            out[ends] = np.log10(p)[gram[ends]]
+        return out
 
 
 def count_grams(parts: int, lower: Level, unigrams: bool, last: bool) -> Callable[[pa.Table], pa.Table]:
@@ -335,7 +370,7 @@ def count_grams(parts: int, lower: Level, unigrams: bool, last: bool) -> Callabl
     schema = to_arrow_schema(COUNTED)
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
+        rows = _dicts(rows)
         part = rows[0]["part"]
         each = [unpack(r["seen"]) for r in rows]
         at = np.cumsum([0, *map(len, each)])
@@ -440,9 +475,9 @@ def _with_answers(blocks: DataFrame, tables: list[DataFrame]):
 
 def _read(left: pa.Table, right: pa.Table, parts: list[int], levels: list[Level], limits: list[int], larges: list[dict], upto: int) -> tuple[dict, Block]:
     """The block with its levels up to `upto`."""
-    row = left.to_pylist()[0]
+    row = _dicts(left)[0]
     answers: dict[int, list[dict]] = {}
-    for r in right.to_pylist():
+    for r in _dicts(right):
         answers.setdefault(r["level"], []).append(r)
     block = Block(row, answers, parts, levels, limits)
     for k in range(2, upto + 1):
@@ -469,11 +504,13 @@ def _scorer(order: int, parts: list[int], levels: list[Level], limits: list[int]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row, block = _read(left, right, parts, levels, limits, larges, order)
-        count = block.count[0][block.word_of]
         n, types = levels[0].tokens, levels[0].types
-        base = np.log10((count + 0.1) / (n + 0.1 * (types + 1)))
-        add = lambda x: np.add.reduceat(x, block.begins)  # noqa: E731  every text has a token
-        columns = [row["doc_ids"], row["held"], block.sizes, add((count > 0).astype(np.int64)), np.full(len(block.sizes), n), add(base), add(np.log10(block.p))]
+        times, of, begins, sizes = block.count[0], block.word_of, block.begins, block.sizes
+        add = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has a token
+        best = add(block.logs())
+        del block
+        base = np.log10((times + 0.1) / (n + 0.1 * (types + 1)))
+        columns = [row["doc_ids"], row["held"], sizes, np.add.reduceat((times > 0)[of], begins, dtype=np.int64), np.full(len(sizes), n), add(base[of]), best]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run

@@ -126,3 +126,34 @@ def test_query_scores_held_out_texts_better_than_the_base(spark):
     assert (got.set_index("doc_id").held_out == fold).all() and 0 < fold.sum() < len(fold)
     out = got[got.held_out]
     assert (got.score <= 0).all() and np.isfinite(got.score).all() and out.score.sum() > out.base_score.sum()
+
+
+def test_a_block_takes_a_small_multiple_of_its_tokens(spark, monkeypatch, tmp_path):
+    """Memory of the steps that hold a whole block: 62 bytes a token of these texts before, now 36."""
+
+    def measured(make, name):
+        def made(*args):
+            run = make(*args)
+
+            def traced(left, right):
+                import tracemalloc
+
+                tracemalloc.start()
+                try:
+                    return run(left, right)
+                finally:
+                    (tmp_path / name).write_text(str(tracemalloc.get_traced_memory()[1]))
+                    tracemalloc.stop()
+
+            return traced
+
+        return made
+
+    monkeypatch.setattr(k, "_asker", measured(k._asker, "asker"))
+    monkeypatch.setattr(k, "_scorer", measured(k._scorer, "scorer"))
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7)) % 20000}" for _ in range(2000)), i % 10 == 0) for i in range(200)]
+    got = k.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").coalesce(1), F.col("held")).collect()
+    tokens_ = sum(x.n_tokens for x in got)
+    peaks = {name: int((tmp_path / name).read_text()) / tokens_ for name in ("asker", "scorer")}
+    assert len(got) == 200 and tokens_ == 400_200 and max(peaks.values()) < 48, peaks
