@@ -167,6 +167,9 @@ class InOrder(StatefulProcessor):
     A request whose turn has not come is held back until the gap closes, or until a timer gives the gap up; what is numbered below the
     next turn was answered or given up, and is dropped. In a terminal state the order is no matter: whatever comes is answered,
     and nothing is held any more.
+
+    Each state variable is one value, read and written once a job and batch, as every access is a request to the engine; a job that
+    has no answer in a batch yields no frame.
     """
 
     def __init__(self, key: str, wait_ms: int | None = None):
@@ -175,9 +178,10 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.at = handle.getValueState("at", "next long, state string")
-        self.held = handle.getListState("held", "seq long, asked string")
+        self.held = handle.getValueState("held", "seq array<long>, asked array<string>")
 
-    def _drain(self, key: str, rows: dict[int, str], following: int, state: str | None) -> pd.DataFrame:
+    def _drain(self, key: str, rows: dict[int, str], following: int, state: str | None, waiting: bool) -> Iterator[pd.DataFrame]:
+        """The answers; afterwards `rows` holds what still waits. `waiting`: something is held in the state."""
         out = []
         while following in rows:
             state, ok = follow(state, rows.pop(following))
@@ -185,17 +189,20 @@ class InOrder(StatefulProcessor):
             following += 1
         if NEXT.get(state) == ():
             out += [(key, seq, state, False) for seq in sorted(rows)]
-            rows = {}
+            rows.clear()
         self.at.update((following, state))
         if rows:
-            self.held.put(sorted(rows.items()))
-        else:
+            self.held.update((list(rows), list(rows.values())))
+        elif waiting:
             self.held.clear()
-        return pd.DataFrame(out, columns=[self.key, "seq", "state", "allowed"])
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "seq", "state", "allowed"])
 
     def _now(self) -> tuple[dict[int, str], int, str | None]:
-        following, state = self.at.get() if self.at.exists() else (1, None)
-        return ({r[0]: r[1] for r in self.held.get()} if self.held.exists() else {}), following, state
+        if (at := self.at.get()) is None:
+            return {}, 1, None
+        held = self.held.get()
+        return dict(zip(*held, strict=True)) if held else {}, at[0], at[1]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held, following, state = self._now()
@@ -204,15 +211,15 @@ class InOrder(StatefulProcessor):
             for seq, asked in zip(part.seq, part.asked, strict=True):
                 if seq >= following:
                     held.setdefault(int(seq), asked)  # a request that comes again is one
-        yield self._drain(key[0], held, following, state)
-        if self.wait_ms and self.held.exists() and not waiting:
+        yield from self._drain(key[0], held, following, state, waiting)
+        if self.wait_ms and held and not waiting:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held, _, state = self._now()
         if held:
-            yield self._drain(key[0], held, min(held), state)
-            if self.held.exists():
+            yield from self._drain(key[0], held, min(held), state, True)
+            if held:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
     def close(self) -> None:

@@ -282,6 +282,34 @@ def test_requests_wait_for_their_turn():
     assert give((3, "running")) == [] and give((9, "queued")) == [("j", 9, "failed", False)]  # given up; after the end
 
 
+def test_a_job_costs_few_requests_to_its_state():
+    import pandas as pd
+
+    from tessera.streaming import events as ev
+
+    calls = []
+
+    class Counted(_Cell):
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "update", "put", "clear"):
+                calls.append(name)
+            return super().__getattribute__(name)
+
+    clock = _Clock()
+    clock.getValueState = clock.getListState = lambda *a: Counted()
+    jobs = ev.InOrder("id")
+    jobs.init(clock)
+    got, costs = [], []
+    for rows in ([(n, "running") for n in range(5, 50)], [(2, "running"), (3, "queued")], [(1, "queued")], [(4, "failed")]):
+        calls.clear()
+        parts = list(jobs.handleInputRows(("j",), iter([pd.DataFrame(rows, columns=["seq", "asked"])]), clock))
+        costs.append(len(calls))
+        got.append([x for part in parts for x in part.itertuples(index=False)])
+        assert all(len(part) for part in parts)  # no frame without answers
+    assert [len(x) for x in got] == [0, 0, 3, 46] and [x.seq for part in got for x in part] == list(range(1, 50))
+    assert costs == [3, 4, 4, 4]  # 4, then 6 when existence was asked for first
+
+
 def test_ordered_states_over_batches_and_a_restart(spark, tmp_path):
     from tessera.streaming import events as ev
 
