@@ -1,8 +1,9 @@
 """A stored inverted index whose posting blocks carry their greatest impact, and keyword search that reads only the blocks it needs.
 
-Building. Documents are sorted by length and cut into ranges of about `range_docs`; a block holds the postings of one term in one range,
-and `top`, the greatest value any of them can give (its BM25 part without idf). The corpus is tokenised once. Blocks lie by buckets
-of terms, sorted by term within a file.
+Building. Each task sorts the documents it reads by length and cuts them into ranges of `range_docs`; a block holds the postings of one term
+in one range (how often a document has the term, and its place in the range: the upper and lower 32 bits), and `top`, the greatest value any of them can give (its BM25
+part without idf). Ids and lengths stand once for each range. Texts are read twice, for the average length and for the blocks; only finished
+blocks are shuffled. They lie by buckets of terms, sorted by term within a file.
 
 Searching. All terms' blocks of one range bound what a document of that range can score. For each query the ranges of greatest bound
 are scored first, which gives a score the result must reach; of the others only ranges whose bound reaches it are scored. So each
@@ -11,12 +12,16 @@ query skips most blocks and loses no document (ties included).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.citations import let
 from tessera.operators.retrieval import K1, TASK_ROWS, B, dealt, few, tokens
 
 RANGE_DOCS = 1024
@@ -25,6 +30,51 @@ BUCKETS = 64
 FIRST = 4
 #: Bounds are sums of the same products in another order; this much may be lost to rounding.
 SLACK = 1e-9
+#: Instead of a bucket, for the rows that hold a range's documents.
+OWNERS = -1
+
+
+def _part(tf, dl, avgdl: float, k1: float, b: float):
+    """A term's BM25 part without idf, for columns and arrays alike."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def _blocks(range_docs: int, k1: float, b: float, avgdl: float):
+    """A task's documents (source_id, w) in ranges of `range_docs`: for each a row with its documents and their lengths, and one for each of its terms."""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                piece = batch.slice(0, range_docs - n)
+                batch, n = batch.slice(piece.num_rows), n + piece.num_rows
+                held.append(piece)
+                if n == range_docs:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, held in enumerate(ranges(batches)):
+            ids, words = held["source_id"].combine_chunks(), held["w"].combine_chunks()
+            n, dl = len(ids), pc.list_value_length(words).to_numpy().astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+            doc, starts = key % n, np.flatnonzero(np.diff(key // n, prepend=-1))
+            m = len(starts)
+            top = np.maximum.reduceat(_part(tf, dl[doc], avgdl, k1, b), starts) if m else np.zeros(0)
+            top = np.nextafter(np.append(top, 0).astype(np.float32), np.float32(np.inf))  # never below the value itself
+            # the last row is the range's own
+            spans = pa.array(np.r_[starts, len(key), len(key)], pa.int32())
+            own = pa.array(np.append(np.zeros(m + 1, int), n), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.full(m + 1, first + k)), pa.array(top),
+                pa.ListArray.from_arrays(spans, pa.array(doc | tf << 32)), pa.ListArray.from_arrays(own, ids), pa.ListArray.from_arrays(own, pa.array(dl, pa.int32())),
+            ], ["term", "range", "top", "postings", "ids", "lengths"])
+
+    return build
 
 
 @dataclass(frozen=True)
@@ -37,32 +87,25 @@ class Postings:
     @classmethod
     def build(cls, corpus: DataFrame, path: str, id_col: str = "source_id", text: str = "text", range_docs: int = RANGE_DOCS, buckets: int = BUCKETS, k1: float = K1, b: float = B) -> Postings:
         spark = corpus.sparkSession
-        docs = corpus.select(F.col(id_col).alias("source_id"), F.array_sort(tokens(F.coalesce(text, F.lit("")))).alias("w")).withColumn("dl", F.size("w"))
-        docs.write.parquet(f"{path}/tokens")
-        docs = spark.read.parquet(f"{path}/tokens")
-        docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.parquet(f"{path}/size")
+        docs = corpus.select(F.col(id_col).alias("source_id"), F.coalesce(text, F.lit("")).alias("text"))
+        dl = F.size(tokens(F.col("text")))
+        docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(dl), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum(dl), F.lit(0)).alias("words")).write.parquet(f"{path}/size")
         size = spark.read.parquet(f"{path}/size").first()
-        # documents of like length share a partition; within it the hash of the id deals them out over ranges
-        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(max(least, size.words // TASK_ROWS), size.n // range_docs))
-        each = -(-size.n // (parts * range_docs)) or 1
-        ranged = docs.repartitionByRange(parts, "dl", "source_id").withColumn("range", F.spark_partition_id() * F.lit(each).cast("long") + F.pmod(F.xxhash64("source_id"), F.lit(each)))
-        # equal words stand side by side, so a document counts its own
-        heads = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-        counts = let(heads, lambda h: F.transform(h, lambda x, i: F.struct(F.get("w", x).alias("term"), (F.coalesce(F.get(h, i + 1), F.col("dl")) - x).alias("tf"))))
-        tf = dealt(ranged.where("dl > 0").select("range", "source_id", "dl", F.inline(counts)), size.words, "term", "range")
-        part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(size.avgdl)))
-        blocks = tf.withColumn("part", part).groupBy("term", "range").agg(
-            F.count("*").alias("n"), F.max("part").alias("top"), F.sort_array(F.collect_list(F.struct("source_id", "part"))).alias("postings")
-        )  # at most the documents of one range
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        many = [n] if (n := size.words // TASK_ROWS) > least else []  # a small index is left to be joined into few files
-        blocks.withColumn("bucket", bucket).repartition(*many, "bucket", F.pmod(F.col("range"), F.lit(parts))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+        # documents stay in the task that reads them; ranges are cut from its documents of like length
+        sized = docs.sortWithinPartitions(F.length("text"), "source_id", "text").select("source_id", tokens(F.col("text")).alias("w"))
+        kind = docs.schema["source_id"].dataType.simpleString()
+        made = sized.mapInArrow(_blocks(range_docs, k1, b, size.avgdl), f"term string, range long, top float, postings array<long>, ids array<{kind}>, lengths array<int>")
+        hashed = F.xxhash64(F.coalesce("term", F.col("range").cast("string")))
+        subs = -(-8 * size.words // (TASK_ROWS * buckets)) or 1  # a large index has about eight keys for each task, so that they get like shares
+        rows = dealt(made, size.words, F.pmod(hashed, F.lit(buckets)), F.pmod(F.xxhash64("range"), F.lit(subs)))
+        bucket = F.when(F.col("term").isNull(), OWNERS).otherwise(F.pmod(hashed, F.lit(buckets))).cast("int")
+        rows = rows.withColumns({"n": F.size("postings").cast("long"), "bucket": bucket})
+        rows.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
         return cls(spark, path, k1, b)
 
     def blocks(self, terms: DataFrame) -> DataFrame:
         """Blocks of the distinct terms; only their buckets are read."""
-        named = self.spark.read.parquet(f"{self.path}/blocks")
+        named = self.spark.read.parquet(f"{self.path}/blocks").where(F.col("bucket") != OWNERS)
         return named.join(F.broadcast(terms) if few(terms) else terms, "term", "left_semi")
 
     def search(self, terms: DataFrame, top: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +113,7 @@ class Postings:
         blocks its terms have and how many were scored (query_id, n_blocks, n_read)."""
         wanted = terms.select("query_id", "term").distinct()
         size = self.spark.read.parquet(f"{self.path}/size").first()
-        heads = self.blocks(wanted.select("term").distinct()).select("term", "range", "n", "top", "bucket").cache()
+        heads = self.blocks(wanted.select("term").distinct()).select("term", "range", "n", "top").cache()
         idf = heads.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.log(1 + (size.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         asked = wanted.join(idf, "term").cache()
         sent = F.broadcast(asked) if few(asked) else asked
@@ -91,6 +134,13 @@ class Postings:
     def _scored(self, asked: DataFrame, ranges: DataFrame) -> DataFrame:
         """query_id, source_id, score of all documents in the query's ranges."""
         spots = asked.join(ranges.select("query_id", "range"), "query_id")
-        blocks = self.spark.read.parquet(f"{self.path}/blocks").select("term", "range", "postings")
-        met = blocks.join(F.broadcast(spots) if few(spots, 100_000) else spots, ["term", "range"]).select("query_id", "idf", F.explode("postings").alias("p"))
-        return met.groupBy("query_id", F.col("p.source_id").alias("source_id")).agg(F.round(F.sum(F.col("idf") * F.col("p.part")), 9).alias("score"))
+        stored = self.spark.read.parquet(f"{self.path}/blocks")
+        blocks = stored.where(F.col("bucket") != OWNERS).select("term", "range", "postings")
+        owners = stored.where(F.col("bucket") == OWNERS).select("range", "ids", "lengths")
+        met = blocks.join(F.broadcast(spots) if few(spots, 100_000) else spots, ["term", "range"]).join(owners, "range")
+        met = met.select("query_id", "idf", "ids", "lengths", F.explode("postings").alias("p"))
+        size = self.spark.read.parquet(f"{self.path}/size").first()
+        doc = F.col("p").bitwiseAND(0xFFFFFFFF).cast("int")
+        part = _part(F.shiftright("p", 32), F.get("lengths", doc), size.avgdl, self.k1, self.b)
+        met = met.select("query_id", "idf", F.get("ids", doc).alias("source_id"), part.alias("part"))
+        return met.groupBy("query_id", "source_id").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))

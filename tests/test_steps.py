@@ -441,3 +441,28 @@ def test_index_serves_queries_in_blocks(spark, tmp_path, monkeypatch):
     assert len(want) == 25 * 5
     monkeypatch.setattr(vi, "QUERIES", 4), monkeypatch.setattr(vi, "SCANNED", 7), monkeypatch.setattr(vi, "OUT_ROWS", 11)
     assert sorted(map(tuple, index.search(queries, 5, 0.5, rerank=40).select("query_id", "source_id", "rank").collect())) == want
+
+
+def shuffled(spark, since=-1):
+    """(last stage, rows written to shuffles by the stages after `since`)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    rows = [(stages.apply(k).stageId(), stages.apply(k).shuffleWriteRecords()) for k in range(stages.size())]
+    return max((k for k, _ in rows), default=since), sum(n for k, n in rows if k > since)
+
+
+def test_postings_shuffle_finished_blocks_only(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(f"d{k:03}", " ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 200)))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "source_id string, text string").coalesce(2)
+    since, _ = shuffled(spark)
+    index = Postings.build(docs, str(tmp_path / "index"), range_docs=40)
+    made = index.blocks(spark.createDataFrame([(f"w{k}",) for k in range(31)], "term string"))
+    assert made.agg(F.sum("n")).first()[0] == sum(len(set(t.split())) for _, t in rows) and made.count() <= 31 * 10
+    _, n = shuffled(spark, since)
+    assert n < 400  # neither documents nor their postings: 310 blocks, 10 ranges, a few counts
+    assert {p.name for p in (tmp_path / "index").iterdir()} == {"blocks", "size"}  # nor a copy of the words
+    terms = spark.createDataFrame([("q1", "w1"), ("q1", "w2"), ("q2", "w30"), ("q3", "none")], "query_id string, term string")
+    for top in (3, 500):
+        assert sorted(map(tuple, index.search(terms, top)[0].select("query_id", "source_id", "score", "rank").collect())) == sorted(map(tuple, rt.keyword_top(docs, terms, top).select("query_id", "source_id", "score", "rank").collect()))
