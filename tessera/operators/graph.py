@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import dealt
@@ -31,15 +34,61 @@ def named_neighbours(rows: DataFrame, key: str, name: str, alias: str, most: int
     return first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias(alias))
 
 
+@contextmanager
+def _passing(spark: SparkSession) -> Iterator[None]:
+    """What is run and planned inside leaves no shuffle files behind; for counts whose plans nothing reads again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: Types of differences to a list's node, narrowest first.
+NEAR = {"tinyint": 1 << 7, "smallint": 1 << 15, "int": 1 << 31}
+
+
+def _narrowed(node: str, listed: str, kind: str) -> dict[str, Column]:
+    """A sorted list of greater nodes by columns of which one is not null: differences to the node in the narrowest type that holds them
+    all, for whole numbers, or the list as it is."""
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return {"_far": F.col(listed)}
+    gap = F.coalesce(F.try_subtract(F.element_at(listed, -1).cast("long"), F.col(node).cast("long")), F.lit((1 << 63) - 1))
+    differences = lambda near: F.transform(listed, lambda x: (x.cast("long") - F.col(node).cast("long")).cast(near))
+    out, least = {}, 0
+    for near, most in NEAR.items():
+        out[f"_{near}"] = F.when((gap >= least) & (gap < most), differences(near))
+        least = most
+    return out | {"_far": F.when(gap >= least, F.col(listed))}
+
+
+def _widened(node: str, columns: list[str], kind: str) -> Column:
+    """The lists that `_narrowed` made columns of."""
+    return F.coalesce(*[F.col(c) if c == "_far" else F.transform(c, lambda x: (F.col(node).cast("long") + x.cast("long")).cast(kind)) for c in columns])
+
+
 def shared_neighbours(links: DataFrame, node: str, middle: str) -> DataFrame:
-    """source, target, shared: every pair of nodes (source < target) that link to a common middle node, with the number of those."""
-    links = links.select(F.col(node).alias("_n"), F.col(middle).alias("_m"))
-    once = dealt(links, links.count(), "_m").distinct()
-    degrees = once.where("_n IS NOT NULL AND _m IS NOT NULL").groupBy("_m").agg(F.count("*").alias("n"))
-    n = degrees.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0))).first()[0]
-    a, b = once.alias("a"), once.alias("b")
-    pairs = a.join(b, F.expr("a._m = b._m AND a._n < b._n")).select(F.col("a._n").alias("source"), F.col("b._n").alias("target"))
-    return dealt(pairs, n, "source", "target").groupBy("source", "target").agg(F.count("*").alias("shared"))
+    """source, target, shared: every pair of nodes (source < target) that link to a common middle node, with the number of those.
+
+    All pairs of a middle node are sent to the tasks that count them as one list for each source, of the targets' differences to it
+    where nodes are whole numbers; a task takes the lists of its sources apart. So the disk that pairs take is two to four bytes for
+    most, not a row."""
+    spark = links.sparkSession
+    links = links.select(F.col(node).alias("_n"), F.col(middle).alias("_m")).where("_n IS NOT NULL AND _m IS NOT NULL")
+    kind = links.schema["_n"].dataType.simpleString()
+    with _passing(spark):
+        rows = links.select("_m").count()
+        degrees = dealt(links, rows, "_m").distinct().groupBy("_m").agg(F.count("*").alias("n"))
+        n = degrees.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0))).first()[0]
+    groups = dealt(links, rows, "_m").distinct().groupBy("_m").agg(F.sort_array(F.collect_list("_n")).alias("_ns"))
+    after = groups.select(F.posexplode("_ns").alias("_i", "source"), "_ns").where(F.col("_i") + 1 < F.size("_ns"))
+    lists = after.select("source", F.slice("_ns", F.col("_i") + 2, F.size("_ns")).alias("_targets"))
+    narrow = _narrowed("source", "_targets", kind)
+    sent = dealt(lists.select("source", *[c.alias(k) for k, c in narrow.items()]), n, "source")
+    pairs = sent.select("source", F.explode(_widened("source", list(narrow), kind)).alias("target"))
+    return pairs.groupBy("source", "target").agg(F.count("*").alias("shared"))
 
 
 #: Nodes around one middle node from which on they are dealt out over several tasks.

@@ -466,3 +466,27 @@ def test_postings_shuffle_finished_blocks_only(spark, tmp_path):
     terms = spark.createDataFrame([("q1", "w1"), ("q1", "w2"), ("q2", "w30"), ("q3", "none")], "query_id string, term string")
     for top in (3, 500):
         assert sorted(map(tuple, index.search(terms, top)[0].select("query_id", "source_id", "score", "rank").collect())) == sorted(map(tuple, rt.keyword_top(docs, terms, top).select("query_id", "source_id", "score", "rank").collect()))
+
+
+def test_pairs_of_neighbours_are_sent_as_lists(spark):
+    from itertools import combinations
+
+    rng = random.Random(10)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    far = [-(1 << 63), -1, 0, 200, 300, 70_000, 5_000_000_000, (1 << 63) - 1]
+    for kind, nodes in (("long", range(-40, 40)), ("long", far), ("long", range(0, 8_000_000, 100_000)), ("int", [-(1 << 31), 5, 6, 900, (1 << 31) - 1]), ("short", range(9)), ("string", [f"n{k}" for k in range(30)])):
+        groups = {m: rng.sample(list(nodes), min(len(nodes), rng.randint(0, 60))) for m in range(12)} | {12: list(nodes)[:1], 13: list(nodes)}
+        rows = [(n, m) for m, ns in groups.items() for n in ns for _ in range(rng.randint(1, 2))] + [(None, 1), (list(nodes)[0], None)]
+        want: dict = {}
+        for ns in groups.values():
+            for pair in combinations(sorted(ns), 2):
+                want[pair] = want.get(pair, 0) + 1
+        shared = gr.shared_neighbours(spark.createDataFrame(rows, f"n {kind}, m long"), "n", "m")
+        since, _ = shuffled(spark)
+        assert sorted(map(tuple, shared.collect())) == sorted((a, b, k) for (a, b), k in want.items())
+        assert shared.dtypes == [("source", dict(long="bigint", short="smallint").get(kind, kind)), ("target", dict(long="bigint", short="smallint").get(kind, kind)), ("shared", "bigint")]
+        _, n = shuffled(spark, since)
+        assert n <= 2 * len(rows)  # a row for each link and a list for each, not one for each pair
+        assert kind == "short" or len(nodes) < 20 or sum(want.values()) > 2 * len(rows)
+    assert spark.conf.get(key) == before
