@@ -3,7 +3,7 @@
 Building. Each task sorts the documents it reads by length and cuts them into ranges of `range_docs`; a block holds the postings of one term
 in one range (how often a document has the term, and its place in the range: the upper and lower 32 bits), and `top`, the greatest value any of them can give (its BM25
 part without idf). Ids and lengths stand once for each range. Texts are read twice, for the average length and for the blocks; only finished
-blocks are shuffled. They lie by buckets of terms, sorted by term within a file.
+blocks are shuffled, those of one range and bucket in a row. They lie by buckets of terms, sorted by term within a file.
 
 Searching. All terms' blocks of one range bound what a document of that range can score. For each query the ranges of greatest bound
 are scored first, which gives a score the result must reach; of the others only ranges whose bound reaches it are scored. So each
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -39,8 +40,9 @@ def _part(tf, dl, avgdl: float, k1: float, b: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def _blocks(range_docs: int, k1: float, b: float, avgdl: float):
-    """A task's documents (source_id, w) in ranges of `range_docs`: for each a row with its documents and their lengths, and one for each of its terms."""
+def _blocks(range_docs: int, buckets: int, k1: float, b: float, avgdl: float):
+    """A task's documents (source_id, w) in ranges of `range_docs`: for each a row with its documents and their lengths, and one for each
+    bucket of its terms: the terms (blanks between them), and for each its `top` and where its postings start."""
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, n = [], 0
@@ -61,18 +63,23 @@ def _blocks(range_docs: int, k1: float, b: float, avgdl: float):
             ids, words = held["source_id"].combine_chunks(), held["w"].combine_chunks()
             n, dl = len(ids), pc.list_value_length(words).to_numpy().astype(np.int64)
             coded = words.flatten().dictionary_encode()
-            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+            terms = np.array(coded.dictionary.to_pylist(), object)
+            bucket = (pd.util.hash_array(terms, categorize=False) % buckets).astype(np.int32)
+            order = np.lexsort((terms, bucket))
+            terms, bucket, place = terms[order], bucket[order], np.argsort(order)
+            key, tf = np.unique(place[coded.indices.to_numpy()] * n + np.repeat(np.arange(n), dl), return_counts=True)
             doc, starts = key % n, np.flatnonzero(np.diff(key // n, prepend=-1))
-            m = len(starts)
-            top = np.maximum.reduceat(_part(tf, dl[doc], avgdl, k1, b), starts) if m else np.zeros(0)
-            top = np.nextafter(np.append(top, 0).astype(np.float32), np.float32(np.inf))  # never below the value itself
-            # the last row is the range's own
-            spans = pa.array(np.r_[starts, len(key), len(key)], pa.int32())
-            own = pa.array(np.append(np.zeros(m + 1, int), n), pa.int32())
+            top = np.maximum.reduceat(_part(tf, dl[doc], avgdl, k1, b), starts) if len(starts) else np.zeros(0)
+            top = np.nextafter(top.astype(np.float32), np.float32(np.inf))  # never below the value itself
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))  # a bucket's first term; the last row is the range's own
+            m, cuts = len(cuts), np.append(cuts, [len(terms)] * 2)
+            first_of = np.append(starts, len(key))[cuts]
+            spans, own = pa.array(cuts, pa.int32()), pa.array(np.append(np.zeros(m + 1, int), n), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.full(m + 1, first + k)), pa.array(top),
-                pa.ListArray.from_arrays(spans, pa.array(doc | tf << 32)), pa.ListArray.from_arrays(own, ids), pa.ListArray.from_arrays(own, pa.array(dl, pa.int32())),
-            ], ["term", "range", "top", "postings", "ids", "lengths"])
+                pa.array(np.append(bucket[cuts[:m]], OWNERS), pa.int32()), pa.array(np.full(m + 1, first + k)), pa.array([" ".join(terms[x:y]) for x, y in zip(cuts[:m], cuts[1:])] + [None], pa.string()),
+                pa.ListArray.from_arrays(spans, pa.array(top)), pa.ListArray.from_arrays(spans, pa.array(starts - np.repeat(first_of[:m], np.diff(cuts[: m + 1])), pa.int32())),
+                pa.ListArray.from_arrays(pa.array(first_of, pa.int32()), pa.array(doc | tf << 32)), pa.ListArray.from_arrays(own, ids), pa.ListArray.from_arrays(own, pa.array(dl, pa.int32())),
+            ], ["bucket", "range", "terms", "tops", "starts", "postings", "ids", "lengths"])
 
     return build
 
@@ -94,12 +101,14 @@ class Postings:
         # documents stay in the task that reads them; ranges are cut from its documents of like length
         sized = docs.sortWithinPartitions(F.length("text"), "source_id", "text").select("source_id", tokens(F.col("text")).alias("w"))
         kind = docs.schema["source_id"].dataType.simpleString()
-        made = sized.mapInArrow(_blocks(range_docs, k1, b, size.avgdl), f"term string, range long, top float, postings array<long>, ids array<{kind}>, lengths array<int>")
-        hashed = F.xxhash64(F.coalesce("term", F.col("range").cast("string")))
+        schema = f"bucket int, range long, terms string, tops array<float>, starts array<int>, postings array<long>, ids array<{kind}>, lengths array<int>"
+        made = sized.mapInArrow(_blocks(range_docs, buckets, k1, b, size.avgdl), schema)
+        hashed = F.xxhash64("range")
         subs = -(-8 * size.words // (TASK_ROWS * buckets)) or 1  # a large index has about eight keys for each task, so that they get like shares
-        rows = dealt(made, size.words, F.pmod(hashed, F.lit(buckets)), F.pmod(F.xxhash64("range"), F.lit(subs)))
-        bucket = F.when(F.col("term").isNull(), OWNERS).otherwise(F.pmod(hashed, F.lit(buckets))).cast("int")
-        rows = rows.withColumns({"n": F.size("postings").cast("long"), "bucket": bucket})
+        sent = dealt(made, size.words, F.when(F.col("bucket") == OWNERS, F.pmod(hashed, F.lit(buckets))).otherwise(F.col("bucket")), F.pmod(hashed, F.lit(subs)))
+        each = sent.select("*", F.posexplode_outer(F.split("terms", " ")).alias("_k", "term"))
+        start, end = F.get("starts", F.col("_k")), F.coalesce(F.get("starts", F.col("_k") + 1), F.size("postings"))
+        rows = each.select("bucket", "term", "range", (end - start).cast("long").alias("n"), F.get("tops", F.col("_k")).alias("top"), F.slice("postings", start + 1, end - start).alias("postings"), "ids", "lengths")
         rows.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
         return cls(spark, path, k1, b)
 

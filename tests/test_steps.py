@@ -490,3 +490,10 @@ def test_pairs_of_neighbours_are_sent_as_lists(spark):
         assert n <= 2 * len(rows)  # a row for each link and a list for each, not one for each pair
         assert kind == "short" or len(nodes) < 20 or sum(want.values()) > 2 * len(rows)
     assert spark.conf.get(key) == before
+
+
+def test_postings_of_texts_without_words(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate([None, "", " ,", None, "one word", ""])], "source_id string, text string").coalesce(1)
+    index = Postings.build(docs, str(tmp_path / "index"), range_docs=2)  # two ranges hold no word
+    terms = spark.createDataFrame([("q1", "word"), ("q2", "none")], "query_id string, term string")
+    assert [(r.query_id, r.source_id, r["rank"]) for r in index.search(terms, 5)[0].collect()] == [("q1", "d4", 1)]
